@@ -195,7 +195,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     few = goes.count() <= BROADCAST_KEYS
     kept = marked.join(F.broadcast(goes) if few else goes, (marked[key] == goes[key]) & marked[doc_id].eqNullSafe(goes[ident]), "left_anti").drop(key)
     again = rows.groupBy(ident, key).count().where("count > 1")
-    return kept if again.isEmpty() else _first_of_each(kept, doc_id, text
+    return kept if again.isEmpty() else _first_of_each(kept, doc_id, text)
 
 
 def _first_of_each(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
