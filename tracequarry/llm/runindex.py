@@ -16,8 +16,6 @@ empty tables give no rows; other columns are left alone.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.llm.arrays import anchors, covered, prefix, spans, window_hashes, word_values, words
 from tracequarry.llm.common import cut, digest, fields, keep_keys, table
-from tracequarry.llm.windows import TOGETHER, anchor_column, by_anchor, gathered, runs, segments
+from tracequarry.llm.windows import TOGETHER, anchor_column, by_anchor, by_slice, runs, segments
 
 WINDOW, ANCHOR = 50, 8
 #: Runs that are kept before they are compacted to one; batches that the query makes of a table.
@@ -104,9 +102,9 @@ class FingerprintIndex:
         same = unique.join(different.where("d = 1"), "h").where("doc < most").select("h", "c", F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), lambda _: F.col("doc")).alias("least"))
         some = by_anchor(unique.join(different.where(f"d BETWEEN 2 AND {self.together}").select("h"), "h"), lambda block: least_documents(block, window), _LEAST)
         out = same.union(some)
-        hot = different.where(f"d > {self.together}").select("h")
+        hot = different.where(f"d > {self.together}")
         if not hot.isEmpty():
-            out = out.union(_window_by_window(unique.join(hot, "h"), window))
+            out = out.union(by_slice(unique.join(hot, "h"), lambda content: _hashed(content, window), self.anchor, "doc", _least_of_group))
         flagged = cuts.select("key", "doc", "h", "c", "lo").join(out, ["h", "c"])
         ranges = F.filter(F.transform("least", lambda d, i: F.when(d < F.col("doc"), F.col("lo") + i)), lambda x: x.isNotNull())
         return flagged.select("key", ranges.alias("starts")).where("size(starts) > 0").groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
@@ -149,19 +147,16 @@ def _least_by_words(block: pd.DataFrame, window: int) -> pd.DataFrame:
     return pd.DataFrame({"h": block["h"], "c": block["c"], "least": [np.array([least[h, w] for w in own]) for h, own in zip(block["h"], lists, strict=True)]})
 
 
-def _window_by_window(unique: DataFrame, window: int) -> DataFrame:
-    """The same for anchors with many segments: each window's digest, its least document over all."""
+def _hashed(content: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
+    data, starts, ends, _ = words([content.decode("utf-8", "surrogatepass")])
+    values = word_values(data, starts, ends)
+    return values, window_hashes(values, window)
 
-    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                own = row.content.split(b" ")
-                keys = [hashlib.md5(b" ".join(own[i : i + window])).digest() for i in range(row.n)]
-                yield pd.DataFrame({"h": row.h, "c": row.c, "i": np.arange(row.n), "w": keys, "doc": row.doc})
 
-    rows = cut(unique.mapInPandas(gathered(listed, 1 << 15), fields("h long, c long, i long, w binary, doc long")))
-    least = rows.groupBy("h", "w").agg(F.min("doc").alias("least"))
-    return rows.join(least, ["h", "w"]).groupBy("h", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "least"))), lambda x: x["least"]).alias("least"))
+def _least_of_group(group: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    least = np.full(group.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, docs)
+    return least[group]
 
 
 def remove(text: str, starts: np.ndarray, window: int) -> tuple[bytes, int]:

@@ -13,8 +13,6 @@ tables give no rows; other columns are left alone.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.llm.arrays import BYTE_VALUES, anchors, covered, prefix, spans, window_hashes
 from tracequarry.llm.common import cut, digest, fields, keep_keys, table
-from tracequarry.llm.windows import TOGETHER, anchor_column, by_anchor, gathered, runs, segments
+from tracequarry.llm.windows import TOGETHER, anchor_column, by_anchor, by_slice, runs, segments
 
 LENGTH, ANCHOR = 400, 32
 
@@ -161,26 +159,19 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     one = unique.join(different.where("d = 1"), "h").where("m > 1").select("h", "c", F.array(F.lit(0).cast("long"), F.col("n")).alias("ranges"))
     some = by_anchor(unique.join(different.where(f"d BETWEEN 2 AND {together}").select("h"), "h"), compare, _FOUND)
     out = one.union(some)
-    hot = different.where(f"d > {together}").select("h")
+    hot = different.where(f"d > {together}")
     if not hot.isEmpty():
-        out = out.union(_window_by_window(unique.join(hot, "h"), length))
+        twice = by_slice(unique.join(hot, "h"), lambda content: _hashed(content, length), anchor, "m", lambda group, m: (np.bincount(group, m)[group] > 1).astype(np.int64))
+        single = F.filter(F.transform("out", lambda x, i: F.when(x == 1, F.array(i.cast("long"), F.lit(1).cast("long")))), lambda x: x.isNotNull())
+        out = out.union(twice.select("h", "c", F.flatten(single).alias("ranges")))
     ranges = cuts.select("key", "h", "c", "lo").join(out.where("size(ranges) > 0"), ["h", "c"])
     shifted = F.transform("ranges", lambda x, i: F.when(i % 2 == 0, x + F.col("lo")).otherwise(x))
     return held.select("key", "copies"), texts, ranges.groupBy("key").agg(F.flatten(F.collect_list(shifted)).alias("ranges"))
 
 
-def _window_by_window(unique: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with many segments: each window's hash with the anchor's, counted over all."""
-
-    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                w = window_hashes(BYTE_VALUES[np.frombuffer(row.content, np.uint8)], length).view(np.int64)
-                yield pd.DataFrame({"h": row.h, "c": row.c, "i": np.arange(len(w)), "w": w, "m": row.m})
-
-    rows = cut(unique.mapInPandas(gathered(listed, 1 << 16), fields("h long, c long, i long, w long, m long")))
-    twice = rows.groupBy("h", "w").agg(F.sum("m").alias("m")).where("m > 1").select("h", "w")
-    return rows.join(twice, ["h", "w"]).groupBy("h", "c").agg(F.flatten(F.transform(F.array_sort(F.collect_list("i")), lambda i: F.array(i, F.lit(1).cast("long")))).alias("ranges"))
+def _hashed(content: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    values = BYTE_VALUES[np.frombuffer(content, np.uint8)]
+    return values, window_hashes(values, length)
 
 
 @F.pandas_udf(fields("n_removed long, n_spans long, kept_sha256 string"))

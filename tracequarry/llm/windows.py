@@ -2,8 +2,8 @@
 
 Each text's windows are named by anchors (see arrays.anchors). Windows can only be equal where their anchors are, so only
 runs of windows whose anchor stands in several places are looked at; each is cut out as a segment. Segments are brought
-together by anchor; equal ones fall together first. An anchor with more different segments than one task should hold is
-dealt with window by window instead, which is exact as well.
+together by anchor; equal ones fall together first. An anchor with more different segments than one task should compare has
+its windows dealt out further, by their place before the anchor, and compared by two 64-bit hashes; none is left out.
 """
 
 from __future__ import annotations
@@ -16,12 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracequarry.llm.arrays import grams
 from tracequarry.llm.common import blocks, fields
 
 #: Different segments of one anchor that one task compares at once.
 TOGETHER = 1024
 #: Bytes of segments that a task compares at once.
 BLOCK_BYTES = 1 << 20
+#: Hashes of one anchor's windows that a task compares at once, where there are more segments than that.
+AT_ONCE = 1 << 22
 #: Segment starts and window counts are packed in one long.
 PACK = 1 << 10
 
@@ -89,28 +92,69 @@ def gathered(rows, size: int = 4096):
     return run
 
 
-def by_anchor(unique: DataFrame, compare: Callable[[pd.DataFrame], pd.DataFrame], kind: T.StructType) -> DataFrame:
-    """compare, on blocks of whole anchors' segments (h, c, n, content, ...)."""
+def by_key(rows: DataFrame, keys: list[str], heavy: str, compare: Callable[[pd.DataFrame], pd.DataFrame], kind: T.StructType) -> DataFrame:
+    """compare, on blocks of all rows of some keys; a block has BLOCK_BYTES or one key. heavy: the bytes or longs that count."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        size = 0
+        size, last = 0, None
         for batch in batches:
-            # blocks end between anchors; the last anchor of a batch may go on in the next one
-            h = batch["h"].to_numpy()
-            edges = np.flatnonzero(h[1:] != h[:-1]) + 1
-            weights = np.cumsum(batch["content"].str.len().to_numpy())
+            if not len(batch):
+                continue
+            marks = batch[keys].to_numpy()
+            # a block may end where the key changes, from the batch before on
+            edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1)] if last is None or (marks[0] != last).any() else [*(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1)]
+            weights = np.concatenate([[0], np.cumsum(batch[heavy].str.len().to_numpy())])
             at = 0
             for e in edges:
-                if size + weights[e - 1] - (weights[at - 1] if at else 0) >= BLOCK_BYTES:
-                    yield compare(pd.concat([*held, batch.iloc[at:e]], ignore_index=True))
+                if size + weights[e] - weights[at] >= BLOCK_BYTES:
+                    if e > at:
+                        held.append(batch.iloc[at:e])
+                    yield compare(pd.concat(held, ignore_index=True))
                     held, size, at = [], 0, e
-            if held and size >= BLOCK_BYTES and len(h) and at == 0 and held[-1]["h"].iloc[-1] != h[0]:
-                yield compare(pd.concat(held, ignore_index=True))
-                held, size = [], 0
             held.append(batch.iloc[at:])
-            size += weights[-1] - (weights[at - 1] if at else 0) if len(h) else 0
-        if held and sum(map(len, held)):
+            size += weights[-1] - weights[at]
+            last = marks[-1]
+        if held:
             yield compare(pd.concat(held, ignore_index=True))
 
-    return unique.repartition("h").sortWithinPartitions("h", "c").mapInPandas(run, kind)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, kind)
+
+
+def by_anchor(unique: DataFrame, compare: Callable[[pd.DataFrame], pd.DataFrame], kind: T.StructType) -> DataFrame:
+    """compare, on blocks of whole anchors' segments (h, c, n, content, ...)."""
+    return by_key(unique, ["h"], "content", compare, kind)
+
+
+def by_slice(unique: DataFrame, hashes: Callable[[bytes], tuple[np.ndarray, np.ndarray]], k: int, value: str, combine: Callable[[np.ndarray, np.ndarray], np.ndarray], at_once: int = AT_ONCE) -> DataFrame:
+    """For anchors with d > TOGETHER different segments (h, c, n, d, content, value): h, c and for each window a long.
+
+    Windows are equal only at the same place before their anchor, so an anchor's windows are dealt out by that place, and
+    beyond at_once segments by their hash too; a task then holds at_once hashes of a key. hashes gives a segment's token
+    values and window hashes; combine gives each window's long from groups of equal windows (group numbers, values)."""
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                values, w = hashes(row.content)
+                wide, salts = max(1, at_once // row.d), max(1, row.d // at_once)
+                anchor = row.n - 1 + int(np.flatnonzero(grams(values[row.n - 1 :], k).view(np.int64) == row.h)[0])
+                i = np.arange(row.n)
+                part = (anchor - i) // wide * salts + (w % np.uint64(salts)).astype(np.int64)
+                edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                yield pd.DataFrame({"h": row.h, "part": part[edges], "c": row.c, "i": edges, "w": np.split(w.view(np.int64), edges[1:]), "v": getattr(row, value)})
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        sizes = block["w"].str.len().to_numpy()
+        w = np.concatenate([*block["w"]])
+        owner = np.repeat(np.arange(len(block)), sizes)
+        h, part = block["h"].to_numpy()[owner], block["part"].to_numpy()[owner]
+        order = np.lexsort((w, part, h))
+        new = np.concatenate([[False], (w[order][1:] != w[order][:-1]) | (part[order][1:] != part[order][:-1]) | (h[order][1:] != h[order][:-1])])
+        group = np.empty(len(w), np.int64)
+        group[order] = np.cumsum(new)
+        return pd.DataFrame({"h": block["h"], "c": block["c"], "i": block["i"], "out": np.split(combine(group, block["v"].to_numpy()[owner]), np.cumsum(sizes)[:-1])})
+
+    rows = unique.select("h", "c", "n", "d", "content", value).mapInPandas(gathered(dealt), fields("h long, part long, c long, i long, w array<long>, v long"))
+    done = by_key(rows, ["h", "part"], "w", compare, fields("h long, c long, i long, out array<long>"))
+    return done.groupBy("h", "c").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "out"))), lambda x: x["out"])).alias("out"))
