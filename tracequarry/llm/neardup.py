@@ -6,9 +6,10 @@ Arrivals later than all registers' first ones can't matter, so processes end ear
 the probability of their probability Jaccard similarity. Bands of registers give buckets.
 
 Within a bucket all documents are compared to its first one only; that gives a star, not all pairs. What then stands in
-one bucket but in different groups is compared too, except where the similarities to the first already rule it out (one
-less the similarity is a metric). So no link between documents that share a bucket is lost, and a bucket of many copies
-costs no more than its size. Similarities are computed exactly, on the shingles.
+one bucket but in different groups is looked at again: shingles that a document alone has bound its similarity to any other,
+which rules most out; the rest is compared to the document that has the least of its own, and what is apart even then, pair
+by pair where the bound allows a link. So no link between documents that share a bucket is lost, and a bucket of many copies
+costs about its size. Similarities are computed exactly, on the shingles.
 
 Cases: null texts and texts without a word are alone, but equal texts are copies; equal texts share a class before anything
 is compared; ties and repeated ids fall together under the least id; empty tables give no rows; null ids are kept and never
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracequarry.llm.arrays import grams, mix, word_values, words
-from tracequarry.llm.common import BROADCAST_KEYS, blocks, cut, digest, free_name, keep_keys, table
+from tracequarry.llm.common import BROADCAST_KEYS, blocks, cut, digest, fields, free_name, keep_keys, table
+from tracequarry.llm.windows import gathered
 
 #: Sums of fractions that should be just SIMILAR can fall short of it by rounding.
 SHINGLE, SIMILAR, ROUNDING = 5, 0.8, 1e-9
@@ -157,20 +159,61 @@ def text_classes(docs: DataFrame, text: str = "text", threshold: float = SIMILAR
     first = cut(_compared(pairs, texts))
     linked = first.where(F.col("s") >= threshold - ROUNDING).select("a", "b")
     group = components(linked)
-    # members of a bucket that are still in different groups
-    seen = (
-        in_bucket.join(first.select(F.col("a").alias("hub"), F.col("b").alias("key"), "s"), ["hub", "key"], "left")
-        .join(group.select(F.col("node").alias("key"), "root"), "key", "left")
-        .select("band", "bucket", "key", F.coalesce("root", "key").alias("root"), F.coalesce("s", F.lit(1.0)).alias("s"))
-    )
-    open_ = seen.groupBy("band", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "bucket")
-    left = cut(seen.join(open_, ["band", "bucket"]))
+    # members of a bucket that are still in different groups, and could be linked
+    left = _apart(in_bucket.select("band", "bucket", "key"), group)
+    own = unshared(keep_keys(texts, cut(left.select("key").distinct()), "key"))
+    possible = own.where(F.col("odds") <= 1 / threshold - 1 + ROUNDING)
+    left = cut(_apart(left.select("band", "bucket", "key").join(possible, "key"), group))
     if left.isEmpty():
-        return group.select(F.col("node").alias("key"), "root")
+        return _named(group)
+    # the member with the least of its own is most like the others: a second star
+    hub = left.groupBy("band", "bucket").agg(F.min_by("key", F.struct("odds", "key")).alias("hub"))
+    pairs = left.join(hub, ["band", "bucket"]).where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+    second = cut(_compared(pairs, texts))
+    linked = cut(linked.union(second.where(F.col("s") >= threshold - ROUNDING).select("a", "b")))
+    group = components(linked)
+    left = cut(_apart(left.select("band", "bucket", "key", "odds"), group))
+    if left.isEmpty():
+        return _named(group)
     x, y = left.alias("x"), left.alias("y")
-    other = x.join(y, ["band", "bucket"]).where("x.root <> y.root AND x.key < y.key AND abs(x.s - y.s) <= 1.0 - {0} + 1e-9 AND x.s < 1.0 AND y.s < 1.0".format(threshold))
-    second = _compared(other.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), texts).where(F.col("s") >= threshold - ROUNDING)
-    return components(linked.union(second.select("a", "b"))).select(F.col("node").alias("key"), "root")
+    other = x.join(y, ["band", "bucket"]).where(f"x.root <> y.root AND x.key < y.key AND x.odds + y.odds <= {1 / threshold - 1 + ROUNDING}")
+    pairs = other.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    for done in (first, second):
+        done = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = pairs.join(done, ["a", "b"], "left_anti")
+    third = _compared(pairs, texts).where(F.col("s") >= threshold - ROUNDING)
+    return _named(components(linked.union(third.select("a", "b"))))
+
+
+def _named(group: DataFrame) -> DataFrame:
+    return group.select(F.col("node").alias("key"), "root")
+
+
+def _apart(member: DataFrame, group: DataFrame) -> DataFrame:
+    """member (band, bucket, key, ...) with the groups' roots, of the buckets that hold several groups."""
+    seen = member.join(_named(group), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    several = seen.groupBy("band", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "bucket")
+    return seen.join(several, ["band", "bucket"])
+
+
+def unshared(texts: DataFrame) -> DataFrame:
+    """(key, odds): weight of each text's shingles that no other of the texts has, over the weight of the rest.
+
+    With odds p and q, two texts' similarity is 1 / (1 + p + q) at most: for a common shingle d of normalised weights x, y
+    the similarity's term is at most 1 / (1 / x + own(y) / y), which is concave in (x, y), so the sum of all is at most its
+    value at the whole shared weights."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at, part in blocks(batch["text"], 1 << 18):
+                for key, (e, c) in zip(batch["key"].iloc[at : at + len(part)], shingles(part), strict=True):
+                    yield pd.DataFrame({"key": [key] * len(e), "shingle": e.view(np.int64), "share": c / max(1, c.sum())})
+
+    listed = texts.select("key", "text").mapInPandas(gathered(rows, 1 << 15), fields("key binary, shingle long, share double"))
+    alone = listed.groupBy("shingle").agg(F.count("*").alias("n"), F.first("key").alias("key"), F.first("share").alias("share")).where("n = 1")
+    own = alone.groupBy("key").agg(F.sum("share").alias("own"))
+    odds = F.when(F.coalesce("own", F.lit(0.0)) >= 1, F.lit(1e9)).otherwise(F.coalesce("own", F.lit(0.0)) / (1 - F.coalesce("own", F.lit(0.0))))
+    return cut(texts.select("key").join(own, "key", "left").select("key", odds.alias("odds")))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
