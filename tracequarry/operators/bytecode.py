@@ -68,21 +68,19 @@ def backward_slices(instr: DataFrame, sinks: DataFrame, cut, rounds: int = 256)
     back = cut(cfg_edges(instr).select("apk", "method", F.col("src").alias("p"), F.col("dst").alias("at")).distinct())
     seed = sinks.select("apk", "method", F.col("idx").alias("sink")).distinct()
     key = ["apk", "method", "sink"]
-    kept = cut(seed.withColumn("idx", F.col("sink")))
     live = cut(seed.join(code.select("apk", "method", F.col("idx").alias("sink"), "uses"), key).select(*key, F.col("sink").alias("at"), F.explode("uses").alias("sym")))
+    # what is live at `at` reaches each predecessor p: it is written there, or live there too
+    reached = lambda facts: facts.join(back, ["apk", "method", "at"]).drop("at").join(code.withColumnRenamed("idx", "p"), ["apk", "method", "p"])
     new, seen = live, live
     for _ in range(rounds):
-        # what is live at `at` reaches each predecessor: kept there if it writes the symbol, else live there too
-        reach = new.join(back, ["apk", "method", "at"]).drop("at").join(code.withColumnRenamed("idx", "p"), ["apk", "method", "p"])
-        hit = reach.where("def = sym")
-        passed = reach.where("def IS NULL OR def <> sym").select(*key, F.col("p").alias("at"), "sym")
-        used = hit.select(*key, F.col("p").alias("at"), F.explode("uses").alias("sym"))
-        kept = kept.union(cut(hit.select(*key, F.col("p").alias("idx")).distinct()))
-        new = cut(passed.union(used).distinct().join(seen, [*key, "at", "sym"], "left_anti"))
+        before = F.when(F.col("def") == F.col("sym"), F.col("uses")).otherwise(F.array("sym"))
+        step = reached(new).select(*key, F.col("p").alias("at"), F.explode(before).alias("sym")).distinct()
+        new = cut(step.join(seen, [*key, "at", "sym"], "left_anti"))
         if new.isEmpty():
             break
         seen = seen.union(new)
-    return kept.distinct()
+    kept = reached(seen).where("def = sym").select(*key, F.col("p").alias("idx"))
+    return kept.union(seed.withColumn("idx", F.col("sink"))).distinct()
 
 
 def usable_methods(methods: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def numeric_distribution(col: str) -> list[Column]:
 
 
 def token_length_distribution(col: str, thresholds=(512, 1024, 2048, 4096, 8192)) -> list[Column]:
-    return [*numeric_distribution(col), *[F.round(100.0 * F.count_if(F.col(col) > t) / F.count(col), 6).alias(f"over_{t}") for t in thresholds]]
+    return [*numeric_distribution(col), *[F.round(F.try_divide(100.0 * F.count_if(F.col(col) > t), F.count(col)), 6).alias(f"over_{t}") for t in thresholds]]
 
 
 GROUPINGS = ("label", "is_truncated", "status", "sink_category", "apk_hash")
