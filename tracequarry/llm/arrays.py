@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 U = np.uint64
@@ -33,18 +31,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * U(_BASE))
 
 
-@lru_cache(4)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    def upto(b: int) -> np.ndarray:
-        out = np.full(n, b, np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-    return upto(base), upto(pow(base, -1, 1 << 64))
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(base, 1 << max(16, int(n).bit_length()))
+    """base ** i and its inverse, modulo 2 ** 64, for i under n; one table for each base grows with the longest block."""
+    if base not in _tables or len(_tables[base][0]) < n:
+        size = -(-n // 65536) * 65536
+        both = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            table = np.full(size, b, np.uint64)
+            table[0] = 1
+            both.append(np.multiply.accumulate(table, out=table))
+        _tables[base] = (both[0], both[1])
+    up, down = _tables[base]
     return up[:n], down[:n]
 
 

@@ -33,8 +33,8 @@ from tracequarry.llm.common import table
 END = "</w>"
 #: Symbols read at a time beyond the lookahead.
 CHUNK = 4096
-#: Distinct pieces between spaces, and words, whose ids a task remembers.
-REMEMBERED = 1 << 18
+#: Distinct pieces between spaces, and words within them, whose ids a task remembers.
+PIECES, WORDS = 1 << 17, 1 << 14
 
 
 def byte_letters() -> list[str]:
@@ -140,11 +140,11 @@ class Bpe:
         special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         odd = regex.compile(r"[\x1c-\x1f]").search  # spaces for str.split(), not for the pattern
 
-        @lru_cache(REMEMBERED)
+        @lru_cache(WORDS)
         def word(w: str) -> tuple[int, ...]:
             return tuple(self.word(w.encode("utf-8", "surrogatepass")))
 
-        @lru_cache(REMEMBERED)
+        @lru_cache(PIECES)
         def short(piece: str) -> tuple[int, ...]:
             return tuple(chain.from_iterable(map(word, find(piece))))
 

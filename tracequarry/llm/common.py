@@ -11,12 +11,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters that a task turns into arrays at a time; a longer text is a block of its own.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 19
 #: Rows up to which a list of 16-byte text keys is broadcast (about 64 MB); beyond it the join shuffles.
 BROADCAST_KEYS = 1_000_000
 
 
+#: Rows that Spark hands to Python at a time, unless the session sets its own number: whole texts are long rows.
+ROWS_AT_A_TIME = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # Spark's default
+        spark.conf.set(name, str(ROWS_AT_A_TIME))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +44,7 @@ def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read back: the plan behind it runs once and a lost executor costs no redo.
     The JVM deletes the files as it ends."""
     spark = df.sparkSession
+    short_batches(spark)
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
