@@ -34,7 +34,7 @@ END = "</w>"
 #: Symbols read at a time beyond the lookahead.
 CHUNK = 4096
 #: Distinct pieces between spaces, and words within them, whose ids a task remembers.
-PIECES, WORDS = 1 << 17, 1 << 14
+PIECES, WORDS = 1 << 16, 1 << 14
 
 
 def byte_letters() -> list[str]:
@@ -196,9 +196,20 @@ class Bpe:
         yield machine.decode(b"", True)
 
 
+_shipped: dict[tuple[str, str], object] = {}
+
+
+def shipped(spark: SparkSession, path: str):
+    """The tables of a vocabulary file, broadcast once for each application: workers keep what is broadcast to them."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _shipped:
+        _shipped[key] = spark.sparkContext.broadcast(Bpe(path))
+    return _shipped[key]
+
+
 def encode(spark: SparkSession, docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """docs with a column `ids` (array of int). The tables of the vocabulary, of a size that data don't change, are broadcast."""
-    tables = spark.sparkContext.broadcast(Bpe(path))
+    tables = shipped(spark, path)
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -211,7 +222,7 @@ def encode(spark: SparkSession, docs: DataFrame, path: str, text: str = "text")
 
 def digests(spark: SparkSession, docs: DataFrame, path: str, text: str = "text") -> F.Column:
     """Struct column n_tokens, ids_sha256, decoded_sha256 of a text: encoded, then decoded from its ids."""
-    tables = spark.sparkContext.broadcast(Bpe(path))
+    tables = shipped(spark, path)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
