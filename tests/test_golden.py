@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from tracequarry.operators import bytecode, dataset, telemetry, triage
+from tracequarry.functions import scalars
+from tracequarry.operators import bytecode, dataset, evidence, native, rules as checks, telemetry, triage
 from tracequarry.plans import rules
 from tracequarry.sources.shared import cut
+from tracequarry.streaming import feeds
 
 
 def test_score_of_known_counts(spark):
@@ -41,3 +43,49 @@ def test_labels_and_overrides(spark):
     got = df.withColumn("got", telemetry.contradiction_label(F.col("base"), F.col("high"), F.col("evasion"))).withColumn("s", telemetry.apply_override(F.lit(50), F.col("base"), F.col("got")))
     assert all(r["got"] == r["label"] for r in got.collect())
     assert [r["s"] for r in got.orderBy("label").collect()] == [50, 70, 30, 85, 75]
+
+
+def test_exported_names(spark):
+    rows = [(1, "La/B_c;", "run", "[ILjava/lang/String;"), (2, "La/B;", "é", "")]
+    got = {r["decl"]: (r["short_name"], r["long_name"]) for r in native.jni_names(spark.createDataFrame(rows, "decl long, class_name string, method_name string, params string")).collect()}
+    assert got == {1: ("Java_a_B_1c_run", "Java_a_B_1c_run___3ILjava_lang_String_2"), 2: ("Java_a_B__000e9", "Java_a_B__000e9__")}
+
+
+def test_name_matches(spark):
+    named = spark.createDataFrame([(1, "a", "a__I"), (2, "b", "b__I"), (3, "c", "c__I"), (4, "c", "c__J"), (5, "d", "d__")], "decl long, short_name string, long_name string")
+    got = native.jni_mappings(named, spark.createDataFrame([("a__I",), ("a",), ("b",), ("c",)], "symbol string"))
+    assert {r["decl"]: r["kind"] for r in got.collect()} == {1: "exact_long", 2: "exact_short", 3: "ambiguous", 4: "ambiguous", 5: "unresolved"}
+
+
+def test_findings_of_a_clean_session(spark):
+    kind = "session long, root boolean, ssl boolean, files array<string>, sockets array<struct<ip string, port int>>, libraries array<string>"
+    tele = spark.createDataFrame([(1, False, False, [], [], []), (2, True, False, ["/x/config"], [("h", 4444)], [])], kind)
+    assert sorted((r["session"], r["id"]) for r in evidence.findings(tele).collect()) == [(1, "KAV-INFO-01"), (2, "KAV-CRIT-01"), (2, "KAV-CRIT-03"), (2, "KAV-HIGH-01")]
+
+
+def test_unknown_label_raises(spark):
+    splits = spark.createDataFrame([("h", "odd", "train")], "apk_hash string, label string, split string")
+    tokens = spark.createDataFrame([(1, "h", 3)], "example_id long, apk_hash string, token_count long")
+    try:
+        checks.training_examples(splits, tokens, "train").collect()
+    except Exception as e:
+        assert "no id for label odd" in str(e)
+    else:
+        raise AssertionError("nothing was raised")
+
+
+def test_parameter_words(spark):
+    row = spark.range(1).select(scalars.param_types(F.lit("(I[JLa/B;D)V")).alias("t")).select("t", scalars.register_words(F.col("t")).alias("n")).first()
+    assert (row["t"], row["n"]) == (["I", "[J", "La/B;", "D"], 5)
+
+
+def test_streams_give_each_item_once_and_count_windows(spark, tmp_path):
+    day = "2024-01-01T0"
+    lines = [(1, 1, f"{day}0:00:00Z", "[Sandbox] File read: /a"), (2, 1, f"{day}0:01:00Z", "[Sandbox] File read: /a"), (3, 1, f"{day}0:02:00Z", "Root check blocked"), (4, 2, f"{day}5:00:00Z", "[Sandbox] Network connection: h:4444")]
+    spark.createDataFrame(lines, "event_id long, session long, ts string, line string").write.json(str(tmp_path / "in"))
+    for name, make, mode in (("seen", feeds.first_seen, "append"), ("hours", feeds.counts, "complete"), ("sessions", feeds.sessions, "append")):
+        out = make(feeds.read_lines(spark, str(tmp_path / "in")))
+        out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r["session"], r["item"]) for r in spark.table("seen").collect()) == [(1, "/a"), (2, "h:4444")]
+    assert sorted((r["kind"], r["n"]) for r in spark.table("hours").collect()) == [("bypass", 1), ("file", 2), ("socket", 1)]
+    assert [(r["session"], r["root"], r["files"]) for r in spark.table("sessions").collect()] == [(1, True, ["/a"])]

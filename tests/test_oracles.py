@@ -18,7 +18,7 @@ def plain(value):
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="needs the given tables")
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -311,3 +311,6 @@ def _(spark, sf):
 @_query("ups1_latest", oracle("SELECT event_id, session, ts, line FROM v_log QUALIFY row_number() OVER (PARTITION BY session ORDER BY ts DESC, event_id DESC) = 1", "v_log"))
 def _(spark, sf):
     return dataset.latest(view(spark, sf, "v_log"), "session", F.desc("ts"), F.desc("event_id"))
+
+
+from tracequarry import catalog_reports  # noqa: E402, F401  registers its queries here

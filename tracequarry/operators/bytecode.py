@@ -83,6 +83,22 @@ def backward_slices(instr: DataFrame, sinks: DataFrame, cut, rounds: int = 256)
     return kept.union(seed.withColumn("idx", F.col("sink"))).distinct()
 
 
+def reachable(edges: DataFrame, cut, rounds: int = 256) -> DataFrame:
+    """(apk, method, start, node): what control flow reaches from each instruction that branches; itself only on a cycle."""
+    edge = cut(edges.select("apk", "method", "src", "dst", "kind"))
+    starts = edge.where("kind = 'branch'").select("apk", "method", "src").distinct()
+    hops = edge.select("apk", "method", "src", "dst").distinct()
+    new = cut(hops.join(starts, ["apk", "method", "src"]).select("apk", "method", F.col("src").alias("start"), F.col("dst").alias("node")))
+    seen = new
+    for _ in range(rounds):
+        step = new.join(hops.withColumnRenamed("src", "node"), ["apk", "method", "node"]).select("apk", "method", "start", F.col("dst").alias("node")).distinct()
+        new = cut(step.join(seen, ["apk", "method", "start", "node"], "left_anti"))
+        if new.isEmpty():
+            break
+        seen = seen.union(new)
+    return seen
+
+
 def usable_methods(methods: DataFrame) -> DataFrame:
     flags = F.array_sort(F.array_distinct(F.filter(F.transform(F.split("flags", ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")))
     return methods.withColumn("flags", flags).where(~F.arrays_overlap("flags", F.array(F.lit("native"), F.lit("abstract")))).withColumn("flags", F.concat_ws(",", "flags"))
