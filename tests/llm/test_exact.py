@@ -153,6 +153,23 @@ def test_disguised_identifiers(text, found):
     assert [text[s:e] for s, e, _ in pii.detect(text)[1]] == ([found] if found else [])
 
 
+@pytest.mark.parametrize(("text", "found"), [
+    ("john(dot)doe@example.com", ["john(dot)doe@example.com", "doe@example.com"]), ("to john(dot)doe@example.com now", ["john(dot)doe@example.com", "doe@example.com"]),
+    ("john@mail.example(dot)com", ["john@mail.example", "john@mail.example(dot)com"]), ("john_doe@mail.example_dot_com", ["john_doe@mail.example", "john_doe@mail.example_dot_com"]),
+    ("jоhn@example.com", ["jоhn@example.com", "hn@example.com"]), ("john@example.cоm", ["john@example.c", "john@example.cоm"]),
+    ("+198855524 five five", ["+198855524 five five"]), ("+1988555248 five five", ["+1988555248", "+1988555248 five five"]), ("john@example.com or me at example dot org", ["john@example.com", "me at example dot org"]),
+])
+def test_disguised_identifiers_with_a_plain_fragment(text, found):
+    base, spans = pii.detect(text)
+    assert [text[s:e] for s, e, _ in spans] == found and set(base) <= set(spans)
+
+
+def test_redaction_leaves_no_fragment(spark):
+    texts = {"a john(dot)doe@example.com b": "a <EMAIL> b", "john@mail.example(dot)com": "<EMAIL>", "jоhn@example.cоm.": "<EMAIL>.", "call +1988555248 five five!": "call <PHONE>!"}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r["text"]: r["new"] for r in df.select("text", pii.redacted("text").alias("new")).collect()} == texts
+
+
 def test_languages_of_a_mixture():
     rng, sets = random.Random(1), {"xx": ["alpha", "beta", "gamma", "delta"], "yy": ["uno", "dosi", "tresa", "cuatro"], "zz": ["ichi", "nisan", "yongo", "roku"]}
     make = lambda k, n: " ".join(rng.choices(sets[k], k=n))

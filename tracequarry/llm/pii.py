@@ -2,7 +2,8 @@
 
 Plain identifiers are found in the text as it stands. Then transducers rewrite the text, each keeping for every character
 it emits the source span that it came from: look-alike characters to ASCII, spelled digits to digits, disguised at and dot
-to @ and a dot. Identifiers in the rewritten text are mapped back to source characters and added where no span lies yet.
+to @ and a dot. Identifiers in the rewritten text are mapped back to source characters and added unless a span of the same
+kind covers them; a longer one stands beside the plain fragment that it holds.
 
 Cases: null counts as empty and has no spans; any length is scanned whole; touching and repeated finds are kept in order of
 start, then kind; repeated rows give repeated results; other columns are left alone.
@@ -107,7 +108,7 @@ _DISGUISED = (
     # a bare at or a real one, with disguised dots up to a known ending
     regex.compile(rf"{_NAME}(?:(?:\.|{_DOT}|{_BARE_DOT}){_NAME})*+(?P<at>{_BARE_AT}|[ \t]*@[ \t]*)[A-Za-z0-9-]++(?:(?:\.|{_DOT}|{_BARE_DOT})[A-Za-z0-9-]++)*(?:\.|{_DOT}|{_BARE_DOT})(?:{_ENDINGS})(?![A-Za-z0-9-])", regex.I),
 )
-_SIGNS = (regex.compile(_AT, regex.I), regex.compile(rf"{_BARE_AT}(?=[A-Za-z0-9-]++(?:\.|{_DOT}|{_BARE_DOT}))|[ \t]+@[ \t]*|[ \t]*@(?=[^@\n]*[ \t(\[{{<])[ \t]*", regex.I))
+_SIGNS = (regex.compile(_AT, regex.I), regex.compile(rf"{_BARE_AT}(?=[A-Za-z0-9-]++(?:\.|{_DOT}|{_BARE_DOT}))|(?<![ \t])[ \t]*+@[ \t]*+", regex.I))
 #: Characters before and after a disguised at in which its address lies: addresses hold 64 and 255 at most.
 _BEFORE, _AFTER = 200, 600
 _DOTS = regex.compile(rf"{_DOT}|{_BARE_DOT}", regex.I)
@@ -231,7 +232,7 @@ def rewritten(text: str) -> Rewritten | None:
 
 
 def detect(text: str) -> tuple[list[Span], list[Span]]:
-    """Plain spans, and all spans: those and what the rewritten text shows elsewhere."""
+    """Plain spans, and all spans: those and what the rewritten text shows that none of the same kind covers."""
     base = find(text)
     r = rewritten(text)
     if r is None:
@@ -239,7 +240,7 @@ def detect(text: str) -> tuple[list[Span], list[Span]]:
     added: list[Span] = []
     for s, e, kind in find(r.text):
         span = (r.starts[s], r.ends[e - 1], kind)
-        if not any(a < span[1] and span[0] < b for a, b, _ in base + added):
+        if not any(k == kind and a <= span[0] and span[1] <= b for a, b, k in base + added):
             added.append(span)
     return base, sorted(base + added, key=lambda s: (s[0], s[2], s[1]))
 
@@ -262,11 +263,11 @@ def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 @F.pandas_udf(T.StringType())
 def redacted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Texts with each span replaced by its kind in angle brackets; overlapping spans go together."""
+    """Texts with each span replaced by its kind in angle brackets; overlapping spans go together, named by the longest of those that start first."""
     for texts in batches:
         out = []
         for text in texts:
-            spans = detect(text)[1] if text else []
+            spans = sorted(detect(text)[1], key=lambda s: (s[0], -s[1], s[2])) if text else []
             parts, at = [], 0
             for s, e, k in spans:
                 if s >= at:
