@@ -37,6 +37,15 @@ def test_slice_keeps_what_the_sink_reads(spark):
     assert sorted(r["idx"] for r in got.collect()) == [0, 2]
 
 
+def test_facts_cross_long_methods(spark):
+    code = [(1, 1, 0, "const/4", "v1", "v9", 0, None), (1, 1, 1, "if-eqz", "v2", "v9", 3, None)] + [(1, 1, i, "const/4", "v7", "v9", 0, None) for i in range(2, 600)]
+    code += [(1, 1, 600, "invoke-static", "v0", "v1", 0, "Ljava/lang/Runtime;->exec(I)V"), (1, 1, 601, "goto", "v0", "v0", 590, None)]
+    instr = spark.createDataFrame(code, "apk long, method long, idx int, opcode string, reg string, reg2 string, target int, call string")
+    assert sorted(r["idx"] for r in bytecode.backward_slices(instr, bytecode.find_sinks(instr, rules.sinks(spark)), cut).collect()) == [0, 600]
+    got = [tuple(r) for r in bytecode.reachable(bytecode.cfg_edges(instr), cut).collect()]
+    assert sorted(got) == [(1, 1, 1, n) for n in range(2, 602)]
+
+
 def test_labels_and_overrides(spark):
     cases = [(70, True, False, "CONFIRMED_MALWARE"), (30, True, False, "PACKED_DROPPER"), (70, False, False, "DORMANT_MALWARE"), (50, False, True, "SANDBOX_EVASION_DETECTED"), (50, False, False, "LIKELY_BENIGN")]
     df = spark.createDataFrame(cases, "base int, high boolean, evasion boolean, label string")

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 _CALL = r"(L[^,\s]+;)->([^\s(]+)(\([^)]*\).+)$"
@@ -59,44 +65,78 @@ def defines(instr: DataFrame) -> DataFrame:
     return instr.select(*_PLACE, made.alias("def"), read.alias("uses"))
 
 
-def backward_slices(instr: DataFrame, sinks: DataFrame, cut, rounds: int = 256) -> DataFrame:
+def _walked(methods: DataFrame, key: str, found: str, walk) -> DataFrame:
+    """(apk, method, key, found): what walk(row) gives as (key, found) pairs for each row, which holds one method whole."""
+    names, most = ["apk", "method", key, found], 1 << 16
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            kinds = [part.schema.field("apk").type, part.schema.field("method").type, pa.int32(), pa.int32()]
+            for row in part.to_pylist():
+                pairs = walk(row)
+                while some := [*itertools.islice(pairs, most)]:
+                    columns = [[row["apk"]] * len(some), [row["method"]] * len(some), *zip(*some, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    kept = [methods.schema["apk"], methods.schema["method"]]
+    return methods.mapInArrow(batches, T.StructType([*kept, T.StructField(key, T.IntegerType()), T.StructField(found, T.IntegerType())]))
+
+
+def _by_method(df: DataFrame, name: str, *cols: str) -> DataFrame:
+    return df.groupBy("apk", "method").agg(F.collect_list(F.struct(*cols)).alias(name))
+
+
+def _slices(row: dict) -> Iterator[tuple[int, int]]:
+    code, back = defaultdict(list), defaultdict(list)
+    for c in row["code"]:
+        code[c["idx"]].append((c["def"], [u for u in c["uses"] if u is not None]))
+    for e in row["edges"] or ():
+        back[e["dst"]].append(e["src"])
+    for sink in {s["idx"] for s in row["sinks"]}:
+        seen = {(sink, u) for _, uses in code[sink] for u in uses}
+        left, kept = [*seen], set()
+        while left:
+            at, sym = left.pop()
+            for p in back[at]:
+                for made, uses in code[p]:
+                    if made == sym:
+                        kept.add(p)
+                    fresh = {(p, u) for u in (uses if made == sym else (sym,))} - seen
+                    seen |= fresh
+                    left += fresh
+        yield from ((sink, i) for i in kept)
+
+
+def backward_slices(instr: DataFrame, sinks: DataFrame, cut) -> DataFrame:
     """(apk, method, sink, idx): instructions that a sink's registers depend on, within its method.
 
-    A symbol is live before an instruction if it is used there by a kept one, or is live after and isn't written there. Each
-    round joins only what is new; `cut` writes it, so plans stay short. All joins are on the method."""
-    code = cut(defines(instr))
-    back = cut(cfg_edges(instr).select("apk", "method", F.col("src").alias("p"), F.col("dst").alias("at")).distinct())
-    seed = sinks.select("apk", "method", F.col("idx").alias("sink")).distinct()
-    key = ["apk", "method", "sink"]
-    live = cut(seed.join(code.select("apk", "method", F.col("idx").alias("sink"), "uses"), key).select(*key, F.col("sink").alias("at"), F.explode("uses").alias("sym")))
-    # what is live at `at` reaches each predecessor p: it is written there, or live there too
-    reached = lambda facts: facts.join(back, ["apk", "method", "at"]).drop("at").join(code.withColumnRenamed("idx", "p"), ["apk", "method", "p"])
-    new, seen = live, live
-    for _ in range(rounds):
-        before = F.when(F.col("def") == F.col("sym"), F.col("uses")).otherwise(F.array("sym"))
-        step = reached(new).select(*key, F.col("p").alias("at"), F.explode(before).alias("sym")).distinct()
-        new = cut(step.join(seen, [*key, "at", "sym"], "left_anti"))
-        if new.isEmpty():
-            break
-        seen = seen.union(new)
-    kept = reached(seen).where("def = sym").select(*key, F.col("p").alias("idx"))
-    return kept.union(seed.withColumn("idx", F.col("sink"))).distinct()
-
-
-def reachable(edges: DataFrame, cut, rounds: int = 256) -> DataFrame:
-    """(apk, method, start, node): what control flow reaches from each instruction that branches; itself only on a cycle."""
-    edge = cut(edges.select("apk", "method", "src", "dst", "kind"))
-    starts = edge.where("kind = 'branch'").select("apk", "method", "src").distinct()
-    hops = edge.select("apk", "method", "src", "dst").distinct()
-    new = cut(hops.join(starts, ["apk", "method", "src"]).select("apk", "method", F.col("src").alias("start"), F.col("dst").alias("node")))
-    seen = new
-    for _ in range(rounds):
-        step = new.join(hops.withColumnRenamed("src", "node"), ["apk", "method", "node"]).select("apk", "method", "start", F.col("dst").alias("node")).distinct()
-        new = cut(step.join(seen, ["apk", "method", "start", "node"], "left_anti"))
-        if new.isEmpty():
-            break
-        seen = seen.union(new)
-    return seen
+    A symbol is live before an instruction if it is used there by a kept one, or is live after and isn't written there. Facts
+    stay within a method, so each method is walked to its fixpoint where its rows have been brought together, however long
+    it is; `cut` writes the result."""
+    seed = sinks.select("apk", "method", "idx").distinct()
+    edges = cfg_edges(instr).select("apk", "method", "src", "dst").distinct()
+    methods = _by_method(seed, "sinks", "idx").join(_by_method(defines(instr), "code", "idx", "def", "uses"), ["apk", "method"]).join(_by_method(edges, "edges", "src", "dst"), ["apk", "method"], "left")
+    return cut(_walked(methods, "sink", "idx", _slices).union(seed.select("apk", "method", F.col("idx").alias("sink"), "idx")).distinct())
+
+
+def _reached(row: dict) -> Iterator[tuple[int, int]]:
+    after = defaultdict(set)
+    for e in row["edges"]:
+        after[e["src"]].add(e["dst"])
+    for start in {e["src"] for e in row["edges"] if e["kind"] == "branch"}:
+        seen, left = set(after[start]), [*after[start]]
+        while left:
+            fresh = after[left.pop()] - seen
+            seen |= fresh
+            left += fresh
+        yield from ((start, node) for node in seen)
+
+
+def reachable(edges: DataFrame, cut) -> DataFrame:
+    """(apk, method, start, node): what control flow reaches from each instruction that branches; itself only on a cycle.
+    Each method is walked whole, as in backward_slices."""
+    methods = _by_method(edges, "edges", "src", "dst", "kind").where("apk IS NOT NULL AND method IS NOT NULL")
+    return cut(_walked(methods, "start", "node", _reached))
 
 
 def usable_methods(methods: DataFrame) -> DataFrame:
