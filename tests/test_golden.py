@@ -14,6 +14,17 @@ def test_score_of_known_counts(spark):
     assert (row["all"], row["some"]) == (81.0, 41.5)
 
 
+def test_code_counts_in_triage(spark):
+    perms = spark.createDataFrame([(1, "android.permission.CAMERA"), (2, "android.permission.CAMERA"), (3, "android.permission.CAMERA")], "apk long, permission string")
+    parts = spark.createDataFrame([], "apk long, no int, kind string, raw_name string, raw_exported string, has_filter boolean, action string, target_sdk int")
+    calls = ["Ljava/lang/Class;->forName(I)V", "Ljava/lang/Class;->forName(J)V", "Ldalvik/system/DexClassLoader;->loadClass(I)V", "Ldalvik/system/DexClassLoader;-><init>(I)V", "Ljava/lang/System;->load(I)V"]
+    code = spark.createDataFrame([(1, 1, i, "invoke-static", c) for i, c in enumerate(calls)], "apk long, method long, idx int, opcode string, call string")
+    names = spark.createDataFrame([(1, False), (2, True), (4, False)], "apk long, obfuscated boolean")
+    got = triage.full_triage(perms, parts, rules.combinations(spark), bytecode.code_markers(code, rules.indicators(spark)), names, spark.createDataFrame([(3,)], "apk long"))
+    # one reflection marker 6, two loading markers 16, both present 10
+    assert {r["apk"]: (r["reflection"], r["loading"], r["obfuscation"], r["score"], r["needs_dynamic"]) for r in got.collect()} == {1: (1, 2, 2, 32.0, True), 2: (0, 0, 1, 5.0, True), 3: (0, 0, 0, 0.0, True), 4: (0, 0, 0, 0.0, False)}
+
+
 def test_combinations_need_all_their_permissions(spark):
     perms = spark.createDataFrame([(1, f"android.permission.{p}") for p in ("INTERNET", "READ_SMS", "RECEIVE_SMS")] + [(2, "android.permission.READ_SMS")], "apk long, permission string")
     assert sorted(r["combination"] for r in triage.permission_combos(perms, rules.combinations(spark)).collect()) == ["SMS_EXFILTRATION", "SMS_INTERCEPTION"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequarry.operators import bytecode, dataset, telemetry, triage
+from tracequarry.operators import bytecode, dataset, rules as checks, telemetry, triage
 from tracequarry.plans import rules
 from tracequarry.plans.views import oracle, view
 from tracequarry.sources.shared import cut
@@ -23,6 +23,15 @@ _TRIAGED = f"""{_HELD}, {_SHOWN}, triaged AS (SELECT apk, coalesce(c, 0) AS comb
   FROM (SELECT apk, count(*) AS c FROM combos GROUP BY 1) FULL JOIN (SELECT apk, count(*) FILTER (exported) AS e FROM shown GROUP BY 1) USING (apk))"""
 _CALLS = r"calls AS (SELECT apk, method, idx, opcode, regexp_extract(call, '(L[^,\s]+;)->([^\s(]+)(\([^)]*\).+)$', 1) AS class_name, regexp_extract(call, '(L[^,\s]+;)->([^\s(]+)(\([^)]*\).+)$', 2) AS method_name, regexp_extract(call, '(L[^,\s]+;)->([^\s(]+)(\([^)]*\).+)$', 3) AS descriptor FROM v_instr WHERE opcode LIKE 'invoke-%' AND call IS NOT NULL)"
 _FOUND = f"{_CALLS}, sinks AS (SELECT DISTINCT c.apk, c.method, c.idx, r.rule_id, r.category FROM calls c JOIN {_SINKS} r ON c.class_name = r.class_name AND c.method_name = r.method_name AND (r.descriptor IS NULL OR r.descriptor = c.descriptor))"
+_FULL = f"""{_HELD}, {_SHOWN}, {_CALLS},
+markers AS (SELECT apk, count(DISTINCT marker) FILTER (indicator = 'reflection') AS reflection, count(DISTINCT marker) FILTER (indicator = 'dynamic_loading') AS loading FROM
+  (SELECT apk, indicator, CASE WHEN class_name LIKE 'Ldalvik/system/%' THEN class_name ELSE class_name || '->' || method_name END AS marker FROM calls JOIN {_INDICATORS} r USING (class_name, method_name)) GROUP BY 1),
+short AS (SELECT apk, (count(*) >= 4 AND round(CAST(count(*) FILTER (len(segment) <= 2) AS DOUBLE) / count(*), 6) >= 0.6)::BIGINT AS short FROM (SELECT apk, unnest(string_split(name, '.')) AS segment FROM shown) GROUP BY 1),
+packages AS (SELECT apk FROM v_perm UNION SELECT apk FROM v_component UNION SELECT apk FROM v_instr),
+counted AS (SELECT apk, coalesce(c, 0) AS combos, coalesce(e, 0) AS exported, coalesce(reflection, 0) AS reflection, coalesce(loading, 0) AS loading, coalesce(short, 0) + (coalesce(reflection, 0) > 0)::BIGINT + (coalesce(loading, 0) > 0)::BIGINT AS obfuscation, apk NOT IN (SELECT apk FROM v_instr) AS warned
+  FROM packages LEFT JOIN (SELECT apk, count(*) AS c FROM combos GROUP BY 1) USING (apk) LEFT JOIN (SELECT apk, count(*) FILTER (exported) AS e FROM shown GROUP BY 1) USING (apk) LEFT JOIN markers USING (apk) LEFT JOIN short USING (apk)),
+full_score AS (SELECT *, round(least(least(20.0 * combos, 50) + least(1.5 * exported, 12) + least(6.0 * reflection, 12) + least(8.0 * loading, 16) + least(5.0 * obfuscation, 10), 100), 2)::DOUBLE AS score FROM counted),
+full_triage AS (SELECT apk, combos, exported, reflection, loading, obfuscation, score, score >= 60 OR combos > 0 OR loading > 0 OR obfuscation > 0 OR warned AS needs_dynamic FROM full_score)"""
 _EDGES = """code AS (SELECT *, max(idx) OVER (PARTITION BY apk, method) AS last FROM v_instr),
 edges AS (SELECT apk, method, idx AS src, idx + 1 AS dst, 'fallthrough' AS kind FROM code WHERE opcode NOT LIKE 'return%' AND opcode <> 'goto' AND idx < last
   UNION SELECT apk, method, idx, target, CASE WHEN opcode = 'goto' THEN 'goto' ELSE 'branch' END FROM code WHERE (opcode LIKE 'if-%' OR opcode = 'goto') AND target <= last)"""
@@ -56,6 +65,14 @@ def _triaged(spark: SparkSession, sf: str) -> DataFrame:
     return triage.triage(view(spark, sf, "v_perm"), view(spark, sf, "v_component"), rules.combinations(spark))
 
 
+def _full_triage(spark: SparkSession, sf: str) -> DataFrame:
+    """With the terms of the code; a package without instructions is one without code, which is a warning."""
+    perms, components, instr = (view(spark, sf, v) for v in ("v_perm", "v_component", "v_instr"))
+    packages = perms.select("apk").union(components.select("apk")).union(instr.select("apk")).distinct()
+    names = checks.short_identifiers(triage.exported_components(components)).unionByName(instr.select("apk").distinct(), allowMissingColumns=True).groupBy("apk").agg(F.bool_or("obfuscated").alias("obfuscated"))
+    return triage.full_triage(perms, components, rules.combinations(spark), bytecode.code_markers(instr, rules.indicators(spark)), names, packages.join(instr.select("apk").distinct(), "apk", "left_anti"))
+
+
 def _sinks(spark: SparkSession, sf: str) -> DataFrame:
     return bytecode.find_sinks(view(spark, sf, "v_instr"), rules.sinks(spark))
 
@@ -94,6 +111,16 @@ def _(spark, sf):
     return triage.priority_queue(_triaged(spark, sf), 100)
 
 
+@_query("sco2_full_triage", oracle("SELECT * FROM full_triage", "v_perm", "v_component", "v_instr", also=_FULL))
+def _(spark, sf):
+    return _full_triage(spark, sf)
+
+
+@_query("srt1_full_queue", oracle("SELECT * FROM full_triage ORDER BY score DESC, apk LIMIT 100", "v_perm", "v_component", "v_instr", also=_FULL))
+def _(spark, sf):
+    return triage.priority_queue(_full_triage(spark, sf), 100)
+
+
 # ---- bytecode ----
 @_query("fn6_method_ref", oracle("SELECT apk, method, idx, opcode, class_name, method_name, descriptor FROM calls", "v_instr", also=_CALLS))
 def _(spark, sf):

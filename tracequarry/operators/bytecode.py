@@ -38,6 +38,14 @@ def call_indicators(instr: DataFrame, indicators: DataFrame) -> DataFrame:
     return invokes(instr).join(F.broadcast(indicators), ["class_name", "method_name"]).groupBy("apk", "indicator").agg(F.countDistinct("class_name", "method_name", "descriptor").alias("n"))
 
 
+def code_markers(instr: DataFrame, indicators: DataFrame) -> DataFrame:
+    """(apk, reflection, loading): a package's distinct markers; the loader classes of the platform are one marker each."""
+    marker = F.when(F.col("class_name").startswith("Ldalvik/system/"), F.col("class_name")).otherwise(F.concat_ws("->", "class_name", "method_name"))
+    called = invokes(instr).join(F.broadcast(indicators), ["class_name", "method_name"])
+    count = lambda kind, name: F.countDistinct(F.when(F.col("indicator") == kind, marker)).alias(name)
+    return called.groupBy("apk").agg(count("reflection", "reflection"), count("dynamic_loading", "loading"))
+
+
 def with_neighbours(instr: DataFrame) -> DataFrame:
     w = W.partitionBy("apk", "method").orderBy("idx")
     return instr.select(*_PLACE, "opcode", F.lag("opcode").over(w).alias("before"), F.lead("opcode").over(w).alias("after"))

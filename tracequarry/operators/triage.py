@@ -52,5 +52,23 @@ def triage(perms: DataFrame, components: DataFrame, rules: DataFrame) -> DataFra
     return scored.withColumn("needs_dynamic", (F.col("score") >= 60) | (F.col("combos") > 0))
 
 
+def full_triage(perms: DataFrame, components: DataFrame, rules: DataFrame, markers: DataFrame, names: DataFrame, warned: DataFrame) -> DataFrame:
+    """triage() with the terms of the code: markers (apk, reflection, loading), names (apk, obfuscated) by short identifiers,
+    and warned (apk), the packages whose code could not be read or isn't there. A package of any table has a row."""
+    combos = permission_combos(perms, rules).groupBy("apk").agg(F.count("*").alias("combos"))
+    shown = exported_components(components).groupBy("apk").agg(F.count_if("exported").alias("exported"))
+    warnings = warned.select("apk").distinct().withColumn("warned", F.lit(True))
+    every = perms.select("apk").union(components.select("apk")).union(markers.select("apk")).union(names.select("apk")).union(warnings.select("apk")).distinct()
+    for part in (combos, shown, markers.select("apk", "reflection", "loading"), names.select("apk", "obfuscated"), warnings):
+        every = every.join(part, "apk", "left")
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    known = every.select("apk", *map(number, ("combos", "exported", "reflection", "loading")), F.coalesce("obfuscated", F.lit(False)).cast("long").alias("short"), F.coalesce("warned", F.lit(False)).alias("warned"))
+    signs = F.col("short") + (F.col("reflection") > 0).cast("long") + (F.col("loading") > 0).cast("long")
+    counted = known.withColumn("obfuscation", signs)
+    scored = counted.withColumn("score", triage_score(*map(F.col, ("combos", "exported", "reflection", "loading", "obfuscation"))))
+    dynamic = (F.col("score") >= 60) | (F.col("combos") > 0) | (F.col("loading") > 0) | (F.col("obfuscation") > 0) | F.col("warned")
+    return scored.select("apk", "combos", "exported", "reflection", "loading", "obfuscation", "score", dynamic.alias("needs_dynamic"))
+
+
 def priority_queue(triaged: DataFrame, k: int) -> DataFrame:
     return triaged.orderBy(F.desc("score"), "apk").limit(k)
