@@ -57,6 +57,13 @@ def test_facts_cross_long_methods(spark):
     assert sorted(got) == [(1, 1, 1, n) for n in range(2, 602)]
 
 
+def test_pending_skips_finished_and_retries_the_rest(spark):
+    work = spark.createDataFrame([(k,) for k in "abcdefg"], "apk_hash string")
+    rows = [("a", "completed", "p", "t"), ("b", "failed", "p", "t"), ("c", "capped", "old", "t"), ("d", "zero_sink", "p", "old"), ("e", "capped", None, "t"), *[("f", "failed", "p", "t")] * 9, ("f", "capped", "p", "t")]
+    records = spark.createDataFrame(rows, "apk_hash string, status string, policy string, tokenizer string")
+    assert sorted(r["apk_hash"] for r in dataset.pending(work, records, "apk_hash", {"policy": "p", "tokenizer": "t"}).collect()) == [*"bcdeg"]
+
+
 def test_labels_and_overrides(spark):
     cases = [(70, True, False, "CONFIRMED_MALWARE"), (30, True, False, "PACKED_DROPPER"), (70, False, False, "DORMANT_MALWARE"), (50, False, True, "SANDBOX_EVASION_DETECTED"), (50, False, False, "LIKELY_BENIGN")]
     df = spark.createDataFrame(cases, "base int, high boolean, evasion boolean, label string")

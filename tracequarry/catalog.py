@@ -265,6 +265,17 @@ def _(spark, sf):
     return tokens.select("apk_hash").distinct().join(done, "apk_hash", "left_anti")
 
 
+_RECORDED = "recorded AS (SELECT example_id, status, 'policy' || CAST(example_id % 3 AS VARCHAR) AS policy, 'tokens' || CAST(example_id % 5 AS VARCHAR) AS tokenizer FROM v_token)"
+
+
+@_query("set6_unfinished", oracle("SELECT DISTINCT example_id FROM v_token WHERE example_id NOT IN (SELECT example_id FROM recorded WHERE status IN ('completed', 'completed_with_truncation', 'capped', 'zero_sink') AND policy = 'policy1' AND tokenizer = 'tokens2')", "v_token", also=_RECORDED))
+def _(spark, sf):
+    tokens = view(spark, sf, "v_token")
+    of = lambda word, n: F.concat(F.lit(word), (F.col("example_id") % n).cast("string"))
+    recorded = tokens.select("example_id", "status", of("policy", 3).alias("policy"), of("tokens", 5).alias("tokenizer"))
+    return dataset.pending(tokens, recorded, "example_id", {"policy": "policy1", "tokenizer": "tokens2"})
+
+
 @_query("agg16_decide", oracle("SELECT apk, max(probability) AS most, count(*) FILTER (probability >= 0.6) AS raised, bool_or(probability >= 0.85) OR count(*) FILTER (probability >= 0.6) >= 2 AS malicious FROM v_slice_score GROUP BY 1", "v_slice_score"))
 def _(spark, sf):
     return dataset.decide(view(spark, sf, "v_slice_score"))

@@ -104,6 +104,17 @@ def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("rn = 1").drop("rn")
 
 
+TERMINAL = ("completed", "completed_with_truncation", "capped", "zero_sink")
+
+
+def pending(work: DataFrame, records: DataFrame, key: str, current: dict[str, str], terminal=TERMINAL) -> DataFrame:
+    """Keys of work that no record has finished: one of terminal status whose digest columns all equal the current ones."""
+    done = records.where(F.col("status").isin(*terminal))
+    for name, digest in current.items():
+        done = done.where(F.col(name) == digest)
+    return work.select(key).distinct().join(done.select(key), key, "left_anti")
+
+
 def decide(slices: DataFrame, hi: float = 0.85, lo: float = 0.60, k: int = 2) -> DataFrame:
     p = F.col("probability")
     return slices.groupBy("apk").agg(F.max(p).alias("most"), F.count_if(p >= lo).alias("raised"), (F.bool_or(p >= hi) | (F.count_if(p >= lo) >= k)).alias("malicious"))
