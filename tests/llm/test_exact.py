@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tracequarry.llm import bpe, langid, media, neardup, pii, quality, runindex, suffixes
+from tracequarry.llm import bpe, decontam, langid, media, neardup, pii, quality, runindex, suffixes
 
 WORDS = [f"w{i}" for i in range(300)]
 
@@ -170,6 +170,27 @@ def test_redaction_leaves_no_fragment(spark):
     assert {r["text"]: r["new"] for r in df.select("text", pii.redacted("text").alias("new")).collect()} == texts
 
 
+def test_benchmark_items_without_id_hit_too(spark, tmp_path):
+    import duckdb
+
+    long = " ".join(f"q{i}" for i in range(20))
+    docs = [(1, f"so {long} it goes"), (2, "nothing of it"), (3, "two words, and no id here"), (4, "two words, and both ids here with ids")]
+    items = [(None, long), (None, "no id here"), (7, "both ids"), (None, None), (8, "ids")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(con.sql(decontam.OP6_SQL).fetchall())
+    df = decontam.op6_benchmark_hits(spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == want and [(w[2], w[3], w[5]) for w in want] == [(20, 1, True), (0, 0, False), (3, 1, True), (3, 2, True)]
+    kept = decontam.drop_contaminated(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet"))
+    assert [r["doc_id"] for r in kept.collect()] == [2]
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    small = table.select("doc_id", decontam.hit_columns(table, spark.read.parquet(f"{tmp_path}/benchmark.parquet"), part_chars=1).alias("r")).select("doc_id", *[f"r.{c}" for c in df.columns[1:]])
+    assert sorted(map(tuple, small.collect())) == want
+
+
 def test_languages_of_a_mixture():
     rng, sets = random.Random(1), {"xx": ["alpha", "beta", "gamma", "delta"], "yy": ["uno", "dosi", "tresa", "cuatro"], "zz": ["ichi", "nisan", "yongo", "roku"]}
     make = lambda k, n: " ".join(rng.choices(sets[k], k=n))

@@ -6,7 +6,8 @@ the patterns to compare word by word. Benchmarks are searched for in parts of bo
 not grow with them.
 
 Cases: null texts have no words, as have texts of separators only; items without words are never found; items whose words
-repeat those of others all count; an empty benchmark or document table gives n_hit 0, or no rows; repeated and null doc_ids
+repeat those of others all count; items without an id hit words like others, count together as one item and have no place
+in the list of ids; an empty benchmark or document table gives n_hit 0, or no rows; repeated and null doc_ids
 stay as they are; no other column is read.
 """
 
@@ -145,15 +146,16 @@ def _finder(spark: SparkSession, items: list[tuple[object, str]], window: int):
 def _summed(hits: pd.Series, items: pd.Series) -> pd.DataFrame:
     rows = []
     for h, found in zip(hits, items, strict=True):
-        ids = sorted(set(found))
-        rows.append((_joined([int(x) for x in h]), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest()))
+        items_found = set(found)
+        ids = sorted(x for x in items_found if x is not None)
+        rows.append((_joined([int(x) for x in h]), len(items_found), hashlib.sha256(",".join(ids).encode()).hexdigest()))
     return pd.DataFrame(rows, columns=["n_hit", "n_items", "items_sha256"])
 
 
-def parts(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple[str, str]]]:
+def parts(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple[str | None, str]]]:
     """The items, as strings, in lists of limited size; the driver holds one list at a time."""
     part, chars = [], 0
-    for row in benchmark.select(F.col(item_id).cast("string"), text).where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).toLocalIterator():
+    for row in benchmark.select(F.col(item_id).cast("string"), text).where(F.col(text).isNotNull()).toLocalIterator():
         if part and chars + len(row[1]) > limit:
             yield part
             part, chars = [], 0
