@@ -164,6 +164,28 @@ def test_disguised_identifiers_with_a_plain_fragment(text, found):
     assert [text[s:e] for s, e, _ in spans] == found and set(base) <= set(spans)
 
 
+@pytest.mark.parametrize("text", [
+    "plus four.nine.one.seven.zero.one.two.three.four.five", "+four,one,two,three,four,five,six,seven,eight,nine", "plus 49 170 123 45 67", "+ 49 170 1234567", "+ſix four five six seven eight nine one two three",
+    "jane\tat\tmail.example.com", "jane\t@\tmail.example.com", "jane at 1.example.com", "jane *at_ mail.example.com",
+])
+def test_gates_let_patterns_through(text):
+    assert [text[s:e] for s, e, _ in pii.detect(text)[1]] == [text]
+
+
+def test_gates_lose_nothing(monkeypatch):
+    rng = random.Random(8)
+    parts = [*pii._SPELLED, "plus", "+", "@", "at", "AT", "dot", "punKt", "arroba", "(at)", "[dot]", "_at_", "*dot*", "(.)", "[@]", "jane", "mail", "example", "com", "org", "1", "4", "192", "ſix", "nİne", "fıve", "о", "-", ".", ",", "(", ")", " ", "  ", "\t", "\n", "x", "_", "*", "<", "[", "{"]
+    texts = ["".join(p + rng.choice(["", " ", ".", ",", "\t", "-", " "]) for p in rng.choices(parts, k=rng.randint(1, 14))) for _ in range(20000)]
+    texts += [rng.choice([" ", ".", ",", "\t", "-", ") ("]).join(["plus", *rng.choices([*pii._SPELLED], k=11)]) for _ in range(500)]
+    texts += [f"{rng.choice(['jane', 'j.d'])}{rng.choice([' at ', '\tat\t', ' @', '\t@', '@\t', '(at)', '_at*'])}{rng.choice(['mail', '1'])}{rng.choice(['.', ' dot ', '[.]', '*dot_'])}{rng.choice(['com', 'de'])}" for _ in range(500)]
+    gated = [pii.detect(t) for t in texts]
+    assert sum(len(spans) > len(base) for base, spans in gated) > 500
+    monkeypatch.setattr(pii, "_signs", lambda folded: True)
+    monkeypatch.setattr(pii, "_spelled", lambda folded: True)
+    for text, got in zip(texts, gated, strict=True):
+        assert pii.detect(text) == got, text
+
+
 def test_redaction_leaves_no_fragment(spark):
     texts = {"a john(dot)doe@example.com b": "a <EMAIL> b", "john@mail.example(dot)com": "<EMAIL>", "jоhn@example.cоm.": "<EMAIL>.", "call +1988555248 five five!": "call <PHONE>!"}
     df = spark.createDataFrame([(t,) for t in texts], "text string")

@@ -113,13 +113,13 @@ _SIGNS = (regex.compile(_AT, regex.I), regex.compile(rf"{_BARE_AT}(?=[A-Za-z0-9-
 _BEFORE, _AFTER = 200, 600
 _DOTS = regex.compile(rf"{_DOT}|{_BARE_DOT}", regex.I)
 _IP_DOTS = regex.compile(rf"(?<=[0-9])(?:{_DOT}|{_BARE_DOT})(?=[0-9])", regex.I)
-_SPELLED_PAIR = regex.compile(rf"(?<!\p{{L}})(?:{_NAMED})[ \t,.()-]+(?:{_NAMED}|[0-9]+)(?!\p{{L}})", regex.I)
+_PLUS_GAP = regex.compile(r"\+[ \t]+(?=[0-9])")
 
-# Cheap signs, on lower-case text, that a transducer may have work; the common short ones don't count alone.
-_MARKS = ("dot", "punkt", "point", "punto", "(at", "[at", "{at", "<at", "_at_", "*at*", "arroba", "arobase", " @", "@ ", "@)", "@]", "(.)", "[.]")
-_AT_HOST = regex.compile(r" at +[a-z0-9-]+\.[a-z]")
-_TELLING = frozenset(w + end for w in _SPELLED if w not in ("un", "oh", "null", "dos", "uno") for end in ("", ",", ".", ";", ":", "!", "?", ")", "-"))
-_HYPHENED = tuple(f"{w}-" for w in _SPELLED)
+# Cheap signs, on folded text, that a transducer may have work: each holds wherever one of its patterns does.
+_MARKS = ("dot", "punkt", "point", "punto", "(at", "[at", "{at", "<at", "_at_", "*at*", "_at*", "*at_", "arroba", "arobase", " @", "@ ", "\t@", "@\t", "@)", "@]", "(.)", "[.]")
+_BARE_ATS = (" at ", " at\t", "\tat ", "\tat\t")
+_AT_HOST = regex.compile(r"[ \t]at[ \t]+[a-z0-9-]+\.")
+_DIGIT_WORD = re.compile(rf"(?:{_NAMED})(?:[ \t,.()-]+(?:{_NAMED}|[0-9]|plus)|[0-9]|plus)")
 _KNOWN: dict[str, bool] = {}  # whether a character needs no rewriting
 
 
@@ -129,13 +129,17 @@ def _plain(c: str) -> bool:
     return _KNOWN[c]
 
 
-def _signs(lower: str) -> bool:
-    return any(m in lower for m in _MARKS) or (" at " in lower and bool(_AT_HOST.search(lower)))
+def _folded(text: str) -> str:
+    """Lower case as the patterns take it, which match the long s, the Kelvin sign and the Turkish i as well."""
+    return text.lower() if text.isascii() else text.casefold().replace("\u0307", "").replace("ı", "i")
 
 
-def _spelled(lower: str) -> bool:
-    telling = not _TELLING.isdisjoint(lower.split()) or ("-" in lower and any(w in lower for w in _HYPHENED))
-    return telling and bool(_SPELLED_PAIR.search(lower))
+def _signs(folded: str) -> bool:
+    return any(m in folded for m in _MARKS) or (any(m in folded for m in _BARE_ATS) and bool(_AT_HOST.search(folded)))
+
+
+def _spelled(folded: str) -> bool:
+    return bool(_DIGIT_WORD.search(folded)) or ("plus" in folded and bool(_PLUS.search(folded))) or ("+" in folded and bool(_PLUS_GAP.search(folded)))
 
 
 class Rewritten:
@@ -186,7 +190,7 @@ _NOT_ASCII = regex.compile(r"[^\x00-\x7F\p{Script=Latin}]|[ıɑɡⅼ＀-￯]")
 
 def digits_of_words(r: Rewritten) -> Rewritten:
     """Runs of spelled digits to digits, without what stands between them."""
-    if not _spelled(r.text.lower()):
+    if not _spelled(_folded(r.text)):
         return r
     edits = []
     for m in _RUN.finditer(r.text):
@@ -194,19 +198,19 @@ def digits_of_words(r: Rewritten) -> Rewritten:
         for w in _NUMBERWORD.finditer(r.text, m.start(), m.end()):
             between = r.text[at : w.start()]
             if run and not _digits(between):
-                run[-1] = (run[-1][0], w.end(), run[-1][2] + _SPELLED[w[0].lower()])
+                run[-1] = (run[-1][0], w.end(), run[-1][2] + _SPELLED[_folded(w[0])])
             else:
-                run.append((w.start(), w.end(), _SPELLED[w[0].lower()]))
+                run.append((w.start(), w.end(), _SPELLED[_folded(w[0])]))
             at = w.end()
         edits += run
     edits += [(m.start(), m.end(), "+") for m in _PLUS.finditer(r.text)]
     r = r.replaced(sorted(edits))
-    return r.replaced([(m.start() + 1, m.end(), "") for m in regex.finditer(r"\+[ \t]+(?=[0-9])", r.text)])
+    return r.replaced([(m.start() + 1, m.end(), "") for m in _PLUS_GAP.finditer(r.text)])
 
 
 def signs_of_words(r: Rewritten) -> Rewritten:
     """Disguised at and dot to @ and a dot, where they form an address."""
-    if not _signs(r.text.lower()):
+    if not _signs(_folded(r.text)):
         return r
     edits: list[tuple[int, int, str]] = []
     for pattern, sign in zip(_DISGUISED, _SIGNS, strict=True):
@@ -223,8 +227,8 @@ def signs_of_words(r: Rewritten) -> Rewritten:
 
 def rewritten(text: str) -> Rewritten | None:
     """The text after all transducers; None if none changes it."""
-    lower = text.lower()
-    if (text.isascii() or all(map(_plain, set(text)))) and not _signs(lower) and not _spelled(lower):
+    folded = _folded(text)
+    if (text.isascii() or all(map(_plain, set(text)))) and not _signs(folded) and not _spelled(folded):
         return None
     first = Rewritten(text)
     last = signs_of_words(digits_of_words(plain_letters(first)))
