@@ -7,9 +7,10 @@ the probability of their probability Jaccard similarity. Bands of registers give
 
 Within a bucket all documents are compared to its first one only; that gives a star, not all pairs. What then stands in
 one bucket but in different groups is looked at again: shingles that a document alone has bound its similarity to any other,
-which rules most out; the rest is compared to the document that has the least of its own, and what is apart even then, pair
-by pair where the bound allows a link. So no link between documents that share a bucket is lost, and a bucket of many copies
-costs about its size. Similarities are computed exactly, on the shingles.
+which rules most out; the rest is compared to the document that has the least of its own. What is apart even then is dealt
+into blocks; a task has two blocks at a time, and gives out a forest of the links between them, never the pairs. So no link
+between documents that share a bucket is lost, and a bucket of many copies costs about its size; m texts of one bucket that
+are apart after all that are read m / 1,024 times. Similarities are computed exactly, on the shingles.
 
 Cases: null texts and texts without a word are alone, but equal texts are copies; equal texts share a class before anything
 is compared; ties and repeated ids fall together under the least id; empty tables give no rows; null ids are kept and never
@@ -33,6 +34,8 @@ from tracequarry.llm.windows import gathered
 #: Sums of fractions that should be just SIMILAR can fall short of it by rounding.
 SHINGLE, SIMILAR, ROUNDING = 5, 0.8, 1e-9
 BANDS, ROWS = 20, 4
+#: Texts, and their characters, of a block that one task compares with another block at once.
+TOGETHER, TOGETHER_CHARS = 1024, 1 << 22
 _SEED = np.uint64(0xA0761D6478BD642F)
 
 
@@ -175,14 +178,8 @@ def text_classes(docs: DataFrame, text: str = "text", threshold: float = SIMILAR
     left = cut(_apart(left.select("band", "bucket", "key", "odds"), group))
     if left.isEmpty():
         return _named(group)
-    x, y = left.alias("x"), left.alias("y")
-    other = x.join(y, ["band", "bucket"]).where(f"x.root <> y.root AND x.key < y.key AND x.odds + y.odds <= {1 / threshold - 1 + ROUNDING}")
-    pairs = other.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    for done in (first, second):
-        done = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = pairs.join(done, ["a", "b"], "left_anti")
-    third = _compared(pairs, texts).where(F.col("s") >= threshold - ROUNDING)
-    return _named(components(linked.union(third.select("a", "b"))))
+    third = linked_in_blocks(left.select("band", "bucket", "key", "root").join(texts, "key").join(bands, "key"), threshold)
+    return _named(components(linked.union(third)))
 
 
 def _named(group: DataFrame) -> DataFrame:
@@ -196,6 +193,91 @@ def _apart(member: DataFrame, group: DataFrame) -> DataFrame:
     return seen.join(several, ["band", "bucket"])
 
 
+def linked_in_blocks(member: DataFrame, threshold: float, together: int = TOGETHER, chars: int = TOGETHER_CHARS) -> DataFrame:
+    """(a, b): links between members of a bucket (band, bucket, key, root, text, bands) in different groups; as many of them
+    as connect the groups.
+
+    A bucket is dealt into blocks of about `together` texts or `chars` characters, and each pair of its blocks is one task's
+    work at a time. What comes out is a forest over the block pair's texts, however many pairs are alike."""
+    keys = ["band", "bucket", "low", "high"]
+    size = member.groupBy("band", "bucket").agg(F.greatest(F.ceil(F.count("*") / together), F.ceil(F.sum(F.length("text")) / chars)).cast("int").alias("blocks"))
+    dealt = member.join(size, ["band", "bucket"]).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "root", "bands", "text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            marks = batch[keys].to_numpy()
+            edges = np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1 if len(batch) else ()
+            parts = [batch.iloc[i:j] for i, j in zip([0, *edges], [*edges, len(batch)], strict=True)]
+            if held and parts and (held[-1][keys].to_numpy()[-1] != marks[0]).any():
+                yield forest(pd.concat(held), threshold)
+                held = []
+            for part in parts[:-1]:
+                yield forest(pd.concat([*held, part]), threshold)
+                held = []
+            held += parts[-1:]
+        if held:
+            yield forest(pd.concat(held), threshold)
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(gathered(run), fields("a binary, b binary"))
+
+
+def forest(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links (a, b) that connect the groups (roots) of one block or two, of all links that their texts have in this bucket and
+    share with no earlier band."""
+    block, keys, roots, band = group["block"].to_numpy(), [*group["key"]], [*group["root"]], int(group["band"].iloc[0])
+    x, y = np.flatnonzero(block == group["low"].iloc[0]), np.flatnonzero(block == group["high"].iloc[0])
+    bands = np.stack([*group["bands"]])
+    _, number = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)
+    wanted = number[x][:, None] != number[y][None, :]
+    if group["low"].iloc[0] == group["high"].iloc[0]:
+        wanted &= x[:, None] < y[None, :]
+    for earlier in range(band):  # a pair is looked at in the first bucket that it shares
+        wanted &= bands[x, earlier][:, None] != bands[y, earlier][None, :]
+    parts = [p for _, some in blocks(group["text"]) for p in shingles(some)]
+    wanted &= possible(parts, x, y, threshold) if wanted.any() else wanted
+    up = {n: n for n in number.tolist()}
+
+    def top(n: int) -> int:
+        while up[n] != n:
+            up[n] = up[up[n]]
+            n = up[n]
+        return n
+
+    out = []
+    for i, j in np.argwhere(wanted).tolist():
+        i, j = x[i], y[j]
+        a, b = top(int(number[i])), top(int(number[j]))
+        if a != b and similarity(parts[i], parts[j]) >= threshold - ROUNDING:
+            up[a] = b
+            out.append((keys[i], keys[j]))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def possible(parts: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray, y: np.ndarray, threshold: float, columns: int = 4096) -> np.ndarray:
+    """(x, y) mask: pairs whose bound of unshared() with what the other lacks as each one's own doesn't rule a link out."""
+    element = np.concatenate([e for e, _ in parts])
+    weight = np.concatenate([c / max(1, c.sum()) for _, c in parts])
+    owner = np.repeat(np.arange(len(parts)), [len(e) for e, _ in parts])
+    _, column, n = np.unique(element, return_inverse=True, return_counts=True)
+    shared = n[column] > 1
+    owner, weight, column = owner[shared], weight[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, weight, column = owner[order], weight[order], column[order]
+    of_x, of_y = np.zeros((len(x), len(y))), np.zeros((len(x), len(y)))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        lo, hi = np.searchsorted(column, (at, at + columns))
+        dense = np.zeros((len(parts), columns), np.float32)
+        dense[owner[lo:hi], column[lo:hi] - at] = weight[lo:hi]
+        has = (dense > 0).astype(np.float32)
+        of_x += dense[x] @ has[y].T
+        of_y += has[x] @ dense[y].T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.nan_to_num((1 - of_x) / of_x + (1 - of_y) / of_y, nan=np.inf) <= 1 / threshold - 1 + 1e-4
+
+
 def unshared(texts: DataFrame) -> DataFrame:
     """(key, odds): weight of each text's shingles that no other of the texts has, over the weight of the rest.
 
