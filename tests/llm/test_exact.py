@@ -1,5 +1,6 @@
 """Against brute force, exact round trips, and held-out accuracy."""
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -111,21 +112,69 @@ def test_shots_follow_cuts():
     assert media.shots(np.concatenate([dark, light])) == [(0, 4), (5, 8)]
 
 
-def test_bpe_equals_the_library():
+@pytest.fixture(scope="module")
+def tokenizer():
     from tokenizers import Tokenizer
 
     path = bpe.vocabulary()
-    own, library, rng = bpe.Bpe(path), Tokenizer.from_file(path), random.Random(5)
-    letters = [*"abcdefghijklmnopqrstuvwxyzéßœñ'’ST 0123456789.,!?-  \n\t"] + ["<|endoftext|>", "Σ", "İ", "the", "ing"]
+    return bpe.Bpe(path), Tokenizer.from_file(path)
+
+
+def ids_of(run, text):
+    return [i for some in run(text) for i in some]
+
+
+def test_bpe_equals_the_library(tokenizer):
+    (own, library), rng = tokenizer, random.Random(5)
+    letters = [*"abcdefghijklmnopqrstuvwxyzéßœñ'’ST 0123456789.,!?-  \n\t\x1c"] + ["<|endoftext|>", "Σ", "İ", "the", "ing", "e\u0301"]
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 80))) for _ in range(500)] + ["a" * 9000 + "b", "thethe" * 2000, ""]
-    encode = own.encoder()
+    run, machine, shown = bpe.Transducer(own), bpe.Decoder(own), [*map(str, range(len(own.tokens)))]
     for t in texts:
         ids = library.encode(t, add_special_tokens=False).ids
-        assert encode(t) == ids
-        assert "".join(own.decode(ids)) == library.decode(ids, skip_special_tokens=False)
+        assert ids_of(run, t) == ids
+        back = library.decode(ids, skip_special_tokens=False)
+        assert machine.start()(ids, True) == back
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        assert bpe.digest_of(t, run, machine, shown) == (len(ids), sha(" ".join(map(str, ids))), sha(back))
     word = b"".join(rng.choice([b"th", b"e", b"an", b"ing"]) for _ in range(9000))
     assert [*own.stream(word)] == own.merge([*(own.inner[c] for c in word[:-1]), own.last[word[-1]]])
-    assert "".join(own.text(encode("Grüße, naïve!"))).split() == ["grüße", ",", "naïve", "!"]
+    assert "".join(bpe.readable(own, ids_of(run, "Grüße, naïve!"))).split() == ["grüße", ",", "naïve", "!"]
+
+
+@pytest.mark.parametrize("read", [7, 64])
+def test_bpe_reads_bit_by_bit(tokenizer, monkeypatch, read):
+    """Any cut of the text, and of words longer than what is held, gives the same ids."""
+    (own, library), rng = tokenizer, random.Random(9)
+    monkeypatch.setattr(bpe, "READ", read)
+    parts = ["a", "the", "E\u0301", "\u0301", "'s", "'", "'r", "'re", "1", "!", "..", "é", "\uac00", "\u1100\u1161\u11a8", " ", "  ", "\n", "x" * 20, "!" * 20, "Σ", "<|endoftext|>", "\x1d"]
+    for _ in range(1500):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 40)))
+        assert ids_of(bpe.Transducer(own), text) == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_bpe_knows_every_code_point(tokenizer):
+    own, library = tokenizer
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    run = bpe.Transducer(own)
+    for i in range(0, len(points), 5000):
+        text = "".join(f"a{c}{c} " for c in points[i : i + 5000])
+        ids = library.encode(text, add_special_tokens=False).ids
+        if ids_of(run, text) != ids:
+            assert [c for c in points[i : i + 5000] if ids_of(run, f"a{c}{c} ") != library.encode(f"a{c}{c} ", add_special_tokens=False).ids] == []
+
+
+def test_bpe_holds_little_of_a_long_text(tokenizer):
+    import tracemalloc
+
+    own, _ = tokenizer
+    for text in ("ab" * 200_000, "!" * 300_000, "ab cd, " * 100_000):
+        run, n = bpe.Transducer(own), 0
+        tracemalloc.start()
+        for ids in run(text):
+            n += len(ids)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n and most < 6_000_000
 
 
 def test_plain_identifiers():
@@ -228,3 +277,26 @@ def test_quality_learns():
     net = quality.Network().fit([f() for _ in range(150) for f in (good, bad)], [1, 0] * 150)
     scores = [*net.score([f() for _ in range(40) for f in (good, bad)])]
     assert sum((s >= 0.5) == (i % 2 == 0) for i, s in enumerate(scores)) >= 76
+
+
+@pytest.mark.parametrize("together", [7, 1024])
+def test_blocks_lose_no_link(spark, together):
+    """A bucket of texts at about the threshold, dealt into blocks: its groups are those of all pairs."""
+    rng = random.Random(12)
+    base = [rng.choice(WORDS) for _ in range(120)]
+    texts = {" ".join(rng.choice(WORDS) if rng.random() < 0.017 else w for w in base) for _ in range(90)}
+    rows = [(3, 5, f"{i:04}".encode(), f"{i:04}".encode(), t, [i % 11, *range(1000 * i, 1000 * i + 2), 7]) for i, t in enumerate(sorted(texts))]
+    # the first band is shared by some pairs, which another bucket sees
+    got = neardup.linked_in_blocks(spark.createDataFrame(rows, "band int, bucket long, key binary, root binary, text string, bands array<long>"), 0.8, together).collect()
+    parts = [*neardup.shingles([r[4] for r in rows])]
+    want, own = list(range(len(rows))), list(range(len(rows)))
+
+    def join(group, i, j):
+        group[:] = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if (i - j) % 11 and neardup.similarity(parts[i], parts[j]) >= 0.8]
+    for i, j in pairs:
+        join(want, i, j)
+    for r in got:
+        join(own, int(r["a"]), int(r["b"]))
+    assert own == want and 1 < len(set(want)) < len(rows) and len(got) < len(pairs)
