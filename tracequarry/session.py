@@ -14,4 +14,6 @@ def local(cores: int = 8, memory: str = "8g") -> SparkSession:
     }
     spark = SparkSession.builder.master(f"local[{cores}]").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return spark
