@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -102,15 +103,15 @@ _AT = r"(?:[ \t]*(?:\(at\)|\[at\]|\{at\}|<at>|\(@\)|\[@\])[ \t]*|[ \t]*[_*]at[_*
 _DOT = r"(?:[ \t]*(?:\(dot\)|\[dot\]|\{dot\}|<dot>|\(punkt\)|\[punkt\]|\(point\)|\[point\]|\(punto\)|\[punto\]|\(\.\)|\[\.\])[ \t]*|[ \t]*[_*]dot[_*][ \t]*)"
 _BARE_AT, _BARE_DOT = r"[ \t]+(?:at|arroba|arobase)[ \t]+", r"[ \t]+(?:dot|punkt|point|punto)[ \t]+"
 _NAME = r"[A-Za-z0-9_%+-]++"
-_DISGUISED = (
-    # a marked at, with any dots after it
-    regex.compile(rf"{_NAME}(?:(?:\.|{_DOT}|{_BARE_DOT}){_NAME})*+(?P<at>{_AT})[A-Za-z0-9-]++(?:(?:\.|{_DOT}|{_BARE_DOT})[A-Za-z0-9-]++)+", regex.I),
-    # a bare at or a real one, with disguised dots up to a known ending
-    regex.compile(rf"{_NAME}(?:(?:\.|{_DOT}|{_BARE_DOT}){_NAME})*+(?P<at>{_BARE_AT}|[ \t]*@[ \t]*)[A-Za-z0-9-]++(?:(?:\.|{_DOT}|{_BARE_DOT})[A-Za-z0-9-]++)*(?:\.|{_DOT}|{_BARE_DOT})(?:{_ENDINGS})(?![A-Za-z0-9-])", regex.I),
+# An address around an at sign: its names before, read backwards, and its host after, which a marked at may have with any
+# dots, a bare or real one with a known ending only.
+_NAMES = regex.compile(rf"(?r)(?:{_NAME}(?:\.|{_DOT}|{_BARE_DOT}))*{_NAME}", regex.I)
+_HOST = r"[A-Za-z0-9-]++"
+_HOSTS = (
+    regex.compile(rf"{_HOST}(?:(?:\.|{_DOT}|{_BARE_DOT}){_HOST})++", regex.I),
+    regex.compile(rf"{_HOST}(?:(?:\.|{_DOT}|{_BARE_DOT}){_HOST})*(?:\.|{_DOT}|{_BARE_DOT})(?:{_ENDINGS})(?![A-Za-z0-9-])", regex.I),
 )
 _SIGNS = (regex.compile(_AT, regex.I), regex.compile(rf"{_BARE_AT}(?=[A-Za-z0-9-]++(?:\.|{_DOT}|{_BARE_DOT}))|(?<![ \t])[ \t]*+@[ \t]*+", regex.I))
-#: Characters before and after a disguised at in which its address lies: addresses hold 64 and 255 at most.
-_BEFORE, _AFTER = 200, 600
 _DOTS = regex.compile(rf"{_DOT}|{_BARE_DOT}", regex.I)
 _IP_DOTS = regex.compile(rf"(?<=[0-9])(?:{_DOT}|{_BARE_DOT})(?=[0-9])", regex.I)
 _PLUS_GAP = regex.compile(r"\+[ \t]+(?=[0-9])")
@@ -212,15 +213,21 @@ def signs_of_words(r: Rewritten) -> Rewritten:
     """Disguised at and dot to @ and a dot, where they form an address."""
     if not _signs(_folded(r.text)):
         return r
+    taken: list[tuple[int, int]] = []  # addresses found, in order
     edits: list[tuple[int, int, str]] = []
-    for pattern, sign in zip(_DISGUISED, _SIGNS, strict=True):
+    for hosts, sign in zip(_HOSTS, _SIGNS, strict=True):
         for at in sign.finditer(r.text):
-            if not (m := next((x for x in pattern.finditer(r.text, max(0, at.start() - _BEFORE), at.end() + _AFTER) if x.span("at") == at.span()), None)):
+            host = hosts.match(r.text, at.end())
+            names = host and _NAMES.match(r.text, 0, at.start())
+            if not names:
                 continue
-            if any(s < m.end() and m.start() < e for s, e, _ in edits):
+            span = (names.start(), host.end())
+            i = bisect(taken, span)
+            if (i and taken[i - 1][1] > span[0]) or (i < len(taken) and taken[i][0] < span[1]):
                 continue
+            taken.insert(i, span)
             edits.append((*at.span(), "@"))
-            edits += [(d.start(), d.end(), ".") for d in _DOTS.finditer(r.text, m.start(), m.end())]
+            edits += [(d.start(), d.end(), ".") for part in (names, host) for d in _DOTS.finditer(r.text, part.start(), part.end())]
     r = r.replaced(sorted(edits))
     return r.replaced([(m.start(), m.end(), ".") for m in _IP_DOTS.finditer(r.text)])
 
@@ -241,11 +248,15 @@ def detect(text: str) -> tuple[list[Span], list[Span]]:
     r = rewritten(text)
     if r is None:
         return base, base
+    of_kind: list[list[Span]] = [[s for s in base if s[2] == k] for k in range(len(KINDS))]
     added: list[Span] = []
+    last: dict[int, int] = {}  # where the last span added of a kind ends; spans of a kind come in order
     for s, e, kind in find(r.text):
         span = (r.starts[s], r.ends[e - 1], kind)
-        if not any(k == kind and a <= span[0] and span[1] <= b for a, b, k in base + added):
+        i = bisect(of_kind[kind], (span[0], len(text) + 1, kind))  # of spans that don't overlap, the one that starts last
+        if not (i and span[1] <= of_kind[kind][i - 1][1]) and last.get(kind, -1) < span[1]:
             added.append(span)
+            last[kind] = span[1]
     return base, sorted(base + added, key=lambda s: (s[0], s[2], s[1]))
 
 
