@@ -2,8 +2,8 @@
 
 A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. Learned filters slide over the embedded bytes
 of a chunk; each filter's greatest response in the chunk is kept. Over the chunks, the mean, the greatest and the least of
-these are combined into one probability. Training, by Adam on the cross entropy, takes a sample of labelled rows of
-expected size SAMPLE, chosen by a hash of the text.
+these are combined into one probability. Training, by Adam on the cross entropy, takes the whole texts of a sample of
+labelled rows of expected size SAMPLE, chosen by a hash of the id.
 
 Cases: null and empty texts are one chunk of padding and get its score; any length is read whole; without labelled rows, or
 with labels of one kind only, the score is the smoothed share of label 1; null labels teach nothing; repeated rows and other
@@ -59,10 +59,13 @@ class Network:
 
     def _pool(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Greatest response of each filter in each chunk, and where."""
-        wide = self._windows(pieces)
-        n, places, _ = wide.shape
-        made = (np.ascontiguousarray(wide).reshape(n * places, -1) @ self.w["filter"]).reshape(n, places, FILTERS)
-        return np.maximum(made.max(1) + self.w["bias"], 0), made
+        most, where = np.empty((len(pieces), FILTERS), np.float32), np.empty((len(pieces), FILTERS), np.int64)
+        for at in range(0, len(pieces), CHUNKS_AT_A_TIME):
+            wide = self._windows(pieces[at : at + CHUNKS_AT_A_TIME])
+            n, places, _ = wide.shape
+            made = (np.ascontiguousarray(wide).reshape(n * places, -1) @ self.w["filter"]).reshape(n, places, FILTERS)
+            most[at : at + n], where[at : at + n] = made.max(1), made.argmax(1)
+        return np.maximum(most + self.w["bias"], 0), where
 
     def _combine(self, pooled: np.ndarray, first: np.ndarray, counts: np.ndarray):
         mean = np.add.reduceat(pooled, first) / counts[:, None]
@@ -83,9 +86,7 @@ class Network:
             for at in range(0, len(order), BATCH):
                 own = order[at : at + BATCH]
                 t += 1
-                # a text longer than this shows a step some of its chunks, others in the next epoch
-                pieces = [p if len(p) <= 24 else p[rng.choice(len(p), 24, replace=False)] for p in (parts[i] for i in own)]
-                grads = self._gradients(pieces, y[own])
+                grads = self._gradients([parts[i] for i in own], y[own])
                 rate = RATE * (1 - epoch / EPOCHS)
                 for k, g in grads.items():
                     moment[k] = 0.9 * moment[k] + 0.1 * g
@@ -97,8 +98,7 @@ class Network:
     def _gradients(self, pieces: list[np.ndarray], y: np.ndarray) -> dict[str, np.ndarray]:
         counts = np.array([len(p) for p in pieces])
         first, owner, data = np.cumsum(counts) - counts, np.repeat(np.arange(len(counts)), counts), np.concatenate(pieces)
-        pooled, made = self._pool(data)
-        where = made.argmax(1)
+        pooled, where = self._pool(data)
         seen, hidden, p = self._combine(pooled, first, counts)
         d = ((p - y) / len(y))[:, None].astype(np.float32)
         g = {"out": hidden.T @ d, "out_bias": d.sum(0)}
@@ -107,22 +107,28 @@ class Network:
         ds = dh @ self.w["hidden"].T
         mean, most, least = ds[:, :FILTERS], ds[:, FILTERS : 2 * FILTERS], ds[:, 2 * FILTERS :]
         top, low = seen[owner, FILTERS : 2 * FILTERS], seen[owner, 2 * FILTERS :]
-        dp = (mean / counts[:, None])[owner] + most[owner] * (pooled == top) + least[owner] * (pooled == low)
+        shared = lambda equal: equal / np.add.reduceat(equal.astype(np.float32), first)[owner]  # noqa: E731  chunks that tie share it
+        dp = (mean / counts[:, None])[owner] + most[owner] * shared(pooled == top) + least[owner] * shared(pooled == low)
         dp *= pooled > 0
+        g |= {"filter": np.zeros_like(self.w["filter"]), "bias": dp.sum(0), "embed": np.zeros_like(self.w["embed"])}
+        for at in range(0, len(data), CHUNKS_AT_A_TIME):
+            part = slice(at, at + CHUNKS_AT_A_TIME)
+            self._add_filter_gradients(g, data[part], where[part], dp[part])
+        return g
+
+    def _add_filter_gradients(self, g: dict[str, np.ndarray], data: np.ndarray, where: np.ndarray, dp: np.ndarray) -> None:
+        """Adds what some chunks give: the greatest response of a filter changes with the bytes at its place alone."""
         wide = self._windows(data)
         rows, cols = np.nonzero(dp)
         place, value = where[rows, cols], dp[rows, cols]
-        got = wide[rows, place]
         order = np.argsort(cols, kind="stable")
-        df = np.zeros((FILTERS, WIDTH * EMBED), np.float32)
         if len(order):
             starts = np.flatnonzero(np.concatenate([[True], np.diff(cols[order]) > 0]))
-            df[cols[order][starts]] = np.add.reduceat((got * value[:, None])[order], starts)
-        g |= {"filter": df.T, "bias": dp.sum(0)}
+            got = (wide[rows, place] * value[:, None])[order]
+            g["filter"][:, cols[order][starts]] += np.add.reduceat(got, starts).T
         back = (self.w["filter"].T[cols] * value[:, None]).reshape(-1, EMBED)
         bytes_ = data[rows[:, None], (place * STEP)[:, None] + np.arange(WIDTH)].ravel()
-        g["embed"] = np.stack([np.bincount(bytes_, back[:, j], 257) for j in range(EMBED)], 1).astype(np.float32)
-        return g
+        g["embed"] += np.stack([np.bincount(bytes_, back[:, j], 257) for j in range(EMBED)], 1).astype(np.float32)
 
     def score(self, texts) -> Iterator[float]:
         """Probability of label 1 for each text."""
@@ -142,19 +148,22 @@ class Network:
     def _scores(self, parts: list[np.ndarray]) -> list[float]:
         counts = np.array([len(p) for p in parts])
         data = np.concatenate(parts)
-        pooled = np.concatenate([self._pool(data[i : i + CHUNKS_AT_A_TIME])[0] for i in range(0, len(data), CHUNKS_AT_A_TIME)])
-        return self._combine(pooled, np.cumsum(counts) - counts, counts)[2].astype(float).tolist()
+        return self._combine(self._pool(data)[0], np.cumsum(counts) - counts, counts)[2].astype(float).tolist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """A network that has learned from an expected `sample` of the labelled documents (doc_id, text; doc_id, quality)."""
+    """A network that has learned from an expected `sample` of the labelled documents (doc_id, text; doc_id, quality).
+
+    Labels that are null or neither 0 nor 1, and those without an id, teach nothing; of several labels of an id the greatest
+    counts; null texts count as empty; rows that repeat both the id and the text teach once; without labels, or with one kind
+    alone, the network gives the smoothed share of label 1; other columns don't matter."""
     known = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = known.count()
     if not n:
         return Network().fit([], [])
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1.0, sample / n) * 1_000_000)
-    # of a bounded number of rows, so broadcast; repeated ids teach as often as they occur
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", F.xxhash64("text", "doc_id").alias("k")).collect()
+    # of a bounded number of rows, so broadcast; rows that repeat both the id and the text teach once
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").distinct().select("text", "quality", F.xxhash64("text", "doc_id").alias("k")).collect()
     rows.sort(key=lambda r: (r["k"], r["quality"]))
     return Network().fit([r["text"] for r in rows], [r["quality"] for r in rows])
 
