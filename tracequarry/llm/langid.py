@@ -5,7 +5,7 @@ Expectation-maximisation estimates the proportions. Which languages take part is
 from all, the least is dropped as long as that costs less likelihood than its penalty.
 
 The model is fitted on a sample of labelled rows of expected size PER_LANGUAGE for each language, chosen by a hash of the
-row's text; prediction reads every whole text.
+row's text, of which copies count once; prediction reads every whole text.
 
 Cases: null texts and texts without a letter are `und` with score 0, as is every text where no labelled row was there to
 learn from; ties go to the language that comes first by name; null labels teach nothing; any length is read, in blocks;
@@ -139,14 +139,17 @@ class Model:
 
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """A model of the labelled rows given: of each language an expected per_language rows, by a hash of their texts."""
+    """A model of the labelled rows given: of each language an expected per_language rows, by a hash of their texts.
+
+    Rows without a label or a text teach nothing; copies of a text with one label teach once; without any row the model knows
+    no language; other columns don't matter."""
     labelled = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
     if not sizes:
         return Model.fit(iter(()))
     rate = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
     chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < rate[F.col("lang")] * 1_000_000)
-    return Model.fit((r["lang"], r["text"]) for r in chosen.collect())
+    return Model.fit((r["lang"], r["text"]) for r in chosen.distinct().collect())  # a much repeated text comes once
 
 
 def predicted(spark: SparkSession, model: Model) -> Column:

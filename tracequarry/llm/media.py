@@ -177,20 +177,29 @@ def avi(frames: list[bytes], payload_bytes: int) -> bytes:
 
 
 def parse(media: bytes) -> tuple[list[bytes], int, float]:
-    """The frames that the index lists, the payload's length, frames a second."""
+    """The frames that the index lists, the payload's length, frames a second; ValueError for what is no whole AVI file."""
     if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
+    if len(media) < 8 + int.from_bytes(media[4:8], "little"):
+        raise ValueError("the AVI file is cut off")
+    try:
+        return _parsed(media)
+    except (KeyError, struct.error, ZeroDivisionError) as missing:
+        raise ValueError(f"the AVI file lacks a part: {missing}") from missing
+
+
+def _parsed(media: bytes) -> tuple[list[bytes], int, float]:
     found: dict[bytes, tuple[int, int]] = {}
 
     def walk(at: int, end: int) -> None:
         while at + 8 <= end:
             name, n = media[at : at + 4], int.from_bytes(media[at + 4 : at + 8], "little")
             if name == b"LIST":
-                found[b"LIST" + media[at + 8 : at + 12]] = (at + 8, n)
+                found.setdefault(b"LIST" + media[at + 8 : at + 12], (at + 8, n))
                 if media[at + 8 : at + 12] != b"movi":
                     walk(at + 12, at + 8 + n)
             else:
-                found[name] = (at + 8, n)
+                found.setdefault(name, (at + 8, n))  # of several streams the first
             at += 8 + n + (n & 1)
 
     walk(12, len(media))
