@@ -30,7 +30,7 @@ def corpus(spark):
         elif i % 5 == 2:
             own = [*own, *own]
         rows.append((i, " ".join(own)))
-    return rows, spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id AS doc", "unhex(md5(text)) AS key", "text", "doc_id")
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id AS doc", "unhex(sha2(text, 256)) AS key", "text", "doc_id")
 
 
 @pytest.mark.parametrize("together", [1, 1024])
@@ -300,3 +300,54 @@ def test_blocks_lose_no_link(spark, together):
     for r in got:
         join(own, int(r["a"]), int(r["b"]))
     assert own == want and 1 < len(set(want)) < len(rows) and len(got) < len(pairs)
+
+
+def test_long_disguised_addresses():
+    many = "[dot]".join(["name"] * 200)
+    for text in (f"{many}[at]mail[dot]com", f"jane[at]{many}", f"jane at {' dot '.join(['host'] * 200)} dot com"):
+        assert (0, len(text), 0) in pii.detect(f"{text} .")[1]
+    for text in ("+1 (nine) (eight) (eight) (five) (five) (five) (two) (four) (eight) (five)", "+1 uno dos uno dos uno dos uno dos uno dos"):
+        assert [text[s:e] for s, e, _ in pii.detect(text)[1]] == [text.removesuffix(")")]
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    took = []
+    for n in (2000, 16000):
+        text = " ".join(f"a{i} at host{i} dot com, x{i}@y.org" for i in range(n))
+        began = time.process_time()
+        assert len(pii.detect(text)[1]) == 2 * n
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0]
+
+
+def test_cut_off_files_are_refused():
+    file = media.store([b"x" * 1920])[0]
+    for n in (0, 11, 12, 60, 595, len(file) // 2, len(file) - 1):
+        with pytest.raises(ValueError):
+            media.parse(file[:n])
+
+
+def test_network_gradients_are_differences():
+    """Of texts of one and of many chunks, which are learned from whole."""
+    net, y = quality.Network(), np.array([1, 0, 1], np.float32)
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    pieces = [quality.chunks(t) for t in ("abc def " * 9, "some words, and more. " * 700, "")]
+    assert max(map(len, pieces)) > 24
+    first, counts = np.cumsum([0, *map(len, pieces[:-1])]), np.array([*map(len, pieces)])
+
+    def loss():
+        p = net._combine(net._pool(np.concatenate(pieces))[0], first, counts)[2]
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    grads, rng = net._gradients(pieces, y), np.random.default_rng(0)
+    for k, g in grads.items():
+        at = np.unravel_index(np.abs(g).argmax(), g.shape) if k != "out_bias" else (0,)
+        old, eps = net.w[k][at], 1e-4
+        ends = []
+        for step in (eps, -eps):
+            net.w[k][at] = old + step
+            ends.append(loss())
+        net.w[k][at] = old
+        assert abs((ends[0] - ends[1]) / (2 * eps) - g[at]) < 0.05 * abs(g[at]) + 1e-5, k

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracequarry.sources.shared import written
+
 #: Characters that a task turns into arrays at a time; a longer text is a block of its own.
 BLOCK_CHARS = 1 << 19
-#: Rows up to which a list of 16-byte text keys is broadcast (about 64 MB); beyond it the join shuffles.
+#: Rows up to which a list of 32-byte text keys is broadcast (about 80 MB); beyond it the join shuffles.
 BROADCAST_KEYS = 1_000_000
 
 
@@ -31,25 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one of our own where the session names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read back: the plan behind it runs once and a lost executor costs no redo.
     The JVM deletes the files as it ends."""
-    spark = df.sparkSession
-    short_batches(spark)
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    short_batches(df.sparkSession)
+    return written(df)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -61,8 +47,8 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def digest(text: str = "text") -> F.Column:
-    """16-byte key of a text; null for null."""
-    return F.unhex(F.md5(F.col(text)))
+    """32-byte key of a text, its SHA-256; null for null."""
+    return F.unhex(F.sha2(F.col(text), 256))
 
 
 def keep_keys(df: DataFrame, keys: DataFrame, on: str, bound: int = BROADCAST_KEYS) -> DataFrame:

@@ -21,9 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequarry.llm.arrays import anchors, covered, prefix, spans, window_hashes, word_values, words
+from tracequarry.llm.arrays import anchors, covered, window_hashes, word_values, words
 from tracequarry.llm.common import cut, digest, fields, keep_keys, table
-from tracequarry.llm.windows import TOGETHER, anchor_column, by_anchor, by_slice, runs, segments
+from tracequarry.llm.windows import TOGETHER, anchor_column, compared, runs, segments
 
 WINDOW, ANCHOR = 50, 8
 #: Runs that are kept before they are compacted to one; batches that the query makes of a table.
@@ -35,7 +35,7 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return word_values(data, starts, ends), first.astype(np.int64)
 
 
-_LEAST = fields("h long, c long, least array<long>")
+_LEAST = fields("h long, c binary, least array<long>")
 
 
 class FingerprintIndex:
@@ -88,25 +88,22 @@ class FingerprintIndex:
         """texts (key, doc, text, found): key and ranges of windows that a lesser document has too."""
         window = self.window
 
-        def contents(text: str, lo: np.ndarray, n: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        def contents(text: str, lo: np.ndarray, n: np.ndarray) -> list[bytes]:
             data, starts, ends, _ = words([text])
             spaced = b" ".join(data[s:e].tobytes() for s, e in zip(starts, ends, strict=True))  # one space between words
             stops = np.cumsum(ends - starts + 1) - 1
             begins = stops - (ends - starts)
             last = lo + n + window - 2
-            return [spaced[a:b] for a, b in zip(begins[lo].tolist(), stops[last].tolist(), strict=True)], spans(prefix(word_values(data, starts, ends)), lo, last + 1)
+            return [spaced[a:b] for a, b in zip(begins[lo].tolist(), stops[last].tolist(), strict=True)]
+
+        def part(content: bytes, at: int, n: int) -> bytes:
+            return b" ".join(content.split(b" ")[at : at + n + window - 1])
 
         cuts = cut(segments(texts.select("key", "doc", "text", "found"), fields("key binary, doc long"), contents))
-        unique = cut(cuts.groupBy("h", "c").agg(F.first("content").alias("content"), F.first("n").alias("n"), F.min("doc").alias("doc"), F.max("doc").alias("most")))
-        different = unique.groupBy("h").agg(F.count("*").alias("d"))
-        same = unique.join(different.where("d = 1"), "h").where("doc < most").select("h", "c", F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), lambda _: F.col("doc")).alias("least"))
-        some = by_anchor(unique.join(different.where(f"d BETWEEN 2 AND {self.together}").select("h"), "h"), lambda block: least_documents(block, window), _LEAST)
-        out = same.union(some)
-        hot = different.where(f"d > {self.together}")
-        if not hot.isEmpty():
-            out = out.union(by_slice(unique.join(hot, "h"), lambda content: _hashed(content, window), self.anchor, "doc", _least_of_group))
+        unique = cut(cuts.groupBy("h", "c").agg(F.first("content").alias("content"), F.first("n").alias("n"), F.count("*").alias("m"), F.min("doc").alias("doc")))
+        out = compared(unique, lambda content: _hashed(content, window), part, self.anchor, {"doc": "min"}, lambda block: least_documents(block, window), _LEAST, self.together)
         flagged = cuts.select("key", "doc", "h", "c", "lo").join(out, ["h", "c"])
-        ranges = F.filter(F.transform("least", lambda d, i: F.when(d < F.col("doc"), F.col("lo") + i)), lambda x: x.isNotNull())
+        ranges = F.filter(F.transform("least", lambda d, i: F.when(d < F.col("doc"), F.col("lo") + F.col("off") + i)), lambda x: x.isNotNull())
         return flagged.select("key", ranges.alias("starts")).where("size(starts) > 0").groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
@@ -153,12 +150,6 @@ def _hashed(content: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
     return values, window_hashes(values, window)
 
 
-def _least_of_group(group: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    least = np.full(group.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, docs)
-    return least[group]
-
-
 def remove(text: str, starts: np.ndarray, window: int) -> tuple[bytes, int]:
     """The words that no window covers, joined by one space; how many were covered."""
     data, begin, end, _ = words([text])

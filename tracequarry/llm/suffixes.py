@@ -2,8 +2,9 @@
 
 Suffixes are sorted in two stages: only those smaller than their successors are compared; scanning the buckets of first
 bytes upwards then places each other suffix when its successor is met. Neighbours' common prefixes show repeated strings.
-What is sorted are the segments of windows.py, in blocks of whole anchors, so that all copies of a string meet in one
-suffix array, of bounded size.
+What is sorted are the segments of windows.py, in blocks of whole anchors or pairs of an anchor's blocks, so that all copies
+of a string meet in suffix arrays of bounded size. Texts, and segments, that are equal by a digest of their bytes (SHA-256,
+BLAKE2b) are one string with a count: it is sorted once, and what stands twice is removed in all its places.
 
 Cases: null texts have no bytes; texts shorter than the string are kept whole; a text that stands twice is removed whole if
 it is long enough; one that repeats itself loses all copies; repeated rows and ids count as documents of their own; empty
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.llm.arrays import BYTE_VALUES, anchors, covered, prefix, spans, window_hashes
 from tracequarry.llm.common import cut, digest, fields, keep_keys, table
-from tracequarry.llm.windows import TOGETHER, anchor_column, by_anchor, by_slice, runs, segments
+from tracequarry.llm.windows import TOGETHER, anchor_column, compared, runs, segments, with_shared
 
 LENGTH, ANCHOR = 400, 32
 
@@ -121,7 +122,7 @@ def _ranges(mask: np.ndarray) -> np.ndarray:
     return np.stack([edges[::2], edges[1::2] - edges[::2]], 1).ravel()
 
 
-_FOUND = fields("h long, c long, ranges array<long>")
+_FOUND = fields("h long, c binary, ranges array<long>")
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, together: int = TOGETHER) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -129,21 +130,15 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     keep = fields("key binary")
     find = lambda values, first: anchors(values, first, length, anchor)
     held = cut(docs.select("key", anchor_column(_tokens, find).alias("anchors")).groupBy("key").agg(F.first("anchors").alias("anchors"), F.count("*").alias("copies")))
-    member = runs(held, "key")
-    shared = member.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    found = cut(member.join(shared, "h").groupBy("key").agg(F.collect_list(F.struct("h", "run")).alias("found")))
+    found = cut(with_shared(runs(held, "key")).groupBy("key").agg(F.collect_list(F.struct("h", "run")).alias("found")))  # of one text
     texts = cut(keep_keys(docs, found.select("key"), "key").groupBy("key").agg(F.first("text").alias("text")))
 
-    def contents(text: str, lo: np.ndarray, n: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    def contents(text: str, lo: np.ndarray, n: np.ndarray) -> list[bytes]:
         raw = text.encode("utf-8", "surrogatepass")
-        pre = prefix(BYTE_VALUES[np.frombuffer(raw, np.uint8)])
-        ends = lo + n + length - 1
-        return [raw[a:b] for a, b in zip(lo.tolist(), ends.tolist(), strict=True)], spans(pre, lo, ends) + n.astype(np.uint64)
+        return [raw[a:b] for a, b in zip(lo.tolist(), (lo + n + length - 1).tolist(), strict=True)]
 
     cuts = cut(segments(texts.join(found, "key"), keep, contents))
-    unique = cuts.groupBy("h", "c").agg(F.first("content").alias("content"), F.first("n").alias("n"), F.count("*").alias("m"))
-    unique = cut(unique)
-    different = unique.groupBy("h").agg(F.count("*").alias("d"))
+    unique = cut(cuts.groupBy("h", "c").agg(F.first("content").alias("content"), F.first("n").alias("n"), F.count("*").alias("m")))
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         n, sizes = block["n"].to_numpy(), block["content"].str.len().to_numpy()
@@ -153,19 +148,12 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
         np.add.at(places, first, 1)
         np.add.at(places, first + n, -1)
         twice = repeats(data, np.cumsum(places[:-1]) > 0, length)
-        many = block["m"].to_numpy() > 1
+        many = block["m"].to_numpy() > 1  # a segment that stands several times is one string here
         return pd.DataFrame({"h": block["h"], "c": block["c"], "ranges": [np.array([0, k]) if all_ else _ranges(twice[a : a + k]) for a, k, all_ in zip(first, n, many, strict=True)]})
 
-    one = unique.join(different.where("d = 1"), "h").where("m > 1").select("h", "c", F.array(F.lit(0).cast("long"), F.col("n")).alias("ranges"))
-    some = by_anchor(unique.join(different.where(f"d BETWEEN 2 AND {together}").select("h"), "h"), compare, _FOUND)
-    out = one.union(some)
-    hot = different.where(f"d > {together}")
-    if not hot.isEmpty():
-        twice = by_slice(unique.join(hot, "h"), lambda content: _hashed(content, length), anchor, "m", lambda group, m: (np.bincount(group, m)[group] > 1).astype(np.int64))
-        single = F.filter(F.transform("out", lambda x, i: F.when(x == 1, F.array(i.cast("long"), F.lit(1).cast("long")))), lambda x: x.isNotNull())
-        out = out.union(twice.select("h", "c", F.flatten(single).alias("ranges")))
+    out = compared(unique, lambda content: _hashed(content, length), lambda content, a, n: content[a : a + n + length - 1], anchor, {}, compare, _FOUND, together)
     ranges = cuts.select("key", "h", "c", "lo").join(out.where("size(ranges) > 0"), ["h", "c"])
-    shifted = F.transform("ranges", lambda x, i: F.when(i % 2 == 0, x + F.col("lo")).otherwise(x))
+    shifted = F.transform("ranges", lambda x, i: F.when(i % 2 == 0, x + F.col("lo") + F.col("off")).otherwise(x))
     return held.select("key", "copies"), texts, ranges.groupBy("key").agg(F.flatten(F.collect_list(shifted)).alias("ranges"))
 
 
