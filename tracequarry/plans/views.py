@@ -24,7 +24,30 @@ _OPCODES = ["const/4", "const-string", "move-object", "iget-object", "if-eqz", "
 _CALLS = [f"{c}->{n}{d or '(' + 'I' + ')V'}" for _, _, c, n, d in SINKS]
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus"
 
+def _reg(x: str) -> str:
+    return f"'v' || CAST({x} AS STRING)"
+
+
+_CODE_OPCODES = ["const/4", "const-string", "move-object", "iget-object", "if-eqz", "goto", "add-int/2addr", "aput-object", "invoke-virtual", "invoke-static", "return-object", "sput-object", "move-result-object", "packed-switch", "throw", "custom-op"]
+_LABEL = "':cond_' || CAST(ln % 4 AS STRING)"
+_CODE_OPERANDS = [
+    f"{_reg('sk % 4')} || ', 0x' || CAST(pk % 10 AS STRING)", f"{_reg('sk % 4')} || ',  \"v' || CAST(pk % 3 AS STRING) || '   :cond_7\"'", f"{_reg('sk % 4')} || ', ' || {_reg('pk % 5')}",
+    f"{_reg('sk % 4')} || ', p' || CAST(pk % 2 AS STRING) || ', Lq/F' || CAST(sk % 3 AS STRING) || ';->f:I'", f"{_reg('sk % 4')} || ', ' || {_LABEL}", _LABEL, f"{_reg('sk % 4')} || ',' || {_reg('pk % 5')}",
+    f"{_reg('sk % 4')} || ', ' || {_reg('pk % 5')} || ', ' || {_reg('sk % 3')}", f"'{{{{' || {_reg('sk % 4')} || ', ' || {_reg('pk % 5')} || '}}}}, ' || sink",
+    f"CASE WHEN pk % 7 = 0 THEN '{{{{v0 .. v2}}}}, ' ELSE '{{{{' || {_reg('sk % 4')} || ', p' || CAST(pk % 2 AS STRING) || '}}}}, ' END || CASE WHEN callee IS NOT NULL AND pk % 3 <> 0 THEN callee ELSE sink END",
+    _reg("sk % 4"), f"{_reg('sk % 4')} || ', Lq/F' || CAST(sk % 3 AS STRING) || ';->f:I'", _reg("pk % 5"), f"{_reg('sk % 4')} || ', :pswitch_data_' || CAST(ln % 2 AS STRING)", _reg("sk % 4"), _reg("sk % 4"),
+]
+_SIGNATURE = "'Lp' || CAST(o_custkey AS STRING) || '/C' || CAST(o_orderkey % 7 AS STRING) || ';->m' || CAST(o_orderkey AS STRING) || '(II)I'"
+
 VIEWS = {
+    "v_decl": f"SELECT o_custkey AS apk, o_orderkey AS method, {_SIGNATURE} AS full_signature, CASE WHEN o_orderkey % 11 = 0 THEN 'native' WHEN o_orderkey % 2 = 0 THEN 'public,static' ELSE 'public' END AS flags FROM {{orders}}",
+    "v_code": f"""SELECT apk, method, idx, opcode, operands, opcode || '  ' || operands AS raw_text FROM (SELECT apk, method, idx, {_case('pk % 16', _CODE_OPCODES)} AS opcode,
+        CASE pk % 16 {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(_CODE_OPERANDS))} END AS operands FROM (SELECT o_custkey AS apk, l_orderkey AS method, l_partkey AS pk, l_suppkey AS sk, l_linenumber AS ln, callee,
+        CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) - 1 AS INT) AS idx, {_case('l_partkey % 14', _CALLS)} AS sink
+        FROM {{lineitem}} JOIN (SELECT o_orderkey, o_custkey, lead({_SIGNATURE}) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS callee FROM {{orders}}) ON l_orderkey = o_orderkey))""",
+    "v_label": " UNION ALL ".join(f"SELECT o_custkey AS apk, o_orderkey AS method, ':cond_{i}' AS label, {i} AS idx FROM {{orders}}" for i in range(3)),
+    "v_payload": " UNION ALL ".join(f"SELECT o_custkey AS apk, o_orderkey AS method, ':pswitch_data_0' AS label, {i} AS pos, ':cond_{i}' AS target FROM {{orders}}" for i in (1, 2, 3)),
+    "v_handler": "SELECT o_custkey AS apk, o_orderkey AS method, ':cond_0' AS try_start, CASE WHEN o_orderkey % 2 = 0 THEN ':cond_2' ELSE ':cond_9' END AS try_end, ':cond_1' AS handler FROM {orders} WHERE o_orderkey % 3 = 0",
     "v_apk": "SELECT SHA(d.text) AS apk_hash, CASE WHEN l.toxic = 1 THEN 'Malicious' ELSE 'Benign' END AS label, d.n_chars AS apk_size_bytes, d.source || '/' || CAST(d.doc_id AS STRING) AS source_path FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id",
     "v_perm": f"SELECT DISTINCT l_orderkey AS apk, {_case('l_partkey % 10', _PERMISSIONS)} AS permission FROM {{lineitem}}",
     "v_component": f"""SELECT l_orderkey AS apk, l_linenumber AS no, {_case('l_suppkey % 4', ['activity', 'service', 'receiver', 'provider'])} AS kind,
