@@ -75,3 +75,9 @@ def short_identifiers(names: DataFrame, least: int = 4, share: float = 0.6, shor
     each = names.select("apk", F.explode(F.split("name", r"\.")).alias("segment"))
     by = each.groupBy("apk").agg(F.count("*").alias("segments"), F.round(F.count_if(F.length("segment") <= short) / F.count("*"), 6).alias("share"))
     return by.withColumn("obfuscated", (F.col("segments") >= least) & (F.col("share") >= share))
+
+
+def contains_all(rows: DataFrame, key: str, value: str, required: list[str]) -> DataFrame:
+    """(key, has_all) for keys that have one of the required values: whether they have all of them."""
+    held = rows.where(F.col(value).isin(*required)).select(key, value).distinct()
+    return held.groupBy(key).agg((F.count("*") == len(set(required))).alias("has_all"))
