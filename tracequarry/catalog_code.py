@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tracequarry import catalog as c
 from tracequarry.functions import code
-from tracequarry.operators import flow, slice_text
+from tracequarry.operators import flow, slice_text, slices
+from tracequarry.plans import rules
 from tracequarry.plans.views import oracle, view
+from tracequarry.sources.shared import cut
 
 _query = c._query
 _OPERANDS = r"""list_filter(list_transform(regexp_extract_all(operands, '(?:\{[^}]*\}|"(?:\\.|[^"\\])*"|[^,{"])+'), lambda x: trim(x)), lambda x: x <> '')"""
@@ -247,3 +249,27 @@ def _(spark, sf):
     return view(spark, sf, "v_component").select(raw.alias("raw_name")).groupBy("raw_name").agg(F.count("*").alias("n")).withColumn("level", parse_sdk(F.col("raw_name")))
 
 
+
+
+# ---- slices of whole packages; rounds over calls are no SQL, tests hold them against known slices ----
+def _sliced(spark, sf):
+    instr, decl = view(spark, sf, "v_code"), view(spark, sf, "v_decl")
+    sinks = flow.calls(instr).join(rules.sinks(spark).select(F.concat("class_name", F.lit("->"), "method_name").alias("name")).distinct(), F.substring_index("target", "(", 1) == F.col("name"), "left_semi")
+    return slices.program_slices(instr, decl, _graph(spark, sf), sinks, cut)
+
+
+@_query("slc2_program_slices", None)
+def _(spark, sf):
+    return _sliced(spark, sf)[0].select("apk", "s_method", "s_idx", "method", "idx", "reason")
+
+
+@_query("slc6_limited_slices", None)
+def _(spark, sf):
+    kept, ends, _ = _sliced(spark, sf)
+    return slices.apply_limits(kept, ends, slices.Limits(methods=3, instructions=12))[0].select("apk", "s_method", "s_idx", "method", "idx", "reason")
+
+
+@_query("slc8_slice_summary", None)
+def _(spark, sf):
+    kept, ends, _ = _sliced(spark, sf)
+    return slices.slice_summary(*slices.apply_limits(kept, ends))
