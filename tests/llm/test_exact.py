@@ -96,7 +96,11 @@ def test_suffix_array():
     for _ in range(100):
         data = rng.integers(97, 97 + rng.integers(1, 5), rng.integers(1, 300)).astype(np.uint8)
         raw = data.tobytes()
-        assert suffixes.suffix_array(data, 1000).tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+        every = sorted(range(len(raw)), key=lambda i: raw[i:])
+        assert suffixes.suffix_array(data, 1000).tolist() == every
+        wanted = rng.random(len(raw)) < 0.2
+        some = suffixes.suffix_array(data, 1000, wanted)
+        assert some[wanted[some]].tolist() == [i for i in every if wanted[i]]
 
 
 def test_media_round_trip():

@@ -36,35 +36,43 @@ def _rank_columns(data: np.ndarray) -> np.ndarray:
 
 
 def _compared(data: np.ndarray, eight: np.ndarray, chosen: np.ndarray, depth: int) -> np.ndarray:
-    """chosen places in order of their suffixes, equal to `depth` in any order."""
+    """chosen places in order of their suffixes, equal to `depth` in any order.
+
+    Places that tie are numbered by group; a group's number and as many further bytes as fit beside it make one key."""
     n = len(data)
+    if not len(chosen):
+        return chosen
     pre = prefix(BYTE_VALUES[data])
     whole = spans(pre, chosen, np.minimum(chosen + depth, n)) + np.minimum(n - chosen, depth).astype(np.uint64)
     _, lead, member = np.unique(whole, return_index=True, return_inverse=True)
     place = chosen[lead]  # one of those that are equal to the depth
-    order = np.argsort(eight[place], kind="stable")
-    group = np.cumsum(np.concatenate([[0], np.diff(eight[place][order]) != 0]))  # ties share a group
-    for d in range(8, depth, 8):
-        tied = np.concatenate([[False], group[1:] == group[:-1]])
-        tied[:-1] |= tied[1:]
-        at = np.flatnonzero(tied)
-        if not len(at):
+    key = eight[place]
+    order = np.argsort(key)
+    key, at, d = key[order], np.arange(len(order)), 8
+    while True:
+        same = key[1:] == key[:-1]
+        tied = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        at, own = at[tied], np.cumsum(np.concatenate([[True], ~same]))[tied]
+        if not len(at) or d >= depth:
             break
-        key = eight[np.minimum(place[order[at]] + d, n)]
-        sub = np.lexsort((key, group[at]))
-        order[at] = order[at][sub]
-        key, own = key[sub], group[at]
-        fresh = np.concatenate([[False], (key[1:] != key[:-1]) & (own[1:] == own[:-1])])
-        step = np.zeros(len(group), np.int64)
-        step[at] = fresh
-        group = group + np.cumsum(step)  # later groups move up alike, so ties stay ties
+        own = np.cumsum(np.concatenate([[False], own[1:] != own[:-1]])).astype(np.uint64)
+        size = min(8, (64 - int(own[-1]).bit_length()) // 8)
+        key = eight[np.minimum(place[order[at]] + d, n)] >> np.uint64(64 - 8 * size)
+        if own[-1]:
+            key |= own << np.uint64(8 * size)
+        sub = np.argsort(key)
+        order[at], key = order[at][sub], key[sub]
+        d += size
     rank = np.empty(len(place), np.int64)
     rank[order] = np.arange(len(place))
     return chosen[np.argsort(rank[member], kind="stable")]
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Places in order of their suffixes, compared to `depth` bytes at least."""
+def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Places in order of their suffixes, compared to `depth` bytes at least.
+
+    With a mask of wanted places, those and what their order follows from: the successors of one that isn't sorted directly,
+    up to the first that is."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64)
@@ -73,11 +81,16 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     different = np.append(np.where(step != 0, np.arange(n - 1), n - 1), n - 1)
     following = np.minimum.accumulate(different[::-1])[::-1]
     smaller = np.append(step, -1)[following] > 0
-    eight = _rank_columns(data)
-    direct = _compared(data, eight, np.flatnonzero(smaller), depth)
+    need = np.ones(n, bool)
+    if wanted is not None:
+        at = np.arange(1, n + 1)
+        need = wanted.copy()
+        need[1:] |= (np.maximum.accumulate(at * wanted) > np.maximum.accumulate(at * smaller))[:-1]
+    direct = _compared(data, _rank_columns(data), np.flatnonzero(smaller & need), depth)
     bucket_of = np.searchsorted(data[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[data[n - 1]].append(np.array([n - 1]))  # its successor is the empty suffix, the least
+    if need[n - 1]:
+        waiting[data[n - 1]].append(np.array([n - 1]))  # its successor is the empty suffix, the least
     out: list[np.ndarray] = []
     for byte in range(256):
         here = []
@@ -85,11 +98,11 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         while len(found):  # predecessors with the same byte follow in this bucket
             here.append(found)
             before = found[found > 0] - 1
-            found = before[data[before] == byte]
+            found = before[(data[before] == byte) & need[before]]
         here.append(direct[bucket_of[byte] : bucket_of[byte + 1]])
         placed = np.concatenate(here)
         before = placed[placed > 0] - 1
-        before = before[data[before] > byte]
+        before = before[(data[before] > byte) & need[before]]
         order = np.argsort(data[before], kind="stable")
         first = data[before][order]
         for part in np.split(before[order], np.flatnonzero(np.diff(first)) + 1) if len(before) else ():
@@ -100,7 +113,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
 
 def repeats(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
     """Whether each place's string of `length` bytes is that of another of the places; places as a mask over data."""
-    order = suffix_array(data, length)
+    order = suffix_array(data, length, places)
     order = order[places[order]]
     left, right, alive = order[:-1], order[1:], np.arange(max(0, len(order) - 1))
     eight = _rank_columns(data)
@@ -123,6 +136,7 @@ def _ranges(mask: np.ndarray) -> np.ndarray:
 
 
 _FOUND = fields("h long, c binary, ranges array<long>")
+_NONE = np.zeros(0, np.int64)
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, together: int = TOGETHER) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -141,15 +155,21 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     unique = cut(cuts.groupBy("h", "c").agg(F.first("content").alias("content"), F.first("n").alias("n"), F.count("*").alias("m")))
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
-        n, sizes = block["n"].to_numpy(), block["content"].str.len().to_numpy()
-        data = np.frombuffer(b"".join(block["content"]), np.uint8)
-        first = np.cumsum(sizes) - sizes
-        places = np.zeros(len(data) + 1, np.int64)
-        np.add.at(places, first, 1)
-        np.add.at(places, first + n, -1)
-        twice = repeats(data, np.cumsum(places[:-1]) > 0, length)
-        many = block["m"].to_numpy() > 1  # a segment that stands several times is one string here
-        return pd.DataFrame({"h": block["h"], "c": block["c"], "ranges": [np.array([0, k]) if all_ else _ranges(twice[a : a + k]) for a, k, all_ in zip(first, n, many, strict=True)]})
+        n, many = block["n"].to_numpy(), block["m"].to_numpy() > 1  # a segment that stands several times is one string here
+        ranges = [np.array([0, k]) if all_ else _NONE for k, all_ in zip(n, many, strict=True)]
+        met = np.flatnonzero(block["h"].duplicated(keep=False))  # of several segments under one anchor
+        if len(met):
+            contents = block["content"].iloc[met]
+            data, sizes = np.frombuffer(b"".join(contents), np.uint8), contents.str.len().to_numpy()
+            first = np.cumsum(sizes) - sizes
+            places = np.zeros(len(data) + 1, np.int64)
+            np.add.at(places, first, 1)
+            np.add.at(places, first + n[met], -1)
+            twice = repeats(data, np.cumsum(places[:-1]) > 0, length)
+            for i, a in zip(met.tolist(), first.tolist(), strict=True):
+                if not many[i]:
+                    ranges[i] = _ranges(twice[a : a + n[i]])
+        return pd.DataFrame({"h": block["h"], "c": block["c"], "ranges": ranges})
 
     out = compared(unique, lambda content: _hashed(content, length), lambda content, a, n: content[a : a + n + length - 1], anchor, {}, compare, _FOUND, together)
     ranges = cuts.select("key", "h", "c", "lo").join(out.where("size(ranges) > 0"), ["h", "c"])
