@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.llm.arrays import anchors, covered, window_hashes, word_values, words
 from tracequarry.llm.common import cut, digest, fields, keep_keys, table
-from tracequarry.llm.windows import TOGETHER, anchor_column, compared, runs, segments
+from tracequarry.llm.windows import TOGETHER, anchor_column, compared, runs, segments, with_keys
 
 WINDOW, ANCHOR = 50, 8
 #: Runs that are kept before they are compacted to one; batches that the query makes of a table.
@@ -35,6 +35,11 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return word_values(data, starts, ends), first.astype(np.int64)
 
 
+def _sorted(run: DataFrame) -> DataFrame:
+    """Rows in parts sorted by fingerprint; the rows of one go to up to 16 parts by document."""
+    return run.repartition("h", F.pmod(F.xxhash64("key"), F.lit(16))).sortWithinPartitions("h")
+
+
 _LEAST = fields("h long, c binary, least array<long>")
 
 
@@ -54,18 +59,18 @@ class FingerprintIndex:
         own = batch.select("key", "doc", anchor_column(_tokens, find).alias("anchors")).groupBy("key").agg(F.min("doc").alias("doc"), F.first("anchors").alias("anchors"))
         for earlier in self.runs:
             own = own.join(earlier.select("key").distinct(), "key", "left_anti")
-        run = cut(runs(own, "key", "doc").repartition("h").sortWithinPartitions("h"))
+        run = cut(_sorted(runs(own, "key", "doc")))
         # merge join: fingerprints of this run that other documents have
-        here = run.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+        here = run.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"))
         for i, earlier in enumerate(self.runs):
-            before = earlier.groupBy("h").agg(F.lit(True).alias(f"run_{i}"))
+            before = earlier.groupBy("h").agg(F.count("*").alias(f"run_{i}"))
             here = here.join(before, "h", "left")
-        old = F.coalesce(*[F.col(f"run_{i}") for i in range(len(self.runs))], F.lit(False))
-        shared = cut(here.where((F.col("low") < F.col("high")) | old).select("h"))
+        old = sum((F.coalesce(f"run_{i}", F.lit(0)) for i in range(len(self.runs))), F.lit(0))
+        shared = cut(here.where((F.col("low") < F.col("high")) | (old > 0)).select("h", (F.col("n") + old).alias("n")))
         places = run
         for earlier in self.runs:
             places = places.union(earlier)
-        found = cut(places.join(shared, "h").groupBy("key").agg(F.min("doc").alias("doc"), F.collect_list(F.struct("h", "run")).alias("found")))
+        found = cut(with_keys(places, shared).groupBy("key").agg(F.min("doc").alias("doc"), F.collect_list(F.struct("h", "run")).alias("found")))
         self.texts.append(batch)
         known = self.texts[0]
         for more in self.texts[1:]:
@@ -82,7 +87,7 @@ class FingerprintIndex:
         merged = self.runs[0]
         for run in self.runs[1:]:
             merged = merged.union(run)
-        self.runs = [cut(merged.repartition("h").sortWithinPartitions("h"))]
+        self.runs = [cut(_sorted(merged))]
 
     def _verified(self, texts: DataFrame) -> DataFrame:
         """texts (key, doc, text, found): key and ranges of windows that a lesser document has too."""

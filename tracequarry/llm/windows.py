@@ -85,12 +85,16 @@ def segments(texts: DataFrame, keep: T.StructType, contents: Callable[[str, np.n
 
 
 def with_shared(member: DataFrame) -> DataFrame:
-    """member's rows (h, ...) whose h stands several times. The at most 1,000 values that a thousandth of all rows have each are
-    taken by a broadcast list, so that no task gets such a value's rows together."""
-    shared = cut(member.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
-    most = shared.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(shared.where(F.col("n") * 1000 > most).select("h"))
-    return member.join(hot, "h", "left_semi").unionByName(member.join(hot, "h", "left_anti").join(shared.select("h"), "h", "left_semi"))
+    """member's rows (h, ...) whose h stands several times."""
+    return with_keys(member, cut(member.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")))
+
+
+def with_keys(member: DataFrame, keys: DataFrame) -> DataFrame:
+    """member's rows whose h is among keys (h, n: how many rows have it). The at most 1,000 values that a thousandth of those
+    rows have each are taken by a broadcast list, so that no task gets such a value's rows together."""
+    most = keys.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(keys.where(F.col("n") * 1000 > most).select("h"))
+    return member.join(hot, "h", "left_semi").unionByName(member.join(hot, "h", "left_anti").join(keys.select("h"), "h", "left_semi"))
 
 
 def gathered(rows, size: int = 4096):
