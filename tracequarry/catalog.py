@@ -220,7 +220,7 @@ def _(spark, sf):
     (SELECT *, n - f0 - f1 - f2 AS spare, round(n * 0.7::DOUBLE - f0, 9) AS r0, round(n * 0.15::DOUBLE - f1, 9) AS r1, round(n * 0.15::DOUBLE - f2, 9) AS r2 FROM
       (SELECT label, n, floor(n * 0.7::DOUBLE)::BIGINT AS f0, floor(n * 0.15::DOUBLE)::BIGINT AS f1, floor(n * 0.15::DOUBLE)::BIGINT AS f2 FROM (SELECT label, count(*) AS n FROM uniq GROUP BY 1)))) USING (label)""", "v_apk", also=_UNIQUE))
 def _(spark, sf):
-    return dataset.stratified_split(_unique(spark, sf))
+    return dataset.stratified_split(_unique(spark, sf), cut=cut)
 
 
 @_query("win8_limit_per_class", oracle("SELECT apk_hash, label, apk_size_bytes FROM uniq QUALIFY row_number() OVER (PARTITION BY label ORDER BY apk_size_bytes, apk_hash) <= 50", "v_apk", also=_UNIQUE))
@@ -230,7 +230,7 @@ def _(spark, sf):
 
 @_query("win9_size_quantiles", oracle("SELECT apk_hash, label, apk_size_bytes FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY apk_size_bytes, apk_hash) - 1 AS rank, count(*) OVER (PARTITION BY label) AS n FROM uniq) WHERE list_contains(list_transform(range(5), lambda i: round_even(i * (n - 1) / 4.0::DOUBLE, 0)::BIGINT), rank)", "v_apk", also=_UNIQUE))
 def _(spark, sf):
-    return dataset.size_quantiles(_unique(spark, sf), 5)
+    return dataset.size_quantiles(_unique(spark, sf), 5, cut)
 
 
 @_query("agg2_token_length", oracle(f"SELECT {_DISTRIBUTION}, " + ", ".join(f"round(100.0::DOUBLE * count(*) FILTER (token_count > {t}) / count(token_count), 6) AS over_{t}" for t in (512, 1024, 2048, 4096, 8192)) + " FROM v_token", "v_token"))

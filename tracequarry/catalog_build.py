@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracequarry import catalog as c
-from tracequarry.operators import dataset, learn, outcomes, rules as checks, triage
+from tracequarry.operators import dataset, evidence, learn, outcomes, rules as checks, telemetry, triage
 from tracequarry.plans import rules
 from tracequarry.plans.views import oracle, view
 from tracequarry.sources import files
@@ -381,3 +381,67 @@ def _(spark, sf):
     return learn.similar(docs, items, "doc_id", "item_id", 0.5)
 
 
+
+
+# ---- with the system calls, and with what each side saw ----
+_SYS = f"{c._TELEMETRY.replace('tele AS', 'bare AS')}, tele AS (SELECT *, list_concat(CASE WHEN session % 2 = 0 THEN ['sys_clone'] ELSE [] END, CASE WHEN session % 3 = 0 THEN ['sys_execve'] ELSE [] END) AS syscalls FROM bare)"
+
+
+def _with_syscalls(spark, sf):
+    made = F.expr("concat(CASE WHEN session % 2 = 0 THEN array('sys_clone') ELSE array() END, CASE WHEN session % 3 = 0 THEN array('sys_execve') ELSE array() END)")
+    return c._telemetry(spark, sf).withColumn("syscalls", made)
+
+
+def _over(name: str, extra: str = "") -> str:
+    """The SQL of a query over telemetry, with system calls."""
+    return c.ORACLES[name].replace(c._TELEMETRY, _SYS) + extra
+
+
+@_query("sco14_with_syscalls", _over("sco14_contributions", " UNION ALL SELECT session, 'sys_clone syscall', -0.12::DOUBLE FROM tele WHERE list_contains(syscalls, 'sys_clone')"))
+def _(spark, sf):
+    return evidence.contributions(_with_syscalls(spark, sf))
+
+
+@_query("sco20_with_syscalls", _over("sco20_scorecard").replace("THEN 0 ELSE 3 END)), 0) AS penalty", "THEN 0 ELSE 3 END)), 0) + CASE WHEN root AND list_contains(syscalls, 'sys_execve') THEN 10 ELSE 0 END AS penalty"))
+def _(spark, sf):
+    return telemetry.scorecard(_with_syscalls(spark, sf)).select("session", "security", "privacy", "grade", "privacy_level")
+
+
+@_query("sco23_with_syscalls", None)
+def _(spark, sf):
+    return evidence.findings(_with_syscalls(spark, sf))
+
+
+@_query("str4_observe", oracle("SELECT event_id, e.session, kind FROM ev e JOIN (SELECT session, min(ts) AS start FROM ev GROUP BY 1) s ON e.session = s.session WHERE ts < start + INTERVAL 200000 SECOND", "v_log", also=c._EVENTS))
+def _(spark, sf):
+    return telemetry.observe(c._events(spark, sf), 200_000).select("event_id", "session", "kind")
+
+
+@_query("agg15_static_evidence", oracle("SELECT p.apk, p.probability, coalesce(n, 0) AS slice_count, coalesce(most, p.probability) AS max_slice_probability FROM (SELECT apk, min(probability) AS probability FROM v_slice_score GROUP BY 1) p LEFT JOIN (SELECT apk, count(*) AS n, max(probability) AS most FROM v_slice_score WHERE slice_id % 3 = 0 GROUP BY 1) s ON s.apk = p.apk", "v_slice_score"))
+def _(spark, sf):
+    slices = view(spark, sf, "v_slice_score")
+    return telemetry.static_evidence(slices.groupBy("apk").agg(F.min("probability").alias("probability")), slices.where("slice_id % 3 = 0"))
+
+
+@_query("fus1_with_evidence", None)
+def _(spark, sf):
+    slices = view(spark, sf, "v_slice_score")
+    static = telemetry.static_evidence(slices.groupBy("apk").agg(F.min("probability").alias("probability")), slices)
+    return telemetry.fuse_with_evidence(static, telemetry.dynamic_score(telemetry.behaviour_flags(c._telemetry(spark, sf))), slices.select("apk"))
+
+
+@_query("agg3_finished_statistics", c.ORACLES["agg3_grouped_statistics"].replace("FROM v_token", "FROM (SELECT * FROM v_token WHERE status IN ('completed', 'completed_with_truncation', 'capped', 'zero_sink'))"))
+def _(spark, sf):
+    return dataset.grouped_statistics(dataset.finished(view(spark, sf, "v_token")))
+
+
+@_query("ded1_first_of_each", oracle("SELECT apk_hash, arg_min(label, source_path) AS label, min(source_path) AS source_path, count(*) - 1 AS copies, count(DISTINCT label) > 1 AS conflicting FROM v_apk GROUP BY 1", "v_apk"))
+def _(spark, sf):
+    return dataset.first_of_each(view(spark, sf, "v_apk"))
+
+
+@_query("dq5_compare_content", "SELECT doc_id, doc_id % 4 <> 0 AS size_holds, doc_id % 5 <> 0 AS content_holds FROM documents WHERE text IS NOT NULL")
+def _(spark, sf):
+    k = F.col("doc_id")
+    recorded = _read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.col("text").alias("content"), (F.octet_length("text") + F.when(k % 4 == 0, 1).otherwise(0)).alias("size_bytes"), F.when(k % 5 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("text", 256)).alias("sha256"))
+    return checks.verify_content(recorded, "content").select("doc_id", "size_holds", "content_holds")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.operators.telemetry import _has
+from tracequarry.operators.telemetry import _has, called
 
 # Six axes, each with what root, ssl, a config file, a system file, a bot file, port 4444 and other ports add.
 AXES = {
@@ -50,7 +50,7 @@ def contributions(telemetry: DataFrame) -> DataFrame:
     dns = F.exists("sockets", lambda s: s["port"] == 53)
     return _rows(
         telemetry, _when(F.col("root"), row("Frida Root Bypass", 0.35)), _when(F.col("ssl"), row("Frida SSL Bypass", 0.30)),
-        F.transform("files", file), F.transform("sockets", socket), _when(dns, row("DNS Port 53 query", -0.08)), names=("name", "value"),
+        F.transform("files", file), F.transform("sockets", socket), _when(called(telemetry, "sys_clone"), row("sys_clone syscall", -0.12)), _when(dns, row("DNS Port 53 query", -0.08)), names=("name", "value"),
     )
 
 
@@ -119,7 +119,8 @@ def findings(telemetry: DataFrame) -> DataFrame:
     found = F.filter(F.concat(
         _when(F.col("root"), row("KAV-CRIT-01", "Critical", "Runtime Security", False, "Frida Dynamic Root Bypass Hook Executed")),
         _when(F.col("ssl"), row("KAV-CRIT-02", "Critical", "Network Privacy", True, "SSL/TLS Certificate Pinning Defeated")),
-        F.transform("sockets", socket), F.transform("files", file)), lambda x: x.isNotNull())
+        F.transform("sockets", socket), F.transform("files", file),
+        _when(called(telemetry, "sys_execve"), row("KAV-MED-20", "Medium", "System Integrity", False, "Dynamic Process Spawning Syscall (sys_execve)"))), lambda x: x.isNotNull())
     clean = F.array(row("KAV-INFO-01", "Info", "Runtime Security", False, "Dynamic Instrumentation Execution Clean"))
     listed = telemetry.select("session", F.explode(F.when(F.size(found) > 0, found).otherwise(clean)).alias("r"))
     return listed.select("session", *[F.col(f"r.{n}").alias(n) for n in names])

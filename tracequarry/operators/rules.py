@@ -81,3 +81,9 @@ def contains_all(rows: DataFrame, key: str, value: str, required: list[str]) ->
     """(key, has_all) for keys that have one of the required values: whether they have all of them."""
     held = rows.where(F.col(value).isin(*required)).select(key, value).distinct()
     return held.groupBy(key).agg((F.count("*") == len(set(required))).alias("has_all"))
+
+
+def verify_content(rows: DataFrame, content: str) -> DataFrame:
+    """rows (content, size_bytes, sha256 as recorded) with size_holds and content_holds; a missing record holds nothing."""
+    same = lambda made, name: F.coalesce(made == F.col(name), F.lit(False))
+    return rows.withColumn("size_holds", same(F.octet_length(content), "size_bytes")).withColumn("content_holds", same(F.sha2(content, 256), "sha256"))

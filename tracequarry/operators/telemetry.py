@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_FILE = r"^\[Sandbox\] File (read|write|access): (.*)$"
-_SOCKET = r"^\[Sandbox\] Network connection: (.*):(\d+)$"
-_LIBRARY = r"^\[Sandbox\] Native library loaded: (.*)$"
-
-
-def parse_log(lines: DataFrame, abi: str = "arm64") -> DataFrame:
-    """Typed events: kind, file path, address and port, library path, bypass flags. Works on streams too."""
+def parse_log(lines: DataFrame, abi: str = "arm64", marker: str = "[Sandbox]") -> DataFrame:
+    """Typed events: kind, file path, address and port, library path, bypass flags, of lines that the marker begins. Works on
+    streams too."""
+    begin = "^" + re.escape(marker) + " "
+    file, socket, native = begin + "File (read|write|access|accessed): (.*)$", begin + r"Network connection: (.*):(\d+)$", begin + "Native library loaded: (.*)$"
     line = F.trim("line")
     got = lambda pattern, i: F.nullif(F.regexp_extract(line, pattern, i), F.lit(""))
     root = line.contains("Root check blocked") | line.contains("Blocked runtime execution") | line.contains("ro.build.tags spoofed")
     ssl = line.contains("SSLContext.init") | line.contains("CertificatePinner check bypassed")
-    library = got(_LIBRARY, 1)
-    out = lines.select("event_id", "session", "ts", got(_FILE, 2).alias("file"), got(_SOCKET, 1).alias("ip"), got(_SOCKET, 2).cast("int").alias("port"), F.when(library.isNotNull(), F.concat(F.lit(f"/lib/{abi}/lib"), library, F.lit(".so"))).alias("library"), root.alias("root"), ssl.alias("ssl"))
+    library = got(native, 1)
+    out = lines.select("event_id", "session", "ts", got(file, 2).alias("file"), got(socket, 1).alias("ip"), got(socket, 2).cast("int").alias("port"), F.when(library.isNotNull(), F.concat(F.lit(f"/lib/{abi}/lib"), library, F.lit(".so"))).alias("library"), root.alias("root"), ssl.alias("ssl"))
     kind = F.when(F.col("root") | F.col("ssl"), "bypass").when(F.col("file").isNotNull(), "file").when(F.col("ip").isNotNull(), "socket").when(F.col("library").isNotNull(), "library").otherwise("other")
     return out.withColumn("kind", kind)
 
@@ -51,6 +51,17 @@ def _has(f: Column, *parts: str) -> Column:
     return found
 
 
+def called(telemetry: DataFrame, syscall: str) -> Column:
+    """Whether a session used a system call; telemetry without such a column shows none."""
+    return F.array_contains("syscalls", syscall) if "syscalls" in telemetry.columns else F.lit(False)
+
+
+def observe(events: DataFrame, seconds: int) -> DataFrame:
+    """Events of the first `seconds` of each session."""
+    start = events.groupBy("session").agg(F.min("ts").alias("start"))
+    return events.join(start, "session").where(F.col("ts") < F.col("start") + F.make_interval(secs=F.lit(seconds))).drop("start")
+
+
 def behaviour_flags(telemetry: DataFrame) -> DataFrame:
     return telemetry.withColumns({
         "sms": _any("files", "sms", "telephony", lower=True), "c2": F.size("sockets") > 0, "banking": _any("files", "shared_prefs", "data/user"),
@@ -88,6 +99,20 @@ def fuse(static: DataFrame, scored: DataFrame) -> DataFrame:
     return made.withColumn("label", label).withColumn("score", apply_override(total, F.col("base_score"), F.col("label")))
 
 
+def static_evidence(packages: DataFrame, slices: DataFrame) -> DataFrame:
+    """(apk, probability, slice_count, max_slice_probability); a package without slices has its own probability."""
+    by = slices.groupBy("apk").agg(F.count("*").alias("n"), F.max("probability").alias("most"))
+    return packages.select("apk", "probability").join(by, "apk", "left").select("apk", "probability", F.coalesce("n", F.lit(0)).alias("slice_count"), F.coalesce("most", "probability").alias("max_slice_probability"))
+
+
+def fuse_with_evidence(static: DataFrame, scored: DataFrame, attributions: DataFrame) -> DataFrame:
+    """fuse() with what each side saw: structs static_evidence and fingerprint, and the number of attributions of all slices."""
+    seen = scored.select(F.col("session").alias("apk"), F.struct("sms", "c2", "banking", "root", "loading", "evasion", "dynamic_score").alias("fingerprint"))
+    told = attributions.groupBy("apk").agg(F.count("*").alias("attributions"))
+    made = fuse(static.select("apk", "probability"), scored).join(static.select("apk", F.struct("probability", "slice_count", "max_slice_probability").alias("static_evidence")), "apk", "left")
+    return made.join(seen, "apk", "left").join(told, "apk", "left").withColumn("attributions", F.coalesce("attributions", F.lit(0)))
+
+
 def threat_probability(telemetry: DataFrame) -> DataFrame:
     file = lambda f: F.when(_has(f, "app_process", "system", "su"), 20).when(_has(f, "Bot", "zlock", "contacts"), 10).when(_has(f, "shared_prefs", "config"), 2).otherwise(0)
     total = lambda col, f: F.aggregate(col, F.lit(0), lambda a, x: a + f(x))
@@ -104,6 +129,7 @@ def scorecard(telemetry: DataFrame) -> DataFrame:
     socket = lambda s: F.when(s["port"] == 4444, 35).when(s["port"].isin(80, 443, 8080, 53), 0).otherwise(3)
     total = lambda col, f: F.aggregate(col, F.lit(0), lambda a, x: a + f(x))
     penalty = F.when(F.col("root"), 30).otherwise(0) + F.when(F.col("ssl"), 25).otherwise(0) + total("files", file) + total("sockets", socket)
+    penalty = penalty + F.when(called(telemetry, "sys_execve") & F.col("root"), 10).otherwise(0)
     private = total("files", lambda f: F.when(_has(f, "shared_prefs", "config", "user"), 25).otherwise(0)) + F.when(F.size("sockets") > 0, 20).otherwise(0) + F.when(F.col("ssl"), 20).otherwise(0)
     out = telemetry.withColumn("security", F.when(penalty == 0, 100).otherwise(F.greatest(F.lit(12), F.least(F.lit(98), 100 - penalty)))).withColumn("privacy", F.least(F.lit(95), private))
     s = F.col("security")
