@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from tracequarry.sources.shared import written
+
 # Fixed value: a reference to a method as printable bytes show it.
 API_REF = r"(L[a-zA-Z0-9_/$]+;->[a-zA-Z0-9_]+)"
 MANIFEST = "_package string, `uses-sdk` struct<`_android:targetSdkVersion`: string, `_android:minSdkVersion`: string>, `uses-permission` array<struct<`_android:name`: string>>, application struct<{kinds}>"
@@ -133,14 +135,13 @@ def parse_readelf(lines: DataFrame) -> DataFrame:
 
 
 def write_csv_checked(df: DataFrame, path: str) -> int:
-    """Writes CSV with a header, reads it back and raises unless all rows that were written are there."""
-    from pyspark.sql import Observation
-
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.csv(path, header=True, escape='"', quoteAll=True)
-    found = df.sparkSession.read.csv(path, header=True, escape='"', multiLine=True).count()
-    if found != seen.get["n"]:
-        raise RuntimeError(f"{path} contains {found} rows, but {seen.get['n']} were measured")
+    """Writes CSV with a header, reads it back and raises unless all rows are there; df is computed once, by way of a table in
+    the shared folder."""
+    rows = written(df, "csv")
+    rows.write.csv(path, header=True, escape='"', quoteAll=True)
+    wanted, found = rows.count(), df.sparkSession.read.csv(path, header=True, escape='"', multiLine=True).count()
+    if found != wanted:
+        raise RuntimeError(f"{path} contains {found} rows, but {wanted} were measured")
     return found
 
 
