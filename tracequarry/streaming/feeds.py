@@ -58,9 +58,9 @@ def job_states(events: DataFrame) -> DataFrame:
     return events.groupBy("job").agg(F.max_by("state", F.struct("ts", "event_id")).alias("state"), F.max("ts").alias("ts"), F.count("*").alias("n"))
 
 
-def job_state_stream(events: DataFrame, timeout_ms: int = 24 * 3_600_000) -> DataFrame:
+def job_state_stream(events: DataFrame, timeout_ms: int = 24 * 3_600_000, delay: str = "10 minutes") -> DataFrame:
     """events (job, state, ts) as they come: a row (job, state, ts, changes) whenever a job's state changes. The latest event
-    counts; at one time, the state further on. A job's state is dropped after timeout_ms without an event."""
+    counts; at one time, the state further on. A job's state is dropped once the watermark is timeout_ms past its last event."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -76,12 +76,12 @@ def job_state_stream(events: DataFrame, timeout_ms: int = 24 * 3_600_000) -> Dat
                 if at is None or micros > at or (micros == at and STATES.get(new, -1) >= STATES.get(name, -1)):
                     at, name = micros, new
         state.update((at, name, changes + (name != old)))
-        state.setTimeoutDuration(timeout_ms)
+        state.setTimeoutTimestamp(max(at // 1000 + timeout_ms, state.getCurrentWatermarkMs() + 1))
         if name != old:
             yield pd.DataFrame({"job": [key[0]], "state": [name], "ts": [pd.Timestamp(at * 1000, tz="UTC")], "changes": [changes + 1]})
 
     kind = events.schema["job"].dataType.simpleString()
-    return events.groupBy("job").applyInPandasWithState(follow, f"job {kind}, state string, ts timestamp, changes int", "at long, name string, changes int", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", delay).groupBy("job").applyInPandasWithState(follow, f"job {kind}, state string, ts timestamp, changes int", "at long, name string, changes int", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 ENVELOPE = "type string, message string, apk_details struct<name: string, size: string, package: string>, telemetry string"
