@@ -15,6 +15,7 @@ import html
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from random import Random
 
@@ -49,17 +50,25 @@ _PIECES = re.compile(r"[A-Za-z]+")
 
 
 class Block:
-    __slots__ = ("text", "tags", "names", "linked")
+    """A shown block: its text, its ancestors' tags and names, the share of it in links, its closest element and its closest
+    one that isn't inline. Blocks below the same element share the sets."""
 
-    def __init__(self, text: str, tags: tuple[str, ...], names: frozenset[str], linked: float):
-        self.text, self.tags, self.names, self.linked = text, tags, names, linked
+    __slots__ = ("text", "tags", "names", "linked", "last", "leaf")
+
+    def __init__(self, text: str, tags: frozenset[str], names: frozenset[str], linked: float, last: str, leaf: str):
+        self.text, self.tags, self.names, self.linked, self.last, self.leaf = text, tags, names, linked, last, leaf
+
+
+_NOTHING: frozenset[str] = frozenset()
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
     """The shown blocks of a page in order: white space is one blank, character references are decoded."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    # open elements: tag, and the tags, names and closest block element from the top down to it
+    stack: list[tuple[str, frozenset[str], frozenset[str], str]] = []
+    open_tags: Counter[str] = Counter()
     raw: list[str] = []
     linked = silent = links = 0
 
@@ -68,14 +77,16 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if raw:
             text = " ".join(html.unescape("".join(raw)).split())
             if text:
-                out.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*(n for _, n in stack)), min(1.0, linked / len(text))))
+                last, tags, own, leaf = stack[-1] if stack else ("", _NOTHING, _NOTHING, "")
+                out.append(Block(text, tags, own, min(1.0, linked / len(text)), last, leaf))
             raw.clear()
         linked = 0
 
     def pop(down_to: int) -> None:
         nonlocal silent, links
         while len(stack) > down_to:
-            tag, _ = stack.pop()
+            tag = stack.pop()[0]
+            open_tags[tag] -= 1
             silent -= tag in _SILENT
             links -= tag == "a"
 
@@ -99,7 +110,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if m[1] or m[4]:
             if tag not in _INLINE:
                 close_block()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if open_tags[tag] else ():
                 if stack[i][0] == tag:
                     pop(i)
                     break
@@ -109,7 +120,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         if tag not in _INLINE:
             close_block()
-        if tag in _ENDS_PARAGRAPH:
+        if tag in _ENDS_PARAGRAPH and open_tags["p"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
                     pop(i)
@@ -122,7 +133,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             elif stack[i][0] not in _INLINE and stack[i][0] != "p":
                 break
         if tag == "body":
-            pop(sum(t == "html" for t, _ in stack[:1]))
+            pop(sum(t[0] == "html" for t in stack[:1]))
         if tag in _EMPTY:
             continue
         attributes = m[3] or m[6] or ""
@@ -131,7 +142,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
             closing = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             at = closing.end() if closing else end
             continue
-        stack.append((tag, names))
+        _, tags, own, leaf = stack[-1] if stack else ("", _NOTHING, _NOTHING, "")
+        stack.append((tag, tags if tag in tags else tags | {tag}, own if names <= own else own | names, leaf if tag in _INLINE else tag))
+        open_tags[tag] += 1
         silent += tag in _SILENT
         links += tag == "a"
     close_block()
@@ -146,17 +159,16 @@ def features(blocks: list[Block], cache: dict) -> list[list[int]]:
     """Feature indexes of each block of a page."""
     out, n = [], len(blocks)
     for i, b in enumerate(blocks):
-        key = (b.tags, b.names)
+        key = (b.tags, b.names, b.leaf)
         if key not in cache:
-            tags = [t for t in b.tags if t not in _INLINE]
-            cache[key] = [_slot(x) for x in {"bias", f"leaf={tags[-1] if tags else ''}", *(f"in={t}" for t in set(b.tags)), *(f"name={x}" for x in b.names), f"boiler={not _BOILER_NAMES.isdisjoint(b.names)}"}]
+            cache[key] = [_slot(x) for x in {"bias", f"leaf={b.leaf}", *(f"in={t}" for t in b.tags), *(f"name={x}" for x in b.names), f"boiler={not _BOILER_NAMES.isdisjoint(b.names)}"}]
             if len(cache) > 50_000:
                 cache.clear()
                 return features(blocks, cache)
         size = len(b.text)
         found = {
             f"size={min(9, int(math.log2(size)))}", f"links={int(b.linked * 4)}", f"stops={min(4, sum(map(b.text.count, '.!?')))}", f"commas={min(3, b.text.count(','))}",
-            f"end={b.text[-1] if b.text[-1] in '.!?:…' else 'x'}", f"mark={'©' in b.text}", f"from={min(3, i)}", f"to={min(3, n - 1 - i)}", f"leaf,size={b.tags[-1] if b.tags else ''},{size > 80}",
+            f"end={b.text[-1] if b.text[-1] in '.!?:…' else 'x'}", f"mark={'©' in b.text}", f"from={min(3, i)}", f"to={min(3, n - 1 - i)}", f"leaf,size={b.last},{size > 80}",
         }
         out.append(cache[key] + [_slot(x) for x in found])
     return out
@@ -270,7 +282,7 @@ def labelled(pages: list[str]) -> Iterator[tuple[list[Block], list[int]]]:
         if blocks:
             yield blocks, labels
         for b, y in zip(blocks, labels, strict=True):
-            (main if y and len(b.text) > 60 else rest if not y else []).append(b.text[:2000])
+            (main if y and len(b.text) > 60 else rest if not y else []).append(b.text)
     for _ in range(max(200, len(pages))):
         page, text = made_page(rng, main, rest)
         blocks, wanted, labels = leaf_blocks(page), text.split("\n"), []
