@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracequarry import catalog as c
-from tracequarry.operators import dataset, evidence, learn, outcomes, rules as checks, telemetry, triage
+from tracequarry.functions import code, scalars
+from tracequarry.operators import dataset, evidence, learn, outcomes, rules as checks, scan, telemetry, triage
 from tracequarry.plans import rules
 from tracequarry.plans.views import oracle, view
 from tracequarry.sources import files
@@ -445,3 +446,53 @@ def _(spark, sf):
     k = F.col("doc_id")
     recorded = _read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.col("text").alias("content"), (F.octet_length("text") + F.when(k % 4 == 0, 1).otherwise(0)).alias("size_bytes"), F.when(k % 5 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("text", 256)).alias("sha256"))
     return checks.verify_content(recorded, "content").select("doc_id", "size_holds", "content_holds")
+
+
+@_query("fn8_incoming_words", oracle(r"""SELECT apk, method, 2 + CASE WHEN flags LIKE '%static%' THEN 0 ELSE 1 END AS words FROM v_decl""", "v_decl"))
+def _(spark, sf):
+    types = scalars.param_types(F.regexp_extract("full_signature", r"(\(.*)$", 1))
+    return view(spark, sf, "v_decl").select("apk", "method", scalars.incoming_words(types, F.array_contains(F.split("flags", ","), "static")).alias("words"))
+
+
+@_query("fn17_host_port", oracle(r"""SELECT event_id, nullif(regexp_extract(line, 'connection: (.*):([0-9]+)$', 1), '') AS host, CAST(nullif(regexp_extract(line, 'connection: (.*):([0-9]+)$', 2), '') AS INT) AS port FROM v_log WHERE line LIKE '%connection: %'""", "v_log"))
+def _(spark, sf):
+    rest = F.substring_index("line", "connection: ", -1)
+    return view(spark, sf, "v_log").where("line LIKE '%connection: %'").select("event_id", code.host_port(rest).alias("r")).select("event_id", "r.*")
+
+
+@_query("fn18_socket_lists", oracle("SELECT session, array_to_string(list_transform(sockets, lambda s: s.ip || ':' || CAST(s.port AS VARCHAR)), ',') AS sockets, array_to_string(list_transform(sockets, lambda s: s.ip), ',') AS ips FROM tele", "v_log", also=c._TELEMETRY))
+def _(spark, sf):
+    return c._telemetry(spark, sf).select("session", F.array_join(scalars.socket_text(F.col("sockets")), ",").alias("sockets"), F.array_join(scalars.ip_list(F.col("sockets")), ",").alias("ips"))
+
+
+@_query("sco18_permissions", oracle("SELECT apk AS session, permission, 'exercised at runtime' AS status FROM v_perm", "v_perm"))
+def _(spark, sf):
+    used = view(spark, sf, "v_perm").groupBy(F.col("apk").alias("session")).agg(F.collect_set("permission").alias("permissions_exercised"))  # ten at most
+    return outcomes.exercised_permissions(used)
+
+
+@_query("sco25_all_iocs", oracle("SELECT DISTINCT 'ip' AS kind, ip AS indicator FROM ev WHERE ip IS NOT NULL UNION SELECT 'sha256', apk_hash FROM v_apk WHERE label = 'Malicious'", "v_log", "v_apk", also=c._EVENTS))
+def _(spark, sf):
+    return outcomes.iocs(c._events(spark, sf), view(spark, sf, "v_apk"))
+
+
+@_query("udf4_length_struct", oracle(f"SELECT label, {c._DISTRIBUTION}, round(100.0::DOUBLE * count(*) FILTER (token_count > 512) / count(token_count), 6) AS over_512 FROM v_token GROUP BY 1", "v_token"))
+def _(spark, sf):
+    return view(spark, sf, "v_token").groupBy("label").agg(dataset.token_length_struct("token_count", (512,)).alias("s")).select("label", "s.*")
+
+
+class ApiReferences:
+    """Table function: each method reference of a text, with its place."""
+
+    def eval(self, text: str):
+        import re
+
+        for i, m in enumerate(re.finditer(files.API_REF, text)):
+            yield i, m[1]
+
+
+@_query("udf5_scan", oracle(r"""SELECT method, idx, 0 AS place, regexp_extract(operands, '(L[a-zA-Z0-9_/$]+;->[a-zA-Z0-9_]+)', 1) AS reference FROM v_code WHERE opcode LIKE 'invoke-%' AND regexp_matches(operands, 'L[a-zA-Z0-9_/$]+;->[a-zA-Z0-9_]+')""", "v_code"))
+def _(spark, sf):
+    scan.register(spark, "api_references", ApiReferences, "place int, reference string")
+    rows = view(spark, sf, "v_code").where("opcode LIKE 'invoke-%'").select(F.struct("method", "idx").alias("k"), "operands")
+    return scan.scan(rows, "k", "operands", "api_references").select("k.method", "k.idx", "place", "reference")

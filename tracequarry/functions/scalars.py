@@ -35,3 +35,17 @@ def register_words(types: Column) -> Column:
 
 def size_mb(n: Column) -> Column:
     return F.format_string("%.2f MB", n / 1048576.0)
+
+
+def incoming_words(types: Column, is_static: Column) -> Column:
+    """Registers that a call fills: the receiver, if there is one, and the parameters."""
+    return register_words(types) + F.when(is_static, 0).otherwise(1)
+
+
+def socket_text(sockets: Column) -> Column:
+    return F.transform(sockets, lambda s: F.concat_ws(":", s["ip"], s["port"].cast("string")))
+
+
+def ip_list(sockets: Column) -> Column:
+    """The addresses of sockets, as often as they stand."""
+    return F.filter(F.transform(sockets, lambda s: s["ip"]), lambda x: x.isNotNull())

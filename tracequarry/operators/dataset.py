@@ -108,6 +108,11 @@ def token_length_distribution(col: str, thresholds=(512, 1024, 2048, 4096, 8192)
     return [*numeric_distribution(col), *[F.round(F.try_divide(100.0 * F.count_if(F.col(col) > t), F.count(col)), 6).alias(f"over_{t}") for t in thresholds]]
 
 
+def token_length_struct(col: str, thresholds=(512, 1024, 2048, 4096, 8192)) -> Column:
+    """The distribution as one aggregate, a struct."""
+    return F.struct(*token_length_distribution(col, thresholds))
+
+
 GROUPINGS = ("label", "is_truncated", "status", "sink_category", "apk_hash")
 
 

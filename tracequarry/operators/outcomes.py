@@ -250,3 +250,14 @@ def time_stratified_split(rows: DataFrame, key: str, label: str, ts: str, bounda
     aged = rows.select(F.col(key).alias("apk_hash"), F.concat_ws("/", F.col(label).cast("string"), F.when(F.year(ts) > boundary, "new").otherwise("old")).alias("label"))
     parts = [stratified_split(aged.where(F.col("label").endswith(f"/{name}")), ratios, seed) for name, ratios in (("old", old), ("new", new))]
     return parts[0].unionByName(parts[1]).select(F.col("apk_hash").alias(key), F.col("label").alias("stratum"), "split")
+
+
+def exercised_permissions(telemetry: DataFrame) -> DataFrame:
+    """(session, permission, status) for each permission that a run used."""
+    return telemetry.select("session", F.explode(F.array_sort(F.array_distinct("permissions_exercised"))).alias("permission")).withColumn("status", F.lit("exercised at runtime"))
+
+
+def iocs(events: DataFrame, packages: DataFrame) -> DataFrame:
+    """(kind, indicator): addresses that sessions reached and hashes of malicious packages, each once."""
+    ips = events.where("ip IS NOT NULL").select(F.lit("ip").alias("kind"), F.col("ip").alias("indicator"))
+    return ips.unionByName(packages.where("label = 'Malicious'").select(F.lit("sha256").alias("kind"), F.col("apk_hash").alias("indicator"))).distinct()
