@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tracequarry.llm import bpe, decontam, langid, media, neardup, pii, quality, runindex, suffixes
+from tracequarry.llm import bpe, decontam, htmltext, langid, media, neardup, pii, quality, runindex, suffixes
 
 WORDS = [f"w{i}" for i in range(300)]
 
@@ -355,3 +355,46 @@ def test_network_gradients_are_differences():
             ends.append(loss())
         net.w[k][at] = old
         assert abs((ends[0] - ends[1]) / (2 * eps) - g[at]) < 0.05 * abs(g[at]) + 1e-5, k
+
+
+def test_viterbi_is_the_best_of_all_label_sequences():
+    from itertools import product
+
+    rng, field = np.random.default_rng(3), htmltext.Field()
+    field.weight[:], field.step[:] = rng.normal(size=field.weight.shape), rng.normal(size=(2, 2))
+    for n in range(1, 8):
+        rows = rng.integers(0, htmltext.FEATURES, (n, 5)).tolist()
+        score = lambda labels: sum(field.weight[r, y].sum() for r, y in zip(rows, labels, strict=True)) + sum(field.step[a, b] for a, b in zip(labels, labels[1:], strict=False))  # noqa: B023, E731
+        assert tuple(field.decode(rows)) == max(product((0, 1), repeat=n), key=score)
+
+
+def test_learning_follows_the_gradient_of_the_likelihood():
+    from itertools import product
+
+    rng, field = np.random.default_rng(4), htmltext.Field()
+    rows, labels = [[0, 1], [1, 2], [0, 3], [4]], [1, 0, 1, 1]
+    field.weight[:5], field.step[:] = rng.normal(size=(5, 2)), rng.normal(size=(2, 2))
+
+    def likelihood():
+        score = lambda ys: sum(field.weight[r, y].sum() for r, y in zip(rows, ys, strict=True)) + sum(field.step[a, b] for a, b in zip(ys, ys[1:], strict=False))
+        return score(labels) - np.log(sum(np.exp(score(ys)) for ys in product((0, 1), repeat=len(rows))))
+
+    before, weight, step = likelihood(), field.weight.copy(), field.step.copy()
+    slopes = []
+    for i, y in ((0, 1), (1, 0), (4, 1)):
+        field.weight[i, y] += 1e-6
+        slopes.append((likelihood() - before) / 1e-6)
+        field.weight[i, y] -= 1e-6
+    field.learn(rows, labels, 1.0)
+    assert np.allclose([(field.weight - weight)[i, y] for i, y in ((0, 1), (1, 0), (4, 1))], slopes, atol=1e-4) and np.abs(field.step - step).max() > 0
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (5000, 40000):
+        began = time.process_time()
+        assert len(htmltext.leaf_blocks("<div>x" * n + "</b>" * n)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0]
