@@ -200,3 +200,15 @@ def test_ingest_admits_each_content_once(spark, tmp_path):
 def test_envelopes(spark):
     raw = spark.createDataFrame([(1, 'data: {"type":"log","message":"a"}\n\n: ping\n\ndata: {"type":"result","telemetry":{"x":1}}\n\ndata: {oops\n\n')], "k int, raw string")
     assert [(r["type"], r["message"]) for r in feeds.decode_envelopes(raw, ["k"], "raw").collect()] == [("log", "a"), ("result", None)]
+
+
+def test_no_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from tracequarry.sources.shared import shared_dir
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(bare)
+    bare.sparkContext.getCheckpointDir = lambda: "/somewhere"
+    assert shared_dir(bare) == "/somewhere"
