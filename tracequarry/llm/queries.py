@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tracequarry.llm import bpe, decontam, htmltext, langid, media, neardup, pii, quality, runindex, suffixes
+from tracequarry.llm import bpe, decontam, htmltext, langid, licenses, media, neardup, periodic, pii, quality, runindex, suffixes
 
 QUERIES = {
     "op1_language": langid.op1_language,
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_repeated_words": runindex.op8_repeated_words,
     "op9_avi_digest": media.op9_avi_digest,
     "op10_bpe_roundtrip": bpe.op10_bpe_roundtrip,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op13_license_labels": licenses.op13_license_labels,
     "pipeline": corpus_pipeline.run,
 }
 
