@@ -16,7 +16,9 @@ def odd(spark, tmp_path_factory):
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0), (4, 0, 1), (5, None, 0), (None, 1, 0), (6, 1, 0)], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog and runs away from here"), (2, "das niemand kennt"), (3, None), (4, "!!")], "item_id long, text string")
     pages = spark.createDataFrame([(1, "u", None), (2, "u", ""), (3, None, "<article><p>One &amp; two words of a text that goes on, and on.</p><p>More of it, as is usual."), (4, "u", "<<<p class='>")], "page_id long, url string, html string")
-    for name, df in (("documents", docs), ("labels", labels), ("benchmark", items), ("pages", pages)):
+    talks = spark.createDataFrame([(0, 0, "user", "a b"), (0, 1, "bot", None), (3, None, None, "c"), (3, 1, "user", "a b"), (3, 1, "user", "a b"), (None, 0, "user", "x"), (21, 0, "user", "long " * 20_000)], "conv_id long, turn long, role string, text string")
+    talks = talks.selectExpr("*", "'k' AS key", "1 AS depth", "2 AS n_convs")
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", items), ("pages", pages), ("conversations", talks)):
         df.write.parquet(f"{top}/full/{name}.parquet")
         df.limit(0).write.parquet(f"{top}/none/{name}.parquet")
     return top

@@ -14,7 +14,7 @@ def test_empty_tables(spark, odd, name):
     assert QUERIES[name](spark, f"{odd}/none").count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"pipeline", "op7_main_text"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"pipeline", "op7_main_text", "op12_prefix_trie"}))
 def test_odd_tables(spark, odd, name):
     rows = QUERIES[name](spark, f"{odd}/full").collect()
     assert len(rows) == ROWS
@@ -36,6 +36,15 @@ def test_odd_tables(spark, odd, name):
         assert by[3]["payload_bytes"] == by[4]["payload_bytes"] == 192 and by[1]["payload_bytes"] % 192 == 0
     if name.startswith("op10_"):
         assert by[3]["n_tokens"] == by[5]["n_tokens"] == 0
+    if name.startswith("op11_"):
+        assert by[3]["n_runs"] == 0 and by[3]["start"] is None and by[8]["n_runs"] == 1 and by[8]["period"] == 3 and by[3]["collapsed_sha256"] == empty
+    if name.startswith("op13_"):
+        assert by[3]["n_words"] == by[5]["n_words"] == by[3]["n_base"] == 0 and by[3]["labels"] == "" and by[7]["n_words"] == 1
+
+
+def test_odd_conversations(spark, odd):
+    rows = {(r["conv_id"], r["depth"]): r for r in QUERIES["op12_prefix_trie"](spark, f"{odd}/full").collect()}
+    assert rows[0, 0]["n_convs"] == 3 and rows[0, 0]["parent_conv_id"] is None
 
 
 def test_odd_pages(spark, odd):

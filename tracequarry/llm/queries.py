@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tracequarry.llm import bpe, decontam, htmltext, langid, licenses, media, neardup, periodic, pii, quality, runindex, suffixes
+from tracequarry.llm import bpe, decontam, htmltext, langid, licenses, media, neardup, periodic, pii, quality, runindex, suffixes, turntrie
 
 QUERIES = {
     "op1_language": langid.op1_language,
@@ -17,8 +17,9 @@ QUERIES = {
     "op9_avi_digest": media.op9_avi_digest,
     "op10_bpe_roundtrip": bpe.op10_bpe_roundtrip,
     "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_prefix_trie": turntrie.op12_prefix_trie,
     "op13_license_labels": licenses.op13_license_labels,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op6_benchmark_hits": decontam.OP6_SQL}
+ORACLES = {"op6_benchmark_hits": decontam.OP6_SQL, "op12_prefix_trie": turntrie.OP12_SQL}
