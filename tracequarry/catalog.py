@@ -354,3 +354,4 @@ def _(spark, sf):
 from tracequarry import catalog_reports  # noqa: E402, F401  registers its queries here
 from tracequarry import catalog_code  # noqa: E402, F401
 from tracequarry import catalog_build  # noqa: E402, F401
+from tracequarry import catalog_graph  # noqa: E402, F401

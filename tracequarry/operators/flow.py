@@ -27,9 +27,18 @@ def _starts(col: Column, *words: str) -> Column:
     return col.rlike(f"^(?:{'|'.join(words)})")
 
 
+def flag_list(flags: str = "flags") -> Column:
+    """A declaration's flags, trimmed and in lower case."""
+    return F.transform(F.split(F.coalesce(flags, F.lit("")), ","), lambda x: F.lower(F.trim(x)))
+
+
+def flagged(flag: str) -> Column:
+    return F.array_contains(flag_list(), flag)
+
+
 def usable(decl: DataFrame, instr: DataFrame) -> DataFrame:
     """Declarations with a body: neither native nor abstract, a valid signature, an instruction at least."""
-    flags = F.transform(F.split(F.coalesce("flags", F.lit("")), ","), lambda x: F.lower(F.trim(x)))
+    flags = flag_list()
     part = lambda i: F.regexp_extract("full_signature", r"^(L[^;\s]+;)->([^(]+)(\(.*)$", i)
     valid = code.valid_identity(part(1), part(2), part(3), F.col("full_signature"))
     body = instr.where(F.col("opcode").isNotNull()).select(*_METHOD).distinct()
@@ -91,6 +100,12 @@ def flow_issues(instr: DataFrame, labels: DataFrame, payloads: DataFrame, handle
     return jumps.unionByName(tables).unionByName(ranges)
 
 
+def no_graph(decl: DataFrame, instr: DataFrame) -> DataFrame:
+    """(apk, method, idx, issue, detail) of the declarations that can't have a graph: without a body, or without a valid identity."""
+    lost = decl.join(usable(decl, instr).select(*_METHOD), _METHOD, "left_anti")
+    return lost.select(*_METHOD, F.lit(None).cast("int").alias("idx"), F.lit("CFG_NO_USABLE_GRAPH").alias("issue"), F.col("full_signature").alias("detail"))
+
+
 # ---- uses and definitions ----
 
 
@@ -105,7 +120,7 @@ def use_def(instr: DataFrame) -> DataFrame:
     w = W.partitionBy(*_METHOD).orderBy("idx")
     seen = seen.withColumn("last_ref", F.lag("ref").over(w)).withColumn("last_op", F.lag("opcode").over(w))
     none = F.array().cast("array<string>")
-    first, rest = F.slice(regs, 1, 1), F.when(F.size(regs) > 1, F.slice(regs, 2, 1000)).otherwise(none)
+    first, rest = F.slice(regs, 1, 1), F.when(F.size(regs) > 1, F.slice(regs, F.lit(2), F.size(regs))).otherwise(none)
     gives = lambda r: r.isNotNull() & ~r.endswith(")V")
     result = lambda r: F.array(F.concat(F.lit("result:"), r))
     array_of = lambda i: F.when(F.size(regs) >= i, F.array(F.concat(F.lit("array:"), F.try_element_at(regs, F.lit(i))))).otherwise(none)
@@ -139,7 +154,7 @@ def calls(instr: DataFrame) -> DataFrame:
 
 def call_edges(instr: DataFrame, decl: DataFrame) -> DataFrame:
     """Each call and the declarations of its signature in the package; callee is null for a call that leaves it."""
-    targets = decl.select("apk", F.col("full_signature").alias("target"), F.col("method").alias("callee"), F.array_contains(F.split("flags", ","), "native").alias("callee_native"))
+    targets = decl.select("apk", F.col("full_signature").alias("target"), F.col("method").alias("callee"), flagged("native").alias("callee_native"))
     return calls(instr).drop("operands").join(targets, ["apk", "target"], "left").select(*_PLACE, "kind", "target", "callee", "callee_native")
 
 
@@ -148,7 +163,7 @@ def boundaries(instr: DataFrame, decl: DataFrame) -> DataFrame:
 
     In order: reflection, dispatch that only the run decides, a super call without one declaration, no declaration, and a
     declaration without a body."""
-    native = F.array_contains(F.split("flags", ","), "native")
+    native = flagged("native")
     bodies = usable(decl, instr).select("apk", "method", F.lit(True).alias("body"))
     known = decl.join(bodies, _METHOD, "left").groupBy("apk", F.col("full_signature").alias("target")).agg(F.count("*").alias("n"), F.count_if("body").alias("bodies"), F.count_if(native).alias("natives"))
     kind, n = F.col("kind"), F.coalesce("n", F.lit(0))
@@ -162,7 +177,7 @@ def boundaries(instr: DataFrame, decl: DataFrame) -> DataFrame:
 def parameter_map(instr: DataFrame, decl: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(apk, method, idx, callee, parameter, register): which of a call's registers fills each parameter word of a declared
     callee, both words of a wide one either; and the calls whose registers don't fit the descriptor."""
-    callee = decl.select("apk", F.col("full_signature").alias("target"), F.col("method").alias("callee"), F.array_contains(F.split("flags", ","), "static").alias("is_static"))
+    callee = decl.select("apk", F.col("full_signature").alias("target"), F.col("method").alias("callee"), flagged("static").alias("is_static"))
     types = param_types(F.regexp_extract("target", r"(\(.*)$", 1))
     base = F.when(F.col("is_static"), 0).otherwise(1)
     called = calls(instr).join(callee, ["apk", "target"]).select(*_PLACE, "callee", "is_static", types.alias("types"), code.registers(F.col("operands")).alias("regs"))

@@ -10,8 +10,10 @@ those that it reads, others pass. Where a result of a local callee is live, the
 call's arguments; parameters that are live at a method's entry go back to the caller of the context, or, without one, to the
 first callers by order. Each context closes over its own control dependences.
 
-Budgets are applied to the finished slice, in order of round and distance from where a walk began: another order than that of
-a depth-first traversal, but the sink always stays, and what was cut is flagged.
+Budgets hold while a slice grows: of a signature's declarations the first ones by number are gone into, and what a slice may
+visit is counted over its rounds, so that requests beyond its budget of states are turned away before they are walked. Budgets of
+methods and instructions are applied to what has been kept, in order of round and distance from where a walk began: another order
+than that of a depth-first traversal, but the sink always stays, and whatever is cut is a boundary that marks the slice truncated.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import json
 from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,17 +45,20 @@ class Limits:
     methods: int = 8
     instructions: int = 256
     candidates: int = 4
+    #: places with a live symbol that a slice may visit
+    states: int = 4096
 
 
 def bodies(instr: DataFrame, decl: DataFrame, edges: DataFrame, candidates: int = 4) -> DataFrame:
     """One row for each usable method: signature, its code with uses, definitions and calls, its edges, and who calls it."""
-    able = flow.usable(decl, instr).select("apk", "method", "full_signature", F.array_contains(F.split("flags", ","), "static").alias("is_static"))
+    able = flow.usable(decl, instr).select("apk", "method", "full_signature", flow.flagged("static").alias("is_static"))
     ends = able.select("apk", F.col("full_signature").alias("target"), F.col("method").cast("string").alias("callee"))
     place = F.row_number().over(W.partitionBy("apk", "target").orderBy("callee"))
-    callees = ends.withColumn("n", place).where(F.col("n") <= candidates).groupBy("apk", "target").agg(F.array_sort(F.collect_list("callee")).alias("callees"))
-    stops = flow.boundaries(instr, decl).join(callees, ["apk", "target"], "left").select("apk", "method", "idx", "target", F.col("boundary").alias("stop"), F.when(F.col("boundary").isNull(), F.col("callees")).alias("callees"))
+    callees = ends.withColumn("n", place).groupBy("apk", "target").agg(F.array_sort(F.collect_list(F.when(F.col("n") <= candidates, F.col("callee")))).alias("callees"), (F.max("n") > candidates).alias("more"))
+    inside = F.col("boundary").isNull()
+    stops = flow.boundaries(instr, decl).join(callees, ["apk", "target"], "left").select("apk", "method", "idx", "target", F.col("boundary").alias("stop"), F.when(inside, F.col("callees")).alias("callees"), (inside & F.col("more")).alias("more"))
     code = flow.use_def(instr).join(stops, ["apk", "method", "idx"], "left")
-    code = code.groupBy("apk", "method").agg(F.collect_list(F.struct("idx", "opcode", "uses", "defs", "regs", "target", "stop", "callees")).alias("code"))
+    code = code.groupBy("apk", "method").agg(F.collect_list(F.struct("idx", "opcode", "uses", "defs", "regs", "target", "stop", "callees", "more")).alias("code"))
     graph = edges.groupBy("apk", "method").agg(F.collect_set(F.struct("src", "dst")).alias("edges"))
     # callers whose dispatch is certain, the first ones by method and place
     sure = flow.call_edges(instr, able.withColumn("flags", F.lit(""))).where(F.col("callee").isNotNull() & F.col("kind").isin("static", "direct", "super")).join(able.select("apk", "method"), ["apk", "method"], "left_semi")
@@ -82,28 +88,16 @@ class _Walker:
     def __init__(self, row: dict, limits: Limits):
         self.row, self.limits, self.method = row, limits, row["method"]
         self.code = {c["idx"]: c for c in row["code"]}
-        self.before, self.after = defaultdict(list), defaultdict(list)
+        self.before = defaultdict(list)
         for e in row["edges"] or ():
             self.before[e["dst"]].append(e["src"])
-            self.after[e["src"]].append(e["dst"])
-        self.branches = [c for c in row["code"] if c["opcode"].startswith("if-") or "switch" in c["opcode"]]
-        self.far: dict[int, set[int]] = {}
+        self.branches = {c["idx"] for c in row["code"] if c["opcode"].startswith("if-") or "switch" in c["opcode"]}
 
-    def reach(self, start: int) -> set[int]:
-        if start not in self.far:
-            seen, left = set(), [start]
-            while left:
-                for n in self.after[left.pop()]:
-                    if n not in seen:
-                        seen.add(n)
-                        left.append(n)
-            self.far[start] = seen
-        return self.far[start]
-
-    def walk(self, r: dict) -> Iterator[tuple]:
-        """(kind, idx, detail, target, step, method, request) rows."""
+    def walk(self, r: dict, states: int) -> Iterator[tuple]:
+        """(kind, idx, detail, target, step, method, request) rows; a walk visits so many states at most."""
         out: list[tuple] = []
         retained, seen, entry, queue = set(), set(), set(), deque()
+        leads, deciders, visited = set(), [], 0  # what leads to retained instructions, one backward walk for all of them
         say = lambda kind, idx, detail, target=None, step=0, method=self.method, request=None: out.append((kind, idx, detail, target, step, method, request))
 
         def ask(method: str, **request) -> None:
@@ -113,6 +107,8 @@ class _Walker:
             """What a retained instruction makes live."""
             if c["stop"]:
                 say("boundary", c["idx"], c["stop"], c["target"])
+            if c["more"]:
+                say("boundary", c["idx"], "candidate_limit", c["target"])
             if not c["callees"] or not live & set(c["defs"]):
                 return set(c["uses"])
             if r["depth"] >= self.limits.depth:
@@ -125,13 +121,29 @@ class _Walker:
                     ask(callee, mode="returns", depth=r["depth"] + 1, reason="callee_return", ctx=[*r["ctx"], [self.method, c["idx"]]], path=[*r["path"], callee])
             return set()
 
+        def retain(idx: int, reason: str, step: int) -> None:
+            say("retain", idx, reason, step=step)
+            retained.add(idx)
+            left = [idx]
+            while left:
+                for p in self.before[left.pop()]:
+                    if p not in leads:
+                        leads.add(p)
+                        left.append(p)
+                        if p in self.branches:
+                            deciders.append(p)
+
         def visit(idx: int, live: set[str], forced: bool, step: int, reason: str) -> None:
+            nonlocal visited
             c = self.code.get(idx)
-            if c is None:
+            if c is None or visited > states:
+                return
+            visited += 1
+            if visited > states:
+                say("boundary", idx, "traversal_state_limit")
                 return
             if forced or live & set(c["defs"]):
-                say("retain", idx, reason, step=step)
-                retained.add(idx)
+                retain(idx, reason, step)
                 live = (live - set(c["defs"])) | read(c, live)
             if not self.before[idx]:
                 entry.update(s for s in live if s[0] == "p")
@@ -158,20 +170,17 @@ class _Walker:
                 say("issue", r["idx"], "MALFORMED_PARAMETER_MAPPING")
                 return iter(out)
             if r["reverse"]:
-                say("retain", r["idx"], "caller_argument")
+                say("retain", r["idx"], "caller_argument")  # alone it decides nothing
             starts = [(p, found) for p in self.before[r["idx"]]]
         for idx, syms in starts:
             visit(idx, set(syms), True, 1, r["reason"])
         drain(r["reason"])
-        changed = bool(retained)
-        while changed:
-            changed = False
-            for c in self.branches:
-                if c["idx"] not in retained and retained & self.reach(c["idx"]):
-                    say("retain", c["idx"], "control_dependency", step=1 << 20)
-                    visit(c["idx"], set(c["uses"]), True, 1 << 20, "data_dependency")
-                    drain("data_dependency")
-                    changed = True
+        while deciders:
+            idx = deciders.pop()
+            if idx not in retained and visited < states:
+                say("retain", idx, "control_dependency", step=1 << 20)
+                visit(idx, set(self.code[idx]["uses"]), True, 1 << 20, "data_dependency")
+                drain("data_dependency")
         if wanted := sorted(entry):
             back = {"mode": "caller", "syms": wanted, "reason": "caller_argument", "types": self.row["types"], "static": self.row["is_static"]}
             at = starts[0][0] if starts else -1
@@ -187,11 +196,25 @@ class _Walker:
                 else:
                     for site in self.row["sites"] or ():
                         ask(site["method"], idx=site["idx"], depth=r["depth"] + 1, ctx=[], path=[*r["path"], site["method"]], reverse=True, **back)
+        say("states", -1, "", step=visited)
         return iter(out)
 
 
+def _named(rows: Iterator[tuple], place: int) -> Iterator[tuple]:
+    """The rows of a walk; the count of its states bears the request's place instead of an index."""
+    return ((kind, place if kind == "states" else idx, *rest) for kind, idx, *rest in rows)
+
+
+def _within_budget(asked: DataFrame, used: DataFrame | None, limits: Limits) -> DataFrame:
+    """asked with place, each request's number within its slice, and left, the states that its slice may still visit."""
+    rows = asked.withColumn("place", F.row_number().over(W.partitionBy(*_SLICE).orderBy("method", "request")))
+    spent = F.lit(0) if used is None else F.coalesce("used", F.lit(0))
+    rows = rows if used is None else rows.join(used, _SLICE, "left")
+    return rows.select(*_SLICE, "method", "request", "place", (F.lit(limits.states) - spent).cast("int").alias("left"))
+
+
 def _round(requests: DataFrame, methods: DataFrame, limits: Limits) -> DataFrame:
-    salted = requests.groupBy("apk", "method", F.pmod(F.xxhash64("s_method", "s_idx"), F.lit(SALTS)).alias("salt")).agg(F.collect_list(F.struct("s_method", "s_idx", "request")).alias("requests"))
+    salted = requests.groupBy("apk", "method", F.pmod(F.xxhash64("s_method", "s_idx"), F.lit(SALTS)).alias("salt")).agg(F.collect_list(F.struct("s_method", "s_idx", "request", "place", "left")).alias("requests"))
     rows = salted.join(methods, ["apk", "method"])
     kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string()]
 
@@ -201,7 +224,7 @@ def _round(requests: DataFrame, methods: DataFrame, limits: Limits) -> DataFrame
             for row in part.to_pylist():
                 walker, rows_out = _Walker(row, limits), set()
                 for q in row["requests"]:
-                    rows_out.update((q["s_method"], q["s_idx"], kind, method, idx, detail, target, step, request) for kind, idx, detail, target, step, method, request in walker.walk(json.loads(q["request"])))
+                    rows_out.update((q["s_method"], q["s_idx"], kind, method, idx, detail, target, step, request) for kind, idx, detail, target, step, method, request in _named(walker.walk(json.loads(q["request"]), q["left"]), q["place"]))
                 if rows_out:
                     columns = [*zip(*sorted(rows_out, key=repr), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array([row["apk"]] * len(rows_out), apk_type), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["apk", *_OUT])
@@ -218,21 +241,26 @@ def program_slices(instr: DataFrame, decl: DataFrame, edges: DataFrame, sinks: D
     seed = sinks.select("apk", F.col("method").cast("string").alias("s_method"), F.col("idx").alias("s_idx")).distinct()
     ud = flow.use_def(instr).select("apk", F.col("method").cast("string").alias("s_method"), F.col("idx").alias("s_idx"), "uses")
     start = F.struct(F.array().cast("array<string>").alias("ctx"), F.lit(0).alias("depth"), F.col("s_idx").alias("idx"), F.lit("start").alias("mode"), F.array("s_method").alias("path"), F.lit("data_dependency").alias("reason"), F.array_sort("uses").alias("syms"))
-    open_ = cut(seed.join(ud, _SLICE).select(*_SLICE, F.col("s_method").alias("method"), F.to_json(start).alias("request")))
-    done, outs, number = open_, [], 0
+    first = seed.join(ud, _SLICE).select(*_SLICE, F.col("s_method").alias("method"), F.to_json(start).alias("request"))
+    open_ = cut(_within_budget(first, None, limits))
+    key, turned = [*_SLICE, "method", "request"], []
+    done, outs, used, number = open_.select(*key), [], None, 0
     while not open_.isEmpty():
         number += 1
         out = cut(_round(open_, methods, limits).withColumn("round", F.lit(number)))
         outs.append(out)
-        asked = out.where("kind = 'request'").select(*_SLICE, "method", "request").distinct()
-        open_ = cut(asked.join(done, [*_SLICE, "method", "request"], "left_anti"))
-        done = done.unionByName(open_)
+        spent = out.where("kind = 'states'").groupBy(*_SLICE).agg(F.sum("step").alias("used"))
+        used = cut(spent if used is None else used.unionByName(spent).groupBy(*_SLICE).agg(F.sum("used").alias("used")))
+        asked = out.where("kind = 'request'").select(*key).distinct().join(done, key, "left_anti")
+        asked = cut(_within_budget(asked, used, limits))
+        turned.append(asked.where(F.col("place") > F.col("left")))  # each walk visits a state at least
+        open_ = asked.where(F.col("place") <= F.col("left"))
+        done = done.unionByName(asked.select(*key))
     if not outs:
-        outs = [_round(open_, methods, limits).withColumn("round", F.lit(0))]
-    every = outs[0]
-    for more in outs[1:]:
-        every = every.unionByName(more)
+        outs, turned = [_round(open_, methods, limits).withColumn("round", F.lit(0))], [open_]
+    every, refused = reduce(DataFrame.unionByName, outs), reduce(DataFrame.unionByName, turned)
     at = [*_SLICE, "method", "idx"]
+    over = refused.groupBy(*_SLICE, "method").agg(F.lit("traversal_state_limit").alias("boundary")).select(*_SLICE, "boundary", "method", F.lit(-1).alias("idx"), F.lit(None).cast("string").alias("target"))
     kept = every.where("kind = 'retain'").groupBy(*at, F.col("detail").alias("reason")).agg(F.min(F.struct("round", "step")).alias("first")).select(*at, "reason", "first.*")
     sink = seed.select(*_SLICE, F.col("s_method").alias("method"), F.col("s_idx").alias("idx"), F.lit("sink").alias("reason"), F.lit(0).alias("round"), F.lit(0).alias("step"))
     stops = flow.boundaries(instr, decl).where("boundary IS NOT NULL").select("apk", F.col("method").cast("string").alias("method"), "idx", "target", "boundary")
@@ -242,7 +270,7 @@ def program_slices(instr: DataFrame, decl: DataFrame, edges: DataFrame, sinks: D
     reverse = every.where("kind = 'unsafe'").select(*_SLICE, F.col("method").alias("called")).distinct().join(unsure, ["apk", "called"]).select(*_SLICE, "boundary", "method", "idx", "target")
     told = every.where("kind = 'boundary'").select(*_SLICE, F.col("detail").alias("boundary"), "method", "idx", "target")
     issues = every.where("kind = 'issue'").select(*at, F.col("detail").alias("issue")).distinct()
-    return kept.unionByName(sink), told.unionByName(own).unionByName(reverse).distinct(), issues
+    return kept.unionByName(sink), told.unionByName(own).unionByName(reverse).unionByName(over).distinct(), issues
 
 
 def apply_limits(retained: DataFrame, boundaries: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
@@ -260,7 +288,7 @@ def apply_limits(retained: DataFrame, boundaries: DataFrame, limits: Limits = Li
     return kept, boundaries.unionByName(lost)
 
 
-TRUNCATING = ("call_depth_limit", "method_limit", "candidate_limit", "instruction_limit", "recursion")
+TRUNCATING = ("call_depth_limit", "method_limit", "candidate_limit", "instruction_limit", "traversal_state_limit", "recursion")
 
 
 def slice_summary(retained: DataFrame, boundaries: DataFrame) -> DataFrame:
