@@ -355,3 +355,4 @@ from tracequarry import catalog_reports  # noqa: E402, F401  registers its queri
 from tracequarry import catalog_code  # noqa: E402, F401
 from tracequarry import catalog_build  # noqa: E402, F401
 from tracequarry import catalog_graph  # noqa: E402, F401
+from tracequarry import catalog_state  # noqa: E402, F401

@@ -142,9 +142,14 @@ def evidence_counts(telemetry: DataFrame) -> DataFrame:
     return telemetry.select("session", F.size("files").alias("n_files"), F.size("sockets").alias("n_sockets"), (F.size("files") + F.size("sockets")).alias("n_evidence"))
 
 
+def steps_shown() -> dict[str, Column]:
+    """Whether a line shows each step."""
+    return {s: _has(F.lower("line"), *parts) for s, parts in STEPS.items()}
+
+
 def checkpoints(lines: DataFrame) -> DataFrame:
     """(session, step, active, first_ts): whether any line of a session shows a step, and when first; one pass over the lines."""
-    shown = {s: _has(F.lower("line"), *parts) for s, parts in STEPS.items()}
+    shown = steps_shown()
     first = lines.groupBy("session").agg(*[F.min(F.when(shows, F.col("ts"))).alias(f"s{i}") for i, shows in enumerate(shown.values())])
     row = F.array(*[F.struct(F.lit(s).alias("step"), F.col(f"s{i}").alias("ts")) for i, s in enumerate(STEPS)])
     return first.select("session", F.explode(row).alias("r")).select("session", F.col("r.step").alias("step"), F.col("r.ts").isNotNull().alias("active"), F.col("r.ts").alias("first_ts"))

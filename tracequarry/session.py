@@ -11,6 +11,7 @@ def local(cores: int = 8, memory: str = "8g") -> SparkSession:
     conf = {
         "spark.sql.shuffle.partitions": str(cores), "spark.driver.memory": memory, "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
         "spark.sql.adaptive.enabled": "true", "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="spark-"), "spark.local.dir": tempfile.mkdtemp(prefix="spark-"),
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     spark = SparkSession.builder.master(f"local[{cores}]").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
