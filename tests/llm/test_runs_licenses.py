@@ -170,3 +170,17 @@ def test_licenses_are_read_whole(spark):
     row = licenses.scan_licenses(spark.createDataFrame([(text,)], "text string")).first()["licenses"]
     assert row["n_words"] == 200_000 + len(tokens(licenses.TEMPLATES[3][1])) + 3 and [x["label"] for x in row["notices"]] == ["mit"]
     assert [tuple(x) for x in row["places"]] == [(row["n_words"] - 3, "reserved")]
+
+
+@pytest.mark.parametrize("mark", ["point", "dot", "at ", "(at)", "@", "arroba", "plus", "five", "_at_", "(dot)"])
+def test_personal_data_beside_long_blanks(mark):
+    import time
+
+    from tracequarry.llm import pii
+
+    for text in ("a" + " " * 1_000_000 + mark + " of view", ("word" + " " * 2000) * 300 + mark + " x", (mark + " " * 2000) * 300):
+        began = time.perf_counter()
+        pii.detect(text)
+        assert time.perf_counter() - began < 5  # a second, with others on the machine
+    disguised = "write bob" + " " * 5000 + "(at)" + "\t" * 5000 + "x.example" + " " * 5000 + "dot" + " " * 5000 + "com"
+    assert [disguised[s:e] for s, e, k in pii.detect(disguised)[1] if k == 0] == [disguised[6:]]

@@ -99,9 +99,11 @@ _GAP = r"(?:[ \t]*[-.,]?[ \t]*|[ \t]+)"
 _RUN = regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{_NAMED})(?:(?:[ \t,.()-]|plus)*+(?<![\p{{L}}\p{{N}}](?=\p{{L}}))(?:{_NAMED}|[0-9])(?![\p{{L}}]))+", regex.I)
 _NUMBERWORD = regex.compile(rf"(?<!\p{{L}})(?:{_NAMED})(?!\p{{L}})", regex.I)
 _PLUS = regex.compile(rf"(?<!\p{{L}})plus(?=[ \t]+(?:{_NAMED}|[0-9])(?!\p{{L}}))", regex.I)
-_AT = r"(?:[ \t]*(?:\(at\)|\[at\]|\{at\}|<at>|\(@\)|\[@\])[ \t]*|[ \t]*[_*]at[_*][ \t]*)"
-_DOT = r"(?:[ \t]*(?:\(dot\)|\[dot\]|\{dot\}|<dot>|\(punkt\)|\[punkt\]|\(point\)|\[point\]|\(punto\)|\[punto\]|\(\.\)|\[\.\])[ \t]*|[ \t]*[_*]dot[_*][ \t]*)"
-_BARE_AT, _BARE_DOT = r"[ \t]+(?:at|arroba|arobase)[ \t]+", r"[ \t]+(?:dot|punkt|point|punto)[ \t]+"
+# Blanks in front are taken as a whole run or not at all: tried at each blank of a long run they would take quadratic time.
+_SOME, _ANY = r"(?<![ \t])[ \t]++", r"(?:(?<![ \t])[ \t]++)?"
+_AT = _ANY + r"(?:(?:\(at\)|\[at\]|\{at\}|<at>|\(@\)|\[@\])[ \t]*|[_*]at[_*][ \t]*)"
+_DOT = _ANY + r"(?:(?:\(dot\)|\[dot\]|\{dot\}|<dot>|\(punkt\)|\[punkt\]|\(point\)|\[point\]|\(punto\)|\[punto\]|\(\.\)|\[\.\])[ \t]*|[_*]dot[_*][ \t]*)"
+_BARE_AT, _BARE_DOT = _SOME + r"(?:at|arroba|arobase)[ \t]+", _SOME + r"(?:dot|punkt|point|punto)[ \t]+"
 _NAME = r"[A-Za-z0-9_%+-]++"
 # An address around an at sign: its names before, read backwards, and its host after, which a marked at may have with any
 # dots, a bare or real one with a known ending only.
