@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import uuid
+
 from tracequarry import catalog as c
+from tracequarry.functions import canonical
+from tracequarry.operators import sketches
 from tracequarry.plans.views import oracle, view
+from tracequarry.sources.shared import cut, shared_dir
+from tracequarry.sources.stored import StoredTable
 from tracequarry.streaming import stateful
 
 _query = c._query
@@ -31,3 +37,47 @@ def _(spark, sf):
 @_query("str9_hourly_feed", oracle("""SELECT start, kind, CAST(sum(m) AS BIGINT) AS n FROM (SELECT h - INTERVAL 1 HOUR * k AS start, kind, m FROM (SELECT time_bucket(INTERVAL '1 hour', ts) AS h, kind, count(*) AS m FROM ev GROUP BY 1, 2), range(720) r(k)) GROUP BY 1, 2""", "v_log", also=c._EVENTS))
 def _(spark, sf):
     return stateful.sliding_counts(c._events(spark, sf)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# ---- stored tables ----
+@_query("src15_stored_upsert", oracle("SELECT event_id, session, ts, line FROM v_log QUALIFY row_number() OVER (PARTITION BY session ORDER BY ts DESC, event_id DESC) = 1", "v_log"))
+def _(spark, sf):
+    """The last line of each session, from a stored table that takes in one kind of line after the other."""
+    lines = view(spark, sf, "v_log").select("event_id", "session", F.struct("ts", "event_id").alias("at"), "line", F.col("line").contains("File").alias("first"))
+    table = StoredTable(spark, f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}", "session", "at", 16)
+    for part in ("first", "NOT first"):
+        table.upsert(cut(lines.where(part).drop("first")))
+    return table.read().select("event_id", "session", F.col("at.ts").alias("ts"), "line")
+
+
+# ---- digests ----
+_ESCAPED = r"""list_transform(regexp_extract_all({x}, '(?s).'), lambda c: CASE WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\' WHEN c = chr(10) THEN '\n' WHEN c = chr(13) THEN '\r' WHEN c = chr(9) THEN '\t' WHEN c = chr(8) THEN '\b' WHEN c = chr(12) THEN '\f'
+  WHEN unicode(c) BETWEEN 32 AND 126 THEN c WHEN unicode(c) > 65535 THEN printf('\u%04x\u%04x', 55296 + ((unicode(c) - 65536) // 1024), 56320 + ((unicode(c) - 65536) % 1024)) ELSE printf('\u%04x', unicode(c)) END)"""
+
+
+@_query("fn16_canonical_id", rf"""SELECT doc_id, source || ':' || sha256('{{"apk_hash":"' || source || '","instruction_index":' || CAST(doc_id AS VARCHAR) || ',"invoked_signature":' || CASE WHEN text IS NULL THEN 'null' ELSE '"' || array_to_string({_ESCAPED.format(x="text")}, '') || '"' END || ',"rule_id":"r"}}') AS example_id FROM documents""")
+def _(spark, sf):
+    """Ids over names in any script: whole texts stand for the signatures."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    made = canonical.with_example_id(docs, F.col("source"), rule_id=F.lit("r"), instruction_index=F.col("doc_id"), invoked_signature=F.col("text"))
+    return made.select("doc_id", "example_id")
+
+
+@_query("set5_canonical_digest", oracle("""SELECT count(*) AS n, sha256('{' || string_agg('"' || apk_hash || '":"' || label || '"', ',' ORDER BY apk_hash) || '}') AS digest FROM (SELECT apk_hash, min(label) AS label FROM v_apk GROUP BY 1)""", "v_apk"))
+def _(spark, sf):
+    mapping = view(spark, sf, "v_apk").groupBy("apk_hash").agg(F.min("label").alias("label"))
+    return canonical.mapping_sha256(mapping, "apk_hash", "label")
+
+
+# ---- sketches ----
+_GROUPS = {"all": "''", "label": "label", "is_truncated": "CAST(is_truncated AS VARCHAR)", "status": "status", "sink_category": "sink_category", "apk_hash": "apk_hash"}
+
+
+@_query("agg1_sketches", oracle("SELECT grouping, member, n, most, mean, true AS p5, true AS p9, true AS p95, true AS p99 FROM (" + " UNION ALL ".join(f"SELECT '{g}' AS grouping, {m} AS member, count(token_count) AS n, max(token_count) AS most, round(avg(token_count), 6) AS mean FROM v_token GROUP BY 1, 2" for g, m in _GROUPS.items()) + ")", "v_token"))
+def _(spark, sf):
+    """The six groupings from one stored table of sketches, and whether each quantile's rank is right to 1 %."""
+    rows = view(spark, sf, "v_token")
+    names = [g for g in _GROUPS if g != "all"]
+    stored = cut(sketches.sketched(rows, "token_count", *names))
+    found = sketches.distribution(sketches.grouping_sets(stored, *names))
+    return sketches.checked(rows, "token_count", found, names).withColumn("mean", F.round("mean", 6))
