@@ -8,8 +8,9 @@ import uuid
 
 from tracequarry import catalog as c
 from tracequarry.functions import canonical
-from tracequarry.operators import sketches
+from tracequarry.operators import matching, sketches
 from tracequarry.plans.views import oracle, view
+from tracequarry.sources import files, smali
 from tracequarry.sources.shared import cut, shared_dir
 from tracequarry.sources.stored import StoredTable
 from tracequarry.streaming import stateful
@@ -81,3 +82,63 @@ def _(spark, sf):
     stored = cut(sketches.sketched(rows, "token_count", *names))
     found = sketches.distribution(sketches.grouping_sets(stored, *names))
     return sketches.checked(rows, "token_count", found, names).withColumn("mean", F.round("mean", 6))
+
+
+# ---- texts like known ones ----
+_SETS = """d AS (SELECT text, min(doc_id) AS key, count(*) AS n, bool_or(toxic = 1) AS bad, count(*) FILTER (toxic = 1) AS n_bad, min(doc_id) FILTER (toxic = 1) AS bad_key FROM documents LEFT JOIN labels USING (doc_id) WHERE text IS NOT NULL GROUP BY 1),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
+s AS (SELECT key, n, bad, n_bad, bad_key, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s FROM w WHERE len(w) > 0),
+p AS (SELECT a.key, b.bad_key AS known, a.n, b.n_bad AS n_known, len(list_intersect(a.s, b.s)) AS c, len(a.s) AS x, len(b.s) AS y FROM s a JOIN s b ON b.bad AND len(b.s) >= 0.8 * len(a.s) - 0.000001 AND len(a.s) >= 0.8 * len(b.s) - 0.000001)"""
+
+
+@_query("sim1_known_threats", f"WITH {_SETS} SELECT key, known, n, n_known, round(c / (x + y - c), 6) AS similarity FROM p WHERE c >= 0.8 * (x + y - c) - 0.000001")
+def _(spark, sf):
+    """Documents like those that are labelled toxic, which stand for known threats."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL").select("doc_id", "text")
+    bad = spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").select("doc_id").distinct()
+    new, known = cut(matching.text_sets(docs, "doc_id", "text")), cut(matching.text_sets(docs.join(bad, "doc_id", "left_semi"), "doc_id", "text"))
+    return matching.near_matches(new, known)
+
+
+# ---- smali ----
+def _texts(rows, body):
+    text = F.concat(F.lit(".class public Lp/C;\n.super Ljava/lang/Object;\n"), F.array_join(F.array_sort(F.collect_list(body)), "\n"))
+    return rows.groupBy("apk").agg(text.alias("text"))
+
+
+@_query("src3_smali_parameters", oracle(r"""SELECT d.apk, d.full_signature, k AS place, 'p' || CAST(k + CASE WHEN list_contains(string_split(d.flags, ','), 'static') THEN 0 ELSE 1 END AS VARCHAR) AS register, 'I' AS type, CASE WHEN k = 1 THEN 'n' || regexp_extract(d.full_signature, '->m([0-9]+)', 1) END AS name FROM v_decl d, range(2) r(k)""", "v_decl"))
+def _(spark, sf):
+    """Each package's declarations printed as one class, and their parameters read again."""
+    decl = view(spark, sf, "v_decl").where("apk IS NOT NULL")
+    number = F.regexp_extract("full_signature", r"->m(\d+)", 1)
+    second = F.when(F.array_contains(F.split("flags", ","), "static"), "p1").otherwise("p2")
+    body = F.concat(F.lit(".method "), F.array_join(F.split("flags", ","), " "), F.lit(" m"), number, F.lit("(II)I\n    .param "), second, F.lit(', "n'), number, F.lit('"\n.end method'))
+    parts = cut(smali.read_classes(_texts(decl, body), "apk", "text"))
+    named = smali.methods(parts).select("apk", "method_no", F.regexp_extract("full_signature", r"->(m\d+)", 1).alias("m"))
+    signed = decl.select("apk", "full_signature", F.regexp_extract("full_signature", r"->(m\d+)", 1).alias("m"))
+    return smali.parameters(parts).join(named, ["apk", "method_no"]).join(signed, ["apk", "m"]).select("apk", "full_signature", "place", "register", "type", "name")
+
+
+@_query("src3_smali_payloads", oracle("SELECT apk, label || '_' || CAST(method AS VARCHAR) AS label, 'packed-switch' AS kind, CAST(row_number() OVER w - 1 AS INT) AS pos, row_number() OVER w + 6 AS key_value, target FROM v_payload WHERE target IS NOT NULL WINDOW w AS (PARTITION BY apk, method, label ORDER BY pos, target)", "v_payload"))
+def _(spark, sf):
+    rows = view(spark, sf, "v_payload").where("apk IS NOT NULL AND target IS NOT NULL")
+    tables = rows.groupBy("apk", "method", "label").agg(F.array_sort(F.collect_list(F.struct("pos", "target"))).alias("entries"))
+    body = F.concat(F.lit(".method m()V\n    "), F.col("label"), F.lit("_"), F.col("method").cast("string"), F.lit("\n    .packed-switch 0x7\n        "), F.array_join(F.col("entries.target"), "\n        "), F.lit("\n    .end packed-switch\n.end method"))
+    return smali.payload_entries(smali.read_classes(_texts(tables, body), "apk", "text")).select("apk", "label", "kind", "pos", "key_value", "target")
+
+
+# ---- SQL functions and unknown keys ----
+@_query("udf4_sql_function", oracle("SELECT label, count(token_count) AS n, round(avg(token_count), 6) AS mean, max(token_count) AS most FROM v_token GROUP BY 1", "v_token"))
+def _(spark, sf):
+    sketches.register(spark)
+    rows = view(spark, sf, "v_token")
+    return spark.sql("SELECT label, d.n, round(d.mean, 6) AS mean, d.most FROM (SELECT label, length_distribution(kll_sketch_agg_bigint(token_count), sum(token_count), max(token_count)) AS d FROM {rows} GROUP BY label)", rows=rows)
+
+
+@_query("src7_unknown_keys", "SELECT event_id, 'extra' AS name, 'v' || CAST(event_id AS VARCHAR) AS told, CAST(event_id % 7 AS INT) AS number FROM events")
+def _(spark, sf):
+    """Keys that no schema names come back with their values."""
+    text = F.format_string('{"objection_root_bypass":true,"extra":{"told":"v%d","list":[0,%d]}}', F.col("event_id"), F.col("event_id") % 7)
+    rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", text.alias("document"))
+    found = files.unknown_telemetry(rows, "event_id", "document")
+    return found.select("event_id", "name", F.variant_get("value", "$.told", "string").alias("told"), F.variant_get("value", "$.list[1]", "int").alias("number"))

@@ -49,7 +49,7 @@ def parse_smali(texts: DataFrame, key: str, text: str) -> tuple[DataFrame, DataF
     """(methods, instructions, labels, handlers) of smali texts, one class a row.
 
     A line belongs to the method that its number of .method lines so far gives; payload and annotation blocks are no
-    instructions. A text is split and numbered in its own row; no shuffle is needed."""
+    instructions. Lines are numbered by windows over their class, which shuffle; smali.read_classes takes one pass without."""
     line = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(F.trim(x), r"\s+#[^\"]*$", ""))
     lines = texts.select(key, F.regexp_extract(text, r"(?m)^\.class\s+(?:.*\s)?(L[^;]+;)\s*$", 1).alias("class_name"), F.posexplode(line).alias("no", "line")).where("line <> '' AND NOT startswith(line, '#')")
     w = W.partitionBy(key, "class_name").orderBy("no")
@@ -109,6 +109,13 @@ def parse_telemetry(rows: DataFrame, key: str, document: str) -> DataFrame:
     return d.select(key, flag("objection_root_bypass").alias("root"), flag("objection_ssl_pinning_bypass").alias("ssl"), some("ebpf_telemetry.syscalls").alias("syscalls"), some("ebpf_telemetry.files_accessed").alias("files"), F.coalesce(sockets, F.array()).alias("sockets"))
 
 
+def unknown_telemetry(rows: DataFrame, key: str, document: str) -> DataFrame:
+    """(key, name, value): what a document has beside the keys that parse_telemetry reads, as VARIANT; broken documents have none."""
+    known = T.StructType.fromDDL(TELEMETRY).fieldNames()
+    other = F.map_filter(F.from_json(document, "map<string,variant>"), lambda k, v: ~k.isin(*known))
+    return rows.select(key, F.explode(other).alias("name", "value"))
+
+
 def parse_nm_lines(lines: DataFrame) -> DataFrame:
     """(library, symbol, kind, address, malformed) of listing lines `name type [address [size]]`; undefined symbols go, lines
     without a type letter are marked."""
