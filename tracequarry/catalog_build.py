@@ -9,6 +9,7 @@ from tracequarry.functions import code, scalars
 from tracequarry.operators import dataset, evidence, learn, outcomes, rules as checks, scan, telemetry, triage
 from tracequarry.plans import rules
 from tracequarry.plans.views import oracle, view
+from tracequarry.sources.shared import cut
 from tracequarry.sources import files
 from tracequarry.streaming import feeds
 
@@ -253,7 +254,7 @@ def _(spark, sf):
 q AS (SELECT *, n - f0 - f1 AS spare, round(n * a - f0, 9) AS r0, round(n * (1 - a) - f1, 9) AS r1 FROM (SELECT stratum, n, a, floor(n * a)::BIGINT AS f0, floor(n * (1 - a))::BIGINT AS f1 FROM (SELECT stratum, count(*) AS n, CASE WHEN any_value(fresh) THEN 0.5::DOUBLE ELSE 0.75::DOUBLE END AS a FROM aged GROUP BY 1)))
 SELECT o_orderkey, stratum, CASE WHEN rn <= f0 + CASE WHEN (CASE WHEN r1 > r0 THEN 1 ELSE 0 END) < spare THEN 1 ELSE 0 END THEN 'train' ELSE 'test' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('42:' || stratum || ':' || CAST(o_orderkey AS VARCHAR))) AS rn FROM aged) JOIN q USING (stratum)""")
 def _(spark, sf):
-    return outcomes.time_stratified_split(_read(spark, sf, "orders"), "o_orderkey", "o_orderpriority", "o_orderdate", 1995, (("train", 0.75), ("test", 0.25)), (("train", 0.5), ("test", 0.5)))
+    return outcomes.time_stratified_split(_read(spark, sf, "orders"), "o_orderkey", "o_orderpriority", "o_orderdate", 1995, (("train", 0.75), ("test", 0.25)), (("train", 0.5), ("test", 0.5)), cut=cut)
 
 
 # ---- sources ----
@@ -408,7 +409,7 @@ def _(spark, sf):
     return telemetry.scorecard(_with_syscalls(spark, sf)).select("session", "security", "privacy", "grade", "privacy_level")
 
 
-@_query("sco23_with_syscalls", None)
+@_query("sco23_with_syscalls", _over("sco23_findings").replace("),\nfindings AS (FROM found", " UNION ALL SELECT session, 'KAV-MED-20', 'Medium', 'System Integrity', false, 'Dynamic Process Spawning Syscall (sys_execve)' FROM tele WHERE list_contains(syscalls, 'sys_execve')),\nfindings AS (FROM found"))
 def _(spark, sf):
     return evidence.findings(_with_syscalls(spark, sf))
 
@@ -431,6 +432,25 @@ def _(spark, sf):
     return telemetry.fuse_with_evidence(static, telemetry.dynamic_score(telemetry.behaviour_flags(c._telemetry(spark, sf))), slices.select("apk"))
 
 
+_MERGED = c.ORACLES["fus1_fuse"].replace("max(probability) AS p", "min(probability) AS p")
+
+
+@_query("fus1_evidence_columns", f"""SELECT f.*, s.probability, s.slice_count, s.most AS max_slice_probability, b.sms, b.banking, b.root, b.loading, coalesce(s.slice_count, 0) AS attributions FROM ({_MERGED}) f
+  LEFT JOIN ({oracle("SELECT apk, min(probability) AS probability, count(*) AS slice_count, max(probability) AS most FROM v_slice_score GROUP BY 1", "v_slice_score")}) s ON s.apk = f.apk LEFT JOIN ({c.ORACLES["sco7_behaviour_flags"]}) b ON b.session = f.apk""")
+def _(spark, sf):
+    """fus1_with_evidence, its structs as columns."""
+    made = c.QUERIES["fus1_with_evidence"](spark, sf)
+    shown = [F.col(f"{s}.{x}").alias(x) for s, names in (("static_evidence", ("probability", "slice_count", "max_slice_probability")), ("fingerprint", ("sms", "banking", "root", "loading"))) for x in names]
+    return made.select("apk", "base_score", "dynamic_score", "c2", "evasion", "label", "score", *shown, "attributions")
+
+
+@_query("fus1_attributions", f"WITH {_WEIGHED}, best AS (SELECT slice_id, slice_id % 10 AS apk, token, arg_max(weight, (abs(weight), weight)) AS weight FROM attr GROUP BY 1, 2, 3) SELECT apk, slice_id, CAST(row_number() OVER (PARTITION BY slice_id ORDER BY abs(weight) DESC, token) AS INT) AS place, token, weight FROM best WHERE apk IN (SELECT apk FROM ({_MERGED}))")
+def _(spark, sf):
+    """The attributions of all slices of the packages that were fused, one row each."""
+    slices = _read(spark, sf, "documents").select(F.col("doc_id").alias("slice_id"), (F.col("doc_id") % 10).alias("apk"))
+    return telemetry.flattened(c.QUERIES["fus1_with_evidence"](spark, sf), outcomes.slice_attributions(slices, _attributions(spark, sf)))
+
+
 @_query("agg3_finished_statistics", c.ORACLES["agg3_grouped_statistics"].replace("FROM v_token", "FROM (SELECT * FROM v_token WHERE status IN ('completed', 'completed_with_truncation', 'capped', 'zero_sink'))"))
 def _(spark, sf):
     return dataset.grouped_statistics(dataset.finished(view(spark, sf, "v_token")))

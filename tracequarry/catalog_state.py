@@ -8,7 +8,7 @@ import uuid
 
 from tracequarry import catalog as c
 from tracequarry.functions import canonical
-from tracequarry.operators import matching, sketches
+from tracequarry.operators import bytecode, dataset, matching, sketches, slice_stats
 from tracequarry.plans.views import oracle, view
 from tracequarry.sources import files, smali
 from tracequarry.sources.shared import cut, shared_dir
@@ -142,3 +142,29 @@ def _(spark, sf):
     rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", text.alias("document"))
     found = files.unknown_telemetry(rows, "event_id", "document")
     return found.select("event_id", "name", F.variant_get("value", "$.told", "string").alias("told"), F.variant_get("value", "$.list[1]", "int").alias("number"))
+
+
+# ---- summaries of slices ----
+_MAP = lambda rows, name: f"(SELECT apk, string_agg(category || '=' || CAST(n AS VARCHAR), ',' ORDER BY category) AS {name} FROM (SELECT apk, category, count(*) AS n FROM {rows} GROUP BY 1, 2) GROUP BY 1)"
+
+
+@_query("agg12_package_summary", oracle(f"""SELECT apk, coalesce(u, 0) AS usable_method_count, coalesce(m, 0) AS sink_method_count, coalesce(t, 0) AS total_sink_count, coalesce(ca, 0) AS candidate_selected_sink_count, coalesce(pu, 0) AS selected_sink_count, coalesce(t, 0) - coalesce(pu, 0) AS omitted_sink_count,
+  CAST(coalesce(ins, 0) AS BIGINT) AS retained_instruction_count, coalesce(co, 0) AS complete_slice_count, coalesce(tr, 0) AS truncated_slice_count, coalesce(kept, '') AS retained, coalesce(lost, '') AS omitted, coalesce(why, '') AS truncation_reasons,
+  CASE WHEN coalesce(pu, 0) < coalesce(ca, 0) THEN 'max_total_slice_instructions' WHEN coalesce(ca, 0) < coalesce(t, 0) THEN 'max_slices_per_apk' END AS cap_reason, rej AS rejected
+  FROM (SELECT apk, count(*) AS u FROM v_method WHERE flags NOT ILIKE '%native%' AND flags NOT ILIKE '%abstract%' GROUP BY 1) FULL JOIN (SELECT apk, count(DISTINCT method) AS m, count(*) AS t FROM sinks GROUP BY 1) USING (apk)
+  LEFT JOIN (SELECT apk, count(*) AS ca, count(*) FILTER (total <= 12) AS pu, min(CAST(method AS VARCHAR) || '/' || CAST(idx AS VARCHAR) || '/' || rule_id) FILTER (total > 12 AND total - n <= 12) AS rej FROM cand GROUP BY 1) USING (apk)
+  LEFT JOIN (SELECT apk, sum(n) AS ins, count(*) FILTER (idx < 3) AS co, count(*) FILTER (idx >= 3) AS tr, CASE WHEN count(*) FILTER (idx >= 3) > 0 THEN CASE WHEN count(*) FILTER (idx >= 4) > 0 THEN 'instruction_limit,recursion' ELSE 'instruction_limit' END END AS why FROM pub GROUP BY 1) USING (apk)
+  LEFT JOIN {_MAP("pub", "kept")} USING (apk) LEFT JOIN {_MAP("(SELECT * FROM sinks WHERE (apk, method, idx, rule_id) NOT IN (SELECT (apk, method, idx, rule_id) FROM pub))", "lost")} USING (apk)""", "v_instr", "v_method", also=f"""{c._FOUND},
+cand AS (SELECT *, idx + 1 AS n, sum(idx + 1) OVER (PARTITION BY apk ORDER BY place) AS total FROM (SELECT *, row_number() OVER (PARTITION BY apk ORDER BY turn, category) AS place FROM (SELECT *, row_number() OVER (PARTITION BY apk, category ORDER BY method, idx, rule_id) AS turn FROM sinks)) WHERE place <= 5),
+pub AS (SELECT * FROM cand WHERE total <= 12)"""))
+def _(spark, sf):
+    """All measures of a package's slices; a sink's slice stands for the instructions up to it."""
+    sinks = c._sinks(spark, sf)
+    late = lambda n, reason: F.when(F.col("idx") >= n, F.lit(reason))
+    records = sinks.select("apk", "method", "idx", "rule_id", (F.col("idx") + 1).alias("n"), (F.col("idx") >= 3).alias("truncated"), F.array_compact(F.array(late(3, "instruction_limit"), late(4, "recursion"))).alias("reasons"))
+    made = slice_stats.package_summary(bytecode.usable_methods(view(spark, sf, "v_method")), sinks, dataset.select_by_category(sinks, 5), records, 12)
+    told = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    rejected = F.when(F.col("rejected_sink").isNotNull(), F.concat_ws("/", "rejected_sink.method", "rejected_sink.idx", "rejected_sink.rule_id"))
+    return made.select(
+        "apk", *[x for x in made.columns if x.endswith("_count")], told("retained_sink_categories").alias("retained"), told("omitted_sink_categories").alias("omitted"), F.array_join("truncation_reasons", ",").alias("truncation_reasons"), "cap_reason", rejected.alias("rejected"),
+    )

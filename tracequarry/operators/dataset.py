@@ -34,7 +34,7 @@ def ranked(rows: DataFrame, group: str, *order: str, cut) -> DataFrame:
     before = F.sum("_n").over(W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     counts = counts.select(F.col(group).alias("_group"), F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
     own = dealt.withColumn("_own", F.row_number().over(W.partitionBy(group, "_part").orderBy(*order)))
-    moved = own.join(F.broadcast(counts), F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_p")))
+    moved = own.join(counts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_p")))
     return moved.withColumn("rank", F.col("_own") + F.col("_before")).drop("_part", "_own", "_before", "_group", "_p")
 
 
@@ -50,7 +50,7 @@ def stratified_split(apks: DataFrame, ratios=RATIOS, seed: int = 42, cut=None) -
     quota = n.select("label", *[(floors[i] + F.when(rank(i) < spare, 1).otherwise(0)).alias(f"q{i}") for i in range(len(ratios))])
     keyed = apks.select("apk_hash", "label", F.sha2(F.concat_ws(":", F.lit(str(seed)), "label", "apk_hash"), 256).alias("order"))
     placed = ranked(keyed, "label", "order", cut=cut) if cut else keyed.withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy("order")))
-    numbered = placed.select("apk_hash", "label", F.col("rank").alias("rn")).join(F.broadcast(quota), "label")
+    numbered = placed.select("apk_hash", "label", F.col("rank").alias("rn")).join(quota, "label")
     split, upto = F.when(F.lit(False), ""), F.lit(0)
     for i, (name, _) in enumerate(ratios):
         upto = upto + F.col(f"q{i}")

@@ -243,12 +243,13 @@ def top_attributions(attributions: DataFrame, key: str, k: int | None = None) ->
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
-def time_stratified_split(rows: DataFrame, key: str, label: str, ts: str, boundary: int, old, new, seed: int = 42) -> DataFrame:
-    """(key, split): the split of WIN-7 within each label and age, newer rows with ratios of their own."""
+def time_stratified_split(rows: DataFrame, key: str, label: str, ts: str, boundary: int, old, new, seed: int = 42, cut=None) -> DataFrame:
+    """(key, split): the split of WIN-7 within each label and age, newer rows with ratios of their own; cut as in stratified_split."""
     from tracequarry.operators.dataset import stratified_split
 
     aged = rows.select(F.col(key).alias("apk_hash"), F.concat_ws("/", F.col(label).cast("string"), F.when(F.year(ts) > boundary, "new").otherwise("old")).alias("label"))
-    parts = [stratified_split(aged.where(F.col("label").endswith(f"/{name}")), ratios, seed) for name, ratios in (("old", old), ("new", new))]
+    aged = cut(aged) if cut else aged
+    parts = [stratified_split(aged.where(F.col("label").endswith(f"/{name}")), ratios, seed, cut) for name, ratios in (("old", old), ("new", new))]
     return parts[0].unionByName(parts[1]).select(F.col("apk_hash").alias(key), F.col("label").alias("stratum"), "split")
 
 

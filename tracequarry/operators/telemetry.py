@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 def parse_log(lines: DataFrame, abi: str = "arm64", marker: str = "[Sandbox]") -> DataFrame:
     """Typed events: kind, file path, address and port, library path, bypass flags, of lines that the marker begins. Works on
@@ -113,6 +114,12 @@ def fuse_with_evidence(static: DataFrame, scored: DataFrame, attributions: DataF
     return made.join(seen, "apk", "left").join(told, "apk", "left").withColumn("attributions", F.coalesce("attributions", F.lit(0)))
 
 
+def flattened(fused: DataFrame, attributions: DataFrame) -> DataFrame:
+    """(apk, slice_id, place, token, weight): every attribution of every slice of the fused packages, the strongest of a slice first."""
+    place = F.row_number().over(W.partitionBy("slice_id").orderBy(F.desc(F.abs("weight")), "token"))
+    return attributions.join(fused.select("apk"), "apk", "left_semi").select("apk", "slice_id", place.alias("place"), "token", "weight")
+
+
 def threat_probability(telemetry: DataFrame) -> DataFrame:
     file = lambda f: F.when(_has(f, "app_process", "system", "su"), 20).when(_has(f, "Bot", "zlock", "contacts"), 10).when(_has(f, "shared_prefs", "config"), 2).otherwise(0)
     total = lambda col, f: F.aggregate(col, F.lit(0), lambda a, x: a + f(x))
