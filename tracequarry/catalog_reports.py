@@ -223,6 +223,11 @@ def _(spark, sf):
     return rules.duplicates(view(spark, sf, "v_apk"), "apk_hash", "source_path")
 
 
+@_query("dq2_conflicting_rows", oracle("SELECT *, count(*) OVER (PARTITION BY apk_hash) AS n_rows FROM v_apk QUALIFY n_rows > 1", "v_apk"))
+def _(spark, sf):
+    return rules.conflicting_rows(view(spark, sf, "v_apk"), "apk_hash")
+
+
 @_query("dq4_violations", oracle("SELECT 'probability in 0 to 1' AS rule, count(*) FILTER (WHERE NOT probability BETWEEN 0 AND 1) AS n FROM v_slice_score UNION ALL SELECT 'probability below 0.9', count(*) FILTER (WHERE NOT probability < 0.9) FROM v_slice_score", "v_slice_score"))
 def _(spark, sf):
     p = F.col("probability")

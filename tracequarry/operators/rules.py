@@ -30,6 +30,12 @@ def omitted(every: DataFrame, kept: DataFrame, on: list[str]) -> DataFrame:
     return every.join(kept.select(*on), on, "left_anti")
 
 
+def conflicting_rows(rows: DataFrame, key: str) -> DataFrame:
+    """Every row whose key another row has as well, whole, with the number of such rows; keys are counted before rows are joined."""
+    repeated = rows.groupBy(key).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+    return rows.join(repeated, key)
+
+
 def mapping_digest(rows: DataFrame, key: str, value: str) -> DataFrame:
     """One row that is the same in any order: pairs, and the sum of 48 bits of each pair's hash."""
     bits = F.conv(F.substring(F.sha2(F.concat_ws(":", key, value), 256), 1, 12), 16, 10).cast("decimal(20,0)")
