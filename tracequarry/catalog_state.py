@@ -8,12 +8,12 @@ import uuid
 
 from tracequarry import catalog as c
 from tracequarry.functions import canonical
-from tracequarry.operators import bytecode, dataset, matching, sketches, slice_stats
+from tracequarry.operators import bytecode, dataset, learn, matching, sketches, slice_stats
 from tracequarry.plans.views import oracle, view
 from tracequarry.sources import files, smali
 from tracequarry.sources.shared import cut, shared_dir
 from tracequarry.sources.stored import StoredTable
-from tracequarry.streaming import stateful
+from tracequarry.streaming import feeds, stateful
 
 _query = c._query
 
@@ -168,3 +168,48 @@ def _(spark, sf):
     return made.select(
         "apk", *[x for x in made.columns if x.endswith("_count")], told("retained_sink_categories").alias("retained"), told("omitted_sink_categories").alias("omitted"), F.array_join("truncation_reasons", ",").alias("truncation_reasons"), "cap_reason", rejected.alias("rejected"),
     )
+
+
+# ---- files written and read again, tokenizers, late results ----
+def _aside(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@_query("src11_records", "SELECT doc_id, text, lang FROM documents")
+def _(spark, sf):
+    """Whole documents written as gzip records and read again (SRC-5)."""
+    path = _aside(spark, "records")
+    files.write_records(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang"), path)
+    return files.read_records(spark, path, "doc_id long, text string, lang string")
+
+
+@_query("src10_csv", oracle("SELECT apk_hash, label, apk_size_bytes, source_path, (SELECT count(*) FROM v_apk) AS n_written FROM v_apk", "v_apk"))
+def _(spark, sf):
+    path = _aside(spark, "rows")
+    rows = view(spark, sf, "v_apk")
+    n = files.write_csv_checked(rows, path)
+    return spark.read.schema(rows.schema).csv(path, header=True, escape='"', multiLine=True).withColumn("n_written", F.lit(n).cast("long"))
+
+
+@_query("src13_compact", oracle("SELECT apk_hash, label, apk_size_bytes, 'lib' || label || '.so' AS filename, 'arm64' AS abi, source_path AS archive_path, apk_hash AS sha256 FROM v_apk", "v_apk"))
+def _(spark, sf):
+    library = F.struct(F.concat(F.lit("lib"), "label", F.lit(".so")).alias("filename"), F.lit("arm64").alias("abi"), F.col("source_path").alias("archive_path"), F.col("apk_hash").alias("sha256"), F.lit("/tmp/x").alias("extracted_path"))
+    made = files.compact_ir(view(spark, sf, "v_apk").withColumns({"library": library, "address": F.lit("0x1")}))
+    return made.select("apk_hash", "label", "apk_size_bytes", "library.*")
+
+
+@_query("udf2_tokenizer", "SELECT doc_id, CAST(len(string_split(coalesce(text, ''), ' ')) AS BIGINT) AS token_count, CAST(list_sum(list_transform(string_split(coalesce(text, ''), ' '), lambda w: len(w))) AS BIGINT) AS letters FROM documents")
+def _(spark, sf):
+    """A tokenizer of the user's own: words by their lengths."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    made = learn.tokenize(docs, lambda: lambda text: [len(w) for w in text.split(" ")])
+    return made.select("doc_id", "token_count", F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("letters"))
+
+
+@_query("str10_late_fusion", """SELECT s.user_id AS apk, s.event_id / 1000::DOUBLE AS probability, s.ts, CAST(d.event_id % 30 AS INT) AS dynamic_score FROM (SELECT * FROM events WHERE event_type = 'click') s
+  LEFT JOIN (SELECT * FROM events WHERE event_type = 'error') d ON d.user_id = s.user_id AND d.ts >= s.ts AND d.ts <= s.ts + INTERVAL 1 HOUR""")
+def _(spark, sf):
+    """Batch form: static results with the dynamic ones that come within the hour."""
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumnRenamed("user_id", "apk")
+    static = events.where("event_type = 'click'").select("apk", (F.col("event_id") / 1000.0).cast("double").alias("probability"), "ts")
+    return feeds.late_fusion(static, events.where("event_type = 'error'").select("apk", (F.col("event_id") % 30).cast("int").alias("dynamic_score"), "ts"))
