@@ -184,3 +184,25 @@ def test_personal_data_beside_long_blanks(mark):
         assert time.perf_counter() - began < 5  # a second, with others on the machine
     disguised = "write bob" + " " * 5000 + "(at)" + "\t" * 5000 + "x.example" + " " * 5000 + "dot" + " " * 5000 + "com"
     assert [disguised[s:e] for s, e, k in pii.detect(disguised)[1] if k == 0] == [disguised[6:]]
+
+
+def test_damaged_media_load_or_raise():
+    import time
+
+    from tracequarry.llm import media
+
+    rng = random.Random(1)
+    for file in media.store([bytes(rng.randrange(256) for _ in range(192 * k)) for k in (1, 3)]):
+        for k in range(1500):
+            i = k if k < 1000 else rng.randrange(len(file))
+            changed = bytearray(file)
+            changed[i] = (changed[i] + rng.randrange(1, 256)) & 255
+            began = time.perf_counter()
+            try:
+                [*media.load([bytes(changed)])]
+            except ValueError:
+                pass
+            assert time.perf_counter() - began < 1
+    nested = b"LIST\xff\xff\xff\x00hdrl" * 3000
+    with pytest.raises(ValueError):
+        media.parse(b"RIFF" + len(nested).to_bytes(4, "little") + b"AVI " + nested)

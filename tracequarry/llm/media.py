@@ -85,7 +85,17 @@ def jpegs(samples: np.ndarray) -> list[bytes]:
 
 
 def _headers(frame: bytes) -> tuple[int, dict]:
-    """Where the coded data begin, and what the header says."""
+    """Where the coded data begin, and what the header says; ValueError for what isn't such a frame."""
+    try:
+        at, head = _header_parts(frame)
+        if "codes" not in head:
+            raise ValueError("a frame lacks its codes")
+        return at, head
+    except (IndexError, struct.error) as short:
+        raise ValueError(f"a frame's header is cut off: {short}") from short
+
+
+def _header_parts(frame: bytes) -> tuple[int, dict]:
     at, head = 2, {}
     if frame[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG frame")
@@ -143,7 +153,10 @@ def pictures(frames: list[bytes]) -> list[np.ndarray]:
             table_size[code << (16 - n) : (code + 1) << (16 - n)] = size
         at = np.concatenate([[0], line_end[:-1]]) * 8
         lines, before = np.empty((width, len(at)), np.uint8), np.full(len(at), 128, np.int64)
+        last = len(words) - 1
         for column in range(width):
+            if at.max(initial=0) >> 3 > last:
+                raise ValueError("a line goes beyond its data")
             look = ((words[at >> 3].astype(np.int64) << (at & 7)) >> 8) & 0xFFFFFF  # 24 bits from here
             n, size = table_length[look >> 8], table_size[look >> 8]
             extra = (look >> (24 - n - size)) & ((1 << size) - 1)
@@ -191,20 +204,26 @@ def parse(media: bytes) -> tuple[list[bytes], int, float]:
 def _parsed(media: bytes) -> tuple[list[bytes], int, float]:
     found: dict[bytes, tuple[int, int]] = {}
 
-    def walk(at: int, end: int) -> None:
+    left = [(12, len(media))]  # places and ends of lists, the first on top
+    while left:
+        at, end = left.pop()
         while at + 8 <= end:
             name, n = media[at : at + 4], int.from_bytes(media[at + 4 : at + 8], "little")
+            if at + 8 + n > end:
+                raise ValueError("a chunk goes beyond its list")
             if name == b"LIST":
                 found.setdefault(b"LIST" + media[at + 8 : at + 12], (at + 8, n))
                 if media[at + 8 : at + 12] != b"movi":
-                    walk(at + 12, at + 8 + n)
+                    left.append((at + 8 + n + (n & 1), end))
+                    at, end = at + 12, at + 8 + n
+                    continue
             else:
                 found.setdefault(name, (at + 8, n))  # of several streams the first
             at += 8 + n + (n & 1)
-
-    walk(12, len(media))
     movie, (at, n) = found[b"LISTmovi"][0], found[b"idx1"]
     frames = [media[movie + o + 8 : movie + o + 8 + size] for name, _, o, size in struct.iter_unpack("<4sIII", media[at : at + n]) if name == b"00dc"]
+    if any(movie + o + 8 + size > len(media) for name, _, o, size in struct.iter_unpack("<4sIII", media[at : at + n]) if name == b"00dc"):
+        raise ValueError("the index goes beyond the file")
     at, n = found[b"ISBJ"]
     scale, rate = struct.unpack("<II", media[found[b"strh"][0] + 20 : found[b"strh"][0] + 28])
     return frames, int(media[at : at + n].rstrip(b"\0").partition(b"=")[2]), rate / scale
