@@ -224,7 +224,10 @@ _WEIGHED = "attr AS (SELECT doc_id AS slice_id, w AS token, ((length(w) * 7 + p)
 
 
 def _attributions(spark, sf):
-    words = _read(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("slice_id"), F.posexplode(F.split("text", " ")).alias("p", "token")).where("token <> ''")
+    """Texts are dealt out by slice before they are cut into words, so that the words of a slice meet without a shuffle of theirs."""
+    docs = _read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // 2_500))
+    words = docs.repartition(parts, "doc_id").select(F.col("doc_id").alias("slice_id"), F.posexplode(F.split("text", " ")).alias("p", "token")).where("token <> ''")
     return words.select("slice_id", "token", (((F.length("token") * 7 + F.col("p")) % 200 - 100) / F.lit(100.0)).alias("weight"))
 
 
@@ -236,7 +239,7 @@ def _(spark, sf):
 
 @_query("srt2_top_attributions", f"WITH {_WEIGHED}, best AS (SELECT slice_id, token, arg_max(weight, (abs(weight), weight)) AS weight FROM attr GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slice_id ORDER BY abs(weight) DESC, token) AS rank FROM best) WHERE rank <= 3")
 def _(spark, sf):
-    best = _attributions(spark, sf).groupBy("slice_id", "token").agg(F.max_by("weight", F.struct(F.abs("weight").alias("a"), F.col("weight").alias("w"))).alias("weight"))
+    best = outcomes.strongest(_attributions(spark, sf), "slice_id", "token")
     return outcomes.top_attributions(best, "slice_id", 3)
 
 

@@ -230,9 +230,17 @@ def case_report(jobs: DataFrame, packages: DataFrame, reports: DataFrame) -> Dat
     return jobs.join(packages, "job").join(reports, "apk_hash", "left").select("job", "apk_hash", "status", "compliance_status")
 
 
+def strongest(attributions: DataFrame, *keys: str) -> DataFrame:
+    """(keys, weight): the greatest weight by size, of two of one size the positive one.
+
+    It is the greatest or the least one, which hashing finds without a sort."""
+    ends = attributions.groupBy(*keys).agg(F.max("weight").alias("high"), F.min("weight").alias("low"))
+    return ends.select(*keys, F.when(F.abs("high") >= F.abs("low"), F.col("high")).otherwise(F.col("low")).alias("weight"))
+
+
 def slice_attributions(slices: DataFrame, attributions: DataFrame) -> DataFrame:
     """(slice_id, apk, token, weight): each slice's tokens once, with the greatest weight by size."""
-    best = attributions.groupBy("slice_id", "token").agg(F.max_by("weight", F.struct(F.abs("weight").alias("a"), F.col("weight").alias("w"))).alias("weight"))
+    best = strongest(attributions, "slice_id", "token")
     return slices.select("slice_id", "apk").join(best, "slice_id")
 
 
