@@ -53,13 +53,14 @@ def with_neighbours(instr: DataFrame) -> DataFrame:
 
 def cfg_edges(instr: DataFrame) -> DataFrame:
     """Fallthrough, branch and goto edges between instructions; none after a return. Targets outside the method are dropped."""
-    w = W.partitionBy("apk", "method")
-    code = instr.select(*_PLACE, "opcode", "target", F.max("idx").over(w).alias("last"))
-    falls = code.where(~F.col("opcode").startswith("return") & (F.col("opcode") != "goto") & (F.col("idx") < F.col("last")))
-    jumps = code.where((F.col("opcode").startswith("if-") | (F.col("opcode") == "goto")) & (F.col("target") <= F.col("last")))
-    kind = F.when(F.col("opcode") == "goto", "goto").otherwise("branch")
-    edge = lambda df, dst, k: df.select("apk", "method", F.col("idx").alias("src"), dst.cast("int").alias("dst"), k.alias("kind"))
-    return edge(falls, F.col("idx") + 1, F.lit("fallthrough")).union(edge(jumps, F.col("target"), kind)).distinct()
+    op, last = F.col("opcode"), F.max("idx").over(W.partitionBy("apk", "method"))
+    code = instr.select(*_PLACE, "opcode", "target", last.alias("last"))
+    edge = lambda when, dst, kind: F.when(when, F.struct(dst.cast("int").alias("dst"), kind.alias("kind")))
+    falls = edge(~op.startswith("return") & (op != "goto") & (F.col("idx") < F.col("last")), F.col("idx") + 1, F.lit("fallthrough"))
+    jumps = edge((op.startswith("if-") | (op == "goto")) & (F.col("target") <= F.col("last")), F.col("target"), F.when(op == "goto", "goto").otherwise("branch"))
+    # one pass over the code; rows are one method's already, so that equal edges meet without another shuffle
+    made = code.select("apk", "method", F.col("idx").alias("src"), F.explode(F.array_compact(F.array(falls, jumps))).alias("e"))
+    return made.select("apk", "method", "src", "e.dst", "e.kind").distinct()
 
 
 def defines(instr: DataFrame) -> DataFrame:

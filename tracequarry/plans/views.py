@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracequarry.plans.rules import SINKS
 
+#: Lines in a part at most, about; some 100 MB of a task's memory in all that is done to them.
+PART_ROWS = 250_000
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")
 
 
@@ -79,10 +81,19 @@ def spell(sql: str, dialect: str) -> str:
     return re.sub(r"\bK\((\w+)\)", r"CAST(json_extract_string(\1, '$.k') AS BIGINT)", re.sub(r"\bSHA\(([^()]+)\)", r"sha256(\1)", sql))
 
 
+def _dealt(spark: SparkSession, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables, where lines stand with their orders dealt out by order: as many parts as keep a part's rows bounded, however few
+    shuffle partitions there are. The files' footers give the number of rows."""
+    if not {"lineitem", "orders"} <= set(tables):
+        return tables
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tables["lineitem"].count() // PART_ROWS))
+    return tables | {"lineitem": tables["lineitem"].repartition(parts, "l_orderkey")}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = spell(VIEWS[name], "spark")
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in text}
-    return spark.sql(text, **tables)
+    return spark.sql(text, **_dealt(spark, tables))
 
 
 def oracle(body: str, *names: str, also: str = "") -> str:
