@@ -114,8 +114,15 @@ flow AS (SELECT w.apk, w.method, w.src, l.idx AS dst, w.kind FROM want w JOIN la
 _VIEWS = ("v_code", "v_label", "v_payload", "v_handler")
 
 
+def _placed(spark, sf):
+    """(places of the code, its control flow); the places are written once."""
+    instr, *others = (view(spark, sf, v) for v in _VIEWS)
+    places = cut(flow.places(instr))
+    return places, flow.placed_flow(places, *others)
+
+
 def _graph(spark, sf):
-    return flow.control_flow(*(view(spark, sf, v) for v in _VIEWS))
+    return _placed(spark, sf)[1]
 
 
 @_query("cfg1_control_flow", oracle("SELECT * FROM flow", *_VIEWS, also=_FLOW))

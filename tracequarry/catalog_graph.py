@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracequarry import catalog as c
-from tracequarry.catalog_code import _FLOW, _VIEWS, _graph
+from tracequarry.catalog_code import _FLOW, _VIEWS, _placed
 from tracequarry.operators import flow, reach
 from tracequarry.plans.views import oracle, view
-from tracequarry.sources.shared import cut
 
 _query = c._query
 #: Every pair that control flow connects; the engine itself never lists them.
@@ -23,25 +22,24 @@ def _recursive(body: str, *names: str, also: str) -> str:
 @_query("cfg3_components", _recursive("""SELECT c.apk, c.method, c.idx, coalesce(least(c.idx, min(f.dst)), c.idx) AS component, coalesce(bool_or(f.dst = c.idx), false) AS cyclic
   FROM v_code c LEFT JOIN (SELECT f.* FROM far f JOIN far b ON b.apk = f.apk AND b.method = f.method AND b.src = f.dst AND b.dst = f.src) f ON f.apk = c.apk AND f.method = c.method AND f.src = c.idx GROUP BY 1, 2, 3""", *_VIEWS, also=_FAR))
 def _(spark, sf):
-    return reach.components(view(spark, sf, "v_code"), _graph(spark, sf)).select("apk", "method", "idx", "component", "cyclic")
+    return reach.components(*_placed(spark, sf)).select("apk", "method", "idx", "component", "cyclic")
 
 
 @_query("cfg3_asked", _recursive("""SELECT a.apk, a.method, a.start, a.node, f.src IS NOT NULL AS reached FROM (SELECT apk, method, idx AS start, 2 * (n - 1) - following AS node FROM pl WHERE following IS NOT NULL) a
   LEFT JOIN far f ON f.apk = a.apk AND f.method = a.method AND f.src = a.start AND f.dst = a.node""", *_VIEWS, also=_FAR))
 def _(spark, sf):
     """Does control get from each instruction to the one as far before the end as the next one is behind the start."""
-    instr, edges = view(spark, sf, "v_code"), cut(_graph(spark, sf))
-    places = flow._places(instr).where("following IS NOT NULL")
-    asked = places.select("apk", "method", F.col("idx").alias("start"), (2 * (F.col("n") - 1) - F.col("following")).cast("int").alias("node"))
-    return reach.reached(cut(reach.components(instr, edges)), edges, asked)
+    places, edges = _placed(spark, sf)
+    asked = places.where("following IS NOT NULL").select("apk", "method", F.col("idx").alias("start"), (2 * (F.col("n") - 1) - F.col("following")).cast("int").alias("node"))
+    return reach.answers(edges, asked)
 
 
 @_query("slc4_deciders", _recursive("""SELECT DISTINCT c.apk, c.method, c.idx FROM v_code c JOIN far f ON f.apk = c.apk AND f.method = c.method AND f.src = c.idx JOIN v_code s ON s.apk = f.apk AND s.method = f.method AND s.idx = f.dst
   WHERE (c.opcode LIKE 'if-%' OR c.opcode LIKE '%switch%') AND s.opcode LIKE 'invoke-%'""", *_VIEWS, also=_FAR))
 def _(spark, sf):
-    instr = view(spark, sf, "v_code")
+    instr, edges = _placed(spark, sf)
     branches = instr.where(F.col("opcode").startswith("if-") | F.col("opcode").contains("switch")).select("apk", "method", "idx")
-    return reach.reaching(_graph(spark, sf), instr.where(F.col("opcode").startswith("invoke-"))).join(branches, ["apk", "method", "idx"], "left_semi")
+    return reach.reaching(edges, instr.where(F.col("opcode").startswith("invoke-"))).join(branches, ["apk", "method", "idx"], "left_semi")
 
 
 @_query("cfg1_no_graph", oracle("""SELECT d.apk, d.method, CAST(NULL AS INT) AS idx, 'CFG_NO_USABLE_GRAPH' AS issue, d.full_signature AS detail FROM v_decl d

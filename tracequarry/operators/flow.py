@@ -48,7 +48,7 @@ def usable(decl: DataFrame, instr: DataFrame) -> DataFrame:
 # ---- control flow ----
 
 
-def _places(instr: DataFrame) -> DataFrame:
+def places(instr: DataFrame) -> DataFrame:
     """Each instruction with its last label, the one that follows it, and how many its method has."""
     w = W.partitionBy(*_METHOD)
     label = F.regexp_extract("operands", f"^.*({LABEL})", 1)
@@ -79,7 +79,12 @@ def control_flow(instr: DataFrame, labels: DataFrame, payloads: DataFrame, handl
     """(apk, method, src, dst, kind): fallthrough, branch, goto, switch and exception edges; nothing follows a return or throw.
 
     A switch falls through too; an exception edge leaves every instruction of its range. All joins are within a method."""
-    places, at = _places(instr), _labels(labels, instr)
+    return placed_flow(places(instr), labels, payloads, handlers)
+
+
+def placed_flow(places: DataFrame, labels: DataFrame, payloads: DataFrame, handlers: DataFrame) -> DataFrame:
+    """control_flow() of places(), which are read several times: write them in between, or each time makes them anew."""
+    at = _labels(labels, places)
     jumps = _wanted(places, payloads).join(at, [*_METHOD, "label"]).select(*_METHOD, "src", "dst", "kind")
     falls = places.where(F.col("following").isNotNull() & ~_starts(F.col("opcode"), "goto", "return", "throw"))
     falls = falls.select(*_METHOD, F.col("idx").alias("src"), F.col("following").alias("dst"), F.lit("fallthrough").alias("kind"))
@@ -91,11 +96,11 @@ def control_flow(instr: DataFrame, labels: DataFrame, payloads: DataFrame, handl
 
 def flow_issues(instr: DataFrame, labels: DataFrame, payloads: DataFrame, handlers: DataFrame) -> DataFrame:
     """(apk, method, idx, issue, detail): jumps, payloads and handlers that lead nowhere."""
-    places, at = _places(instr), _labels(labels, instr)
+    placed, at = places(instr), _labels(labels, instr)
     row = lambda df, idx, issue, detail: df.select(*_METHOD, idx.cast("int").alias("idx"), issue.alias("issue"), detail.alias("detail"))
-    lost = _wanted(places, payloads).join(at, [*_METHOD, "label"], "left_anti")
+    lost = _wanted(placed, payloads).join(at, [*_METHOD, "label"], "left_anti")
     jumps = row(lost, F.col("src"), F.when(F.col("label") == "", "CFG_MISSING_TARGET").otherwise("CFG_UNRESOLVED_TARGET"), F.col("label"))
-    tables = row(places.where(F.col("opcode").contains("switch")).join(payloads.select(*_METHOD, "label").distinct(), [*_METHOD, "label"], "left_anti"), F.col("idx"), F.lit("CFG_UNRESOLVED_PAYLOAD"), F.col("label"))
+    tables = row(placed.where(F.col("opcode").contains("switch")).join(payloads.select(*_METHOD, "label").distinct(), [*_METHOD, "label"], "left_anti"), F.col("idx"), F.lit("CFG_UNRESOLVED_PAYLOAD"), F.col("label"))
     ranges = row(handlers.join(_spans(handlers, at), [*_METHOD, "try_start", "try_end", "handler"], "left_anti"), F.lit(None), F.lit("CFG_UNRESOLVED_EXCEPTION"), F.col("handler"))
     return jumps.unionByName(tables).unionByName(ranges)
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,13 +113,27 @@ class Condensed:
 
     def reaches(self, asked: list[tuple[int, int]]) -> list[bool]:
         """Whether control gets from the first to the second of each pair by an edge at least."""
-        known = {int(x): int(c) for x, c in zip(self.nodes, self.of, strict=True)}
+        pairs = np.array(asked, np.int64).reshape(-1, 2)
+        return self.reached(pairs[:, 0], pairs[:, 1]).tolist()
+
+    def reached(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """reaches() over arrays: intervals decide most pairs at once, the rest is walked."""
+        got = np.zeros(len(start), bool)
+        if not len(self.nodes):
+            return got
+        places = [np.minimum(np.searchsorted(self.nodes, x), len(self.nodes) - 1) for x in (start, end)]
+        asked = np.flatnonzero((self.nodes[places[0]] == start) & (self.nodes[places[1]] == end))
+        a, b = (self.of[p[asked]] for p in places)
+        first, last, least = (np.asarray(x, np.int64) for x in (self.first, self.last, self.least))
+        inside = np.where(a == b, self.cyclic[a], (first[a] <= last[b]) & (last[b] < last[a]))
+        got[asked] = inside
+        left = np.flatnonzero(~inside & (a != b) & (least[a] <= least[b]) & (last[b] < last[a]))
         wanted: dict[int, set[int]] = defaultdict(set)
-        for a, b in asked:
-            if a in known and b in known:
-                wanted[known[a]].add(known[b])
-        found = {start: self._found(start, ends) for start, ends in wanted.items()}
-        return [a in known and b in known and known[b] in found[known[a]] for a, b in asked]
+        for u, v in zip(a[left].tolist(), b[left].tolist(), strict=True):
+            wanted[u].add(v)
+        found = {u: self._found(u, ends) for u, ends in wanted.items()}
+        got[asked[left]] = [v in found[u] for u, v in zip(a[left].tolist(), b[left].tolist(), strict=True)]
+        return got
 
     def _found(self, start: int, ends: set[int]) -> set[int]:
         got = {e for e in ends if (self.cyclic[e] if e == start else self.first[start] <= self.last[e] < self.last[start])}
@@ -137,8 +152,8 @@ class Condensed:
 
 def _lists(n: int, src: np.ndarray, dst: np.ndarray) -> list[list[int]]:
     order = np.argsort(src, kind="stable")
-    cuts = np.searchsorted(src[order], np.arange(1, n))
-    return [part.tolist() for part in np.split(dst[order], cuts)] if n else []
+    cuts, flat = np.searchsorted(src[order], np.arange(n + 1)).tolist(), dst[order].tolist()
+    return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def leading(back: dict[int, list[int]], targets) -> set[int]:
@@ -153,35 +168,58 @@ def leading(back: dict[int, list[int]], targets) -> set[int]:
     return found
 
 
-def _methods(rows: DataFrame, *cols: str) -> DataFrame:
-    """One row a method: a list of structs of cols."""
-    return rows.where("apk IS NOT NULL AND method IS NOT NULL").groupBy(*_METHOD).agg(F.collect_list(F.struct(*cols)).alias("rows"))
+def _whole(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables that end where a method ends, and which of their methods each row is of; rows come sorted by method."""
+    differs = lambda t: np.any([pc.not_equal(t.column(k)[1:], t.column(k)[:-1]).to_numpy(zero_copy_only=False) for k in _METHOD], axis=0)
+    held: list[pa.RecordBatch] = []
+    for part in parts:
+        if not part.num_rows:
+            continue
+        joint = pa.concat_batches([held[-1].slice(held[-1].num_rows - 1), part]) if held else part
+        if not differs(joint).any():
+            held.append(part)
+            continue
+        rows = pa.concat_batches([*held, part])
+        changes = np.concatenate([[False], differs(rows)])
+        last = int(np.flatnonzero(changes)[-1])
+        yield pa.table(rows.slice(0, last)), np.cumsum(changes[:last])
+        held = [rows.slice(last)]
+    if held:
+        rows = pa.table(pa.concat_batches(held))
+        yield rows, np.zeros(rows.num_rows, np.int64)
+
+
+def _mapped(rows: DataFrame, cols: list[str], names: str, made) -> DataFrame:
+    """apk, method and the columns of names, by made(method numbers, columns of numbers, nulls as -1) of many whole methods at once,
+    which gives the method's number of each row and the columns. Rows are dealt out and sorted by method; a method comes whole to a task."""
+    wanted = T.StructType([rows.schema["apk"], rows.schema["method"], *T.StructType.fromDDL(names).fields])
+    kinds = [{"int": pa.int32(), "boolean": pa.bool_()}[f.dataType.simpleString()] for f in wanted.fields[2:]]
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in _whole(parts):
+            numbers = {c: table.column(c).combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for c in cols}
+            of, columns = made(at, numbers)
+            if len(of):
+                first = pa.array(np.flatnonzero(np.diff(at, prepend=-1))[of])
+                keys = [table.column(k).combine_chunks().take(first) for k in _METHOD]
+                yield pa.RecordBatch.from_arrays([*keys, *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], wanted.names)
 
+    known = rows.where("apk IS NOT NULL AND method IS NOT NULL").select(*_METHOD, *cols)
+    return known.repartition(*_METHOD).sortWithinPartitions(*_METHOD).mapInArrow(batches, wanted)
 
-def _each(part: pa.RecordBatch) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    """Row number and columns, nulls as -1, of each method's list."""
-    lists = part.column("rows")
-    inner, at = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-    flat = {f.name: inner.field(f.name).fill_null(-1).to_numpy(zero_copy_only=False) for f in inner.type}
-    for i, (a, b) in enumerate(zip(at, at[1:], strict=False)):
-        yield i, {name: values[a:b] for name, values in flat.items()}
 
+class _Places:
+    """Places of many methods as one number each; a method's numbers stand together, in order of place."""
 
-def _mapped(methods: DataFrame, names: str, made) -> DataFrame:
-    """apk, method and the columns that made(columns of a method's rows) gives, as arrays of one length."""
-    wanted = T.StructType([methods.schema["apk"], methods.schema["method"], *T.StructType.fromDDL(names).fields])
+    def __init__(self, *places: np.ndarray):
+        self.low = min((int(p.min()) for p in places if len(p)), default=0)
+        self.span = max((int(p.max()) for p in places if len(p)), default=0) - self.low + 1
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for i, columns in _each(part):
-                out = made(columns)
-                n = len(out[0])
-                if n:
-                    keys = [pa.array([part.column(k)[i].as_py()] * n, part.schema.field(k).type) for k in _METHOD]
-                    kinds = {"int": pa.int32(), "boolean": pa.bool_()}
-                    yield pa.RecordBatch.from_arrays([*keys, *[pa.array(c, kinds[f.dataType.simpleString()]) for c, f in zip(out, wanted.fields[2:], strict=True)]], wanted.names)
+    def join(self, method: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return method * self.span + (place - self.low)
 
-    return methods.mapInArrow(batches, wanted)
+    def split(self, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return joined // self.span, joined % self.span + self.low
 
 
 def components(instr: DataFrame, edges: DataFrame) -> DataFrame:
@@ -189,17 +227,31 @@ def components(instr: DataFrame, edges: DataFrame) -> DataFrame:
 
     component is its least instruction; place orders components so that edges lead to later ones; last is the component's number
     in post-order, first..last those of its subtree, and what it can reach lies in least..last. cyclic: control can come back.
-    Methods come whole to a task, as two numbers an edge; methods without instructions have no rows."""
+    The methods of a batch are condensed together, as no edge leads from one to another; methods without instructions have no rows."""
     rows = instr.select(*_METHOD, F.col("idx").alias("src"), F.lit(None).cast("int").alias("dst")).unionByName(edges.select(*_METHOD, "src", "dst"))
 
-    def made(columns: dict[str, np.ndarray]) -> list[np.ndarray]:
-        src, dst = columns["src"].astype(np.int64), columns["dst"].astype(np.int64)
-        c = Condensed(src, src[dst >= 0], dst[dst >= 0])
+    def made(at: np.ndarray, columns: dict[str, np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        src, dst = columns["src"], columns["dst"]
+        places, led = _Places(src, dst), dst >= 0
+        a = places.join(at, src)
+        c = Condensed(a, a[led], places.join(at[led], dst[led]))
+        of, idx = places.split(c.nodes)
         name = np.full(len(c.out), np.iinfo(np.int64).max)
-        np.minimum.at(name, c.of, c.nodes)
-        return [c.nodes, name[c.of], c.of, *(np.array(x, np.int64)[c.of] for x in (c.first, c.last, c.least)), c.cyclic[c.of]]
+        np.minimum.at(name, c.of, idx)
+        method = np.zeros(len(c.out), np.int64)
+        method[c.of] = of
+
+        def own(numbers) -> np.ndarray:
+            """Numbers of components, counted from their method's first."""
+            numbers, least = np.asarray(numbers, np.int64), np.full(int(at[-1]) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, method, numbers)
+            return numbers - least[method]
+
+        place, last = own(np.arange(len(c.out))), np.asarray(c.last, np.int64)
+        shift = last - own(last)
+        return of, [idx, name[c.of], place[c.of], *((np.asarray(x, np.int64) - shift)[c.of] for x in (c.first, last, c.least)), c.cyclic[c.of]]
 
-    return _mapped(_methods(rows, "src", "dst"), "idx int, component int, place int, first int, last int, least int, cyclic boolean", made)
+    return _mapped(rows, ["src", "dst"], "idx int, component int, place int, first int, last int, least int, cyclic boolean", made)
 
 
 def decided(start: str, node: str) -> Column:
@@ -225,25 +277,41 @@ def reached(index: DataFrame, edges: DataFrame, asked: DataFrame) -> DataFrame:
     rows = open_.select(*_METHOD, F.col("start").alias("src"), F.col("node").alias("dst"), F.lit(1).alias("ask"))
     graph = edges.join(open_.select(*_METHOD).distinct(), _METHOD, "left_semi").select(*_METHOD, "src", "dst", F.lit(0).alias("ask"))
 
-    def made(columns: dict[str, np.ndarray]) -> list:
-        src, dst, ask = columns["src"].astype(np.int64), columns["dst"].astype(np.int64), columns["ask"] == 1
-        pairs = [*zip(src[ask].tolist(), dst[ask].tolist(), strict=True)]
-        return [[a for a, _ in pairs], [b for _, b in pairs], Condensed(src[:0], src[~ask], dst[~ask]).reaches(pairs)]
-
-    walked = _mapped(_methods(rows.unionByName(graph), "src", "dst", "ask"), "start int, node int, reached boolean", made)
+    walked = _answered(rows.unionByName(graph))
     return seen.where("reached IS NOT NULL").unionByName(walked)
 
 
+def _answered(rows: DataFrame) -> DataFrame:
+    """(apk, method, start, node, reached) of the rows (src, dst, ask) with ask = 1, over the edges that the others are."""
+
+    def made(at: np.ndarray, columns: dict[str, np.ndarray]) -> tuple[np.ndarray, list]:
+        src, dst, ask = columns["src"], columns["dst"], columns["ask"] == 1
+        places = _Places(src, dst)
+        a, b = places.join(at, src), places.join(at, dst)
+        return at[ask], [src[ask], dst[ask], Condensed(a[:0], a[~ask], b[~ask]).reached(a[ask], b[ask])]
+
+    return _mapped(rows, ["src", "dst", "ask"], "start int, node int, reached boolean", made)
+
+
+def answers(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """What reached() gives, without an index: methods are condensed where their pairs are answered, in one pass. Pairs with a null lead nowhere."""
+    asked = asked.select(*_METHOD, "start", "node").distinct()
+    rows = asked.select(*_METHOD, F.col("start").alias("src"), F.col("node").alias("dst"), F.lit(1).alias("ask"))
+    return _answered(rows.unionByName(edges.select(*_METHOD, "src", "dst", F.lit(0).alias("ask"))))
+
+
 def reaching(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """(apk, method, idx) of the instructions from which control gets to one of targets (apk, method, idx) in their method: one
     backward walk a method from all of its targets at once."""
     rows = edges.select(*_METHOD, "src", "dst").unionByName(targets.select(*_METHOD, F.col("idx").alias("src"), F.lit(None).cast("int").alias("dst")))
 
-    def made(columns: dict[str, np.ndarray]) -> list:
-        back: dict[int, list[int]] = defaultdict(list)
-        for a, b in zip(columns["src"].tolist(), columns["dst"].tolist(), strict=True):
-            if b >= 0:
-                back[b].append(a)
-        return [sorted(leading(back, columns["src"][columns["dst"] < 0].tolist()))]
+    def made(at: np.ndarray, columns: dict[str, np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        src, dst = columns["src"], columns["dst"]
+        places, led = _Places(src, dst), dst >= 0
+        a, back = places.join(at, src), defaultdict(list)
+        for p, q in zip(a[led].tolist(), places.join(at[led], dst[led]).tolist(), strict=True):
+            back[q].append(p)
+        of, idx = places.split(np.array(sorted(leading(back, a[~led].tolist())), np.int64))
+        return of, [idx]
 
-    return _mapped(_methods(rows, "src", "dst"), "idx int", made)
+    return _mapped(rows, ["src", "dst"], "idx int", made)
