@@ -383,7 +383,7 @@ def _(spark, sf):
 def _(spark, sf):
     docs = _read(spark, sf, "documents").select("doc_id", "text")
     items = _read(spark, sf, "benchmark").select("item_id", "text")
-    return learn.similar(docs, items, "doc_id", "item_id", 0.5)
+    return learn.similar(docs, items, "doc_id", "item_id", 0.5, cut=cut)
 
 
 

@@ -7,13 +7,15 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, MinHashLSH, RegexTokenizer
+from pyspark.ml.feature import CountVectorizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that the classifier knows at most, and features of a text's shingles.
-VOCABULARY, FEATURES = 1 << 16, 1 << 18
+from tracequarry.operators import matching
+
+#: Words that the classifier knows at most.
+VOCABULARY = 1 << 16
 LABELS = {"Benign": 0.0, "Malicious": 1.0}
 
 
@@ -64,15 +66,19 @@ def tokenize(rows: DataFrame, make: Callable[[], Callable[[str], list[int]]], te
     return rows.withColumn("input_ids", ids(text)).withColumn("token_count", F.size("input_ids").cast("long"))
 
 
-def similar(rows: DataFrame, known: DataFrame, key: str, known_key: str, threshold: float, words: int = 3) -> DataFrame:
-    """(key, known_key, similarity): rows whose word shingles have a Jaccard similarity of the threshold or more with a known
-    text, among those that a min-hash of theirs brings together."""
-    from pyspark.ml.feature import HashingTF
+def similar(rows: DataFrame, known: DataFrame, key: str, known_key: str, threshold: float, words: int = 3, cut=lambda df: df) -> DataFrame:
+    """(key, known_key, similarity): rows whose word shingles have a Jaccard similarity of the threshold or more with a known text.
 
+    All of them: distinct texts are joined by matching.near_sets(), then every row of a text has its links. Texts of fewer words
+    have none. cut may write the sets in between."""
     cleaned = F.filter(F.split(F.lower("text"), r"\W+"), lambda w: w != "")
-    grams = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - words + 1)), lambda i: F.array_join(F.slice(w, i, F.lit(words)), " "))
-    listed = lambda df, k: HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True).transform(df.select(k, cleaned.alias("w")).where(F.size("w") >= words).select(k, grams(F.col("w")).alias("grams")))
-    a, b = listed(rows, key), listed(known, known_key)
-    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=8, seed=7).fit(a)
-    pairs = model.approxSimilarityJoin(a.select(key, "features"), b.select(known_key, "features"), 1 - threshold, distCol="distance")
-    return pairs.select(F.col(f"datasetA.{key}").alias(key), F.col(f"datasetB.{known_key}").alias(known_key), F.round(1 - F.col("distance"), 6).alias("similarity"))
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - words + 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(words)), " ")))
+    named = lambda df, k, digest, name: df.where("text IS NOT NULL").select(F.sha2("text", 256).alias(digest), F.col(k).alias(name), "text")
+
+    def sets(df: DataFrame, k: str) -> DataFrame:
+        one = named(df, k, "digest", "key").groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("n"), F.any_value("text").alias("text"))
+        return cut(one.select("digest", "key", "n", cleaned.alias("w")).where(F.size("w") >= words).select("digest", "key", "n", F.array_distinct(grams(F.col("w"))).alias("set")))
+
+    pairs = matching.near_sets(sets(rows, key), sets(known, known_key), threshold).select("digest", "k_digest", "similarity")
+    linked = named(rows, key, "digest", key).drop("text").join(pairs, "digest")
+    return linked.join(named(known, known_key, "k_digest", known_key).drop("text"), "k_digest").select(key, known_key, "similarity")

@@ -15,7 +15,14 @@ WIDTH, SIMILAR = 5, 0.8
 
 def shingles(text: Column, width: int = WIDTH) -> Column:
     """Hashes of the distinct runs of so many words; of a shorter text, of all its words; empty without words."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return _runs(_words(text), width)
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def _runs(words: Column, width: int) -> Column:
     shifted = [F.when(F.size(words) > i, F.slice(words, F.lit(i + 1), F.greatest(F.size(words), F.lit(1)))).otherwise(F.array().cast("array<string>")).alias(f"w{i}") for i in range(width)]
     runs = F.transform(F.filter(F.arrays_zip(*shifted), lambda z: z[f"w{width - 1}"].isNotNull()), lambda z: F.xxhash64(*[z[f"w{i}"] for i in range(width)]))
     whole = F.when(F.size(words) > 0, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>"))
@@ -25,27 +32,41 @@ def shingles(text: Column, width: int = WIDTH) -> Column:
 def text_sets(rows: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
     """(digest, key, n, set): one row for each distinct text with words: its least key, how many rows have it, its shingles."""
     one = rows.groupBy(F.sha2(text, 256).alias("digest")).agg(F.min(key).alias("key"), F.count("*").alias("n"), F.any_value(text).alias("text"))
-    return one.select("digest", "key", "n", shingles(F.col("text"), width).alias("set")).where(F.size("set") > 0)
+    cut = one.select("digest", "key", "n", _words(F.col("text")).alias("words")).where(F.size("words") > 0)  # words are read often, but cut once
+    return cut.select("digest", "key", "n", _runs(F.col("words"), width).alias("set"))
 
 
-def _ordered(sets: DataFrame, seen: DataFrame, similar: float) -> DataFrame:
-    """(digest, size, shingle) of each set's prefix of rarest shingles."""
-    each = sets.select("digest", F.explode("set").alias("shingle")).join(seen, "shingle", "left").withColumn("times", F.coalesce("times", F.lit(0)))
-    sorted_ = each.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("all")).withColumn("size", F.size("all"))
-    prefix = F.slice("all", F.lit(1), F.col("size") - F.ceil(F.round(F.col("size") * similar, 6)).cast("int") + 1)
-    return sorted_.select("digest", "size", F.explode(prefix).alias("p")).select("digest", "size", "p.shingle")
+#: What names a text in tables of shingles: its least key and 64 bits of its digest, a quarter of the digest's bytes.
+_ID = ["key", "mark"]
 
 
-def near_matches(new: DataFrame, known: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(key, known, n, n_known, similarity) of texts of new and of known, both from text_sets(), that are similar enough.
+def _prefixes(sets: DataFrame, seen: DataFrame, similar: float) -> DataFrame:
+    """(key, mark, size, shingle) of those shingles of each set's prefix that are seen, the rarest first; shingles that aren't seen come
+    before them all and find nothing, so that their number is enough."""
+    each = sets.select(*_ID, F.size("set").alias("size"), F.explode("set").alias("shingle")).join(seen, "shingle")
+    sorted_ = each.groupBy(*_ID, "size").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("known"))
+    length = F.col("size") - F.ceil(F.round(F.col("size") * similar, 6)).cast("int") + 1
+    prefix = F.slice("known", F.lit(1), F.greatest(F.lit(0), length - (F.col("size") - F.size("known"))))
+    return sorted_.select(*_ID, "size", F.explode(prefix).alias("p")).select(*_ID, "size", "p.shingle")
 
-    Frequencies are counted over the known ones, which are fewer: shingles that none of them has come first and find nothing."""
+
+def near_sets(new: DataFrame, known: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(digest, key, n, k_digest, known, n_known, similarity) of texts of new and of known, both from text_sets(), that are similar enough.
+
+    Frequencies are counted over the known ones, which are fewer. Only shingles that some known text has go further than the first join."""
+    marked = lambda rows: rows.withColumn("mark", F.xxhash64("digest"))
+    new, known = marked(new), marked(known)
     seen = known.select(F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("times"))
-    a, b = _ordered(new, seen, similar), _ordered(known, seen, similar).select(F.col("digest").alias("k_digest"), F.col("size").alias("k_size"), "shingle")
-    pairs = a.join(b, "shingle").where((F.col("k_size") >= F.col("size") * similar - 1e-6) & (F.col("size") >= F.col("k_size") * similar - 1e-6)).select("digest", "k_digest").distinct()
-    left = new.select("digest", "key", "n", "set")
-    right = known.select(F.col("digest").alias("k_digest"), F.col("key").alias("known"), F.col("n").alias("n_known"), F.col("set").alias("k_set"))
-    both = pairs.join(left, "digest").join(right, "k_digest")
+    b = _prefixes(known, seen, similar).select(F.col("key").alias("known"), F.col("mark").alias("k_mark"), F.col("size").alias("k_size"), "shingle")
+    close = (F.col("k_size") >= F.col("size") * similar - 1e-6) & (F.col("size") >= F.col("k_size") * similar - 1e-6)
+    pairs = _prefixes(new, seen, similar).join(b, "shingle").where(close).select(*_ID, "known", "k_mark").distinct()
+    right = known.select(F.col("digest").alias("k_digest"), F.col("mark").alias("k_mark"), F.col("key").alias("known"), F.col("n").alias("n_known"), F.col("set").alias("k_set"))
+    both = pairs.join(new.select("digest", *_ID, "n", "set"), _ID).join(right, ["known", "k_mark"])
     common = F.size(F.array_intersect("set", "k_set"))
     found = both.withColumn("similarity", common / (F.size("set") + F.size("k_set") - common)).where(F.col("similarity") >= similar - 1e-9)
-    return found.select("key", "known", "n", "n_known", F.round("similarity", 6).alias("similarity"))
+    return found.select("digest", "key", "n", "k_digest", "known", "n_known", F.round("similarity", 6).alias("similarity"))
+
+
+def near_matches(new: DataFrame, known: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(key, known, n, n_known, similarity) of near_sets()."""
+    return near_sets(new, known, similar).select("key", "known", "n", "n_known", "similarity")
