@@ -60,3 +60,26 @@ def test_the_greatest_by_size(spark):
     rows = [("a", 0.5), ("a", -0.5), ("b", -0.7), ("b", 0.6), ("c", None), ("d", -0.1), ("d", -0.2), ("e", None), ("e", -0.3)]
     got = outcomes.strongest(spark.createDataFrame(rows, "token string, weight double"), "token").collect()
     assert {r["token"]: r["weight"] for r in got} == {"a": 0.5, "b": -0.7, "c": None, "d": -0.2, "e": -0.3}
+
+
+def test_every_similar_text_is_found(spark):
+    from tracequarry.operators import learn
+
+    common = " ".join(f"c{i}" for i in range(40))
+    texts = [f"{common} own{k % 30} w{k % 7}" for k in range(90)] + ["a b", None, "Far, from all those"]
+    known = [f"{common} own{k} other" for k in range(12)] + ["far from all those words", "a b"]
+    df = lambda rows, k: spark.createDataFrame([*enumerate(rows)], f"{k} long, text string")
+    grams = lambda t: {tuple(w[i : i + 3]) for w in [(t or "").lower().replace(",", "").split()] if len(w) >= 3 for i in range(len(w) - 2)}
+    want = {(i, j): round(len(a & b) / len(a | b), 6) for i, a in enumerate(map(grams, texts)) for j, b in enumerate(map(grams, known)) if a and b and len(a & b) >= 0.4 * len(a | b)}
+    got = learn.similar(df(texts, "doc_id"), df(known, "item_id"), "doc_id", "item_id", 0.4).collect()
+    assert len(want) > 1000 and (92, 12) in want and {(r["doc_id"], r["item_id"]): r["similarity"] for r in got} == want and len(got) == len(want)
+
+
+def test_rows_of_many_classes_go_out_together(spark):
+    from tracequarry.sources import smali
+
+    texts = spark.range(500, numPartitions=1).selectExpr("id", "CASE WHEN id % 50 < 49 THEN concat('.class La/C', id, ';\\n.method m(IJ)V\\n    nop\\n.end method') END AS text")
+    parts = smali.read_classes(texts, "id", "text")
+    sizes = parts.mapInArrow(lambda batches: (b.slice(0, 1) for b in batches if b.num_rows), parts.schema)  # a row for each batch
+    assert sizes.count() < 10 and smali.parameters(parts).count() == 980
+    assert {(r["id"], r["issue"]) for r in smali.issues(parts).collect()} == {(i, smali.NO_CLASS) for i in range(49, 500, 50)}
