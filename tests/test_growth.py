@@ -83,3 +83,23 @@ def test_rows_of_many_classes_go_out_together(spark):
     sizes = parts.mapInArrow(lambda batches: (b.slice(0, 1) for b in batches if b.num_rows), parts.schema)  # a row for each batch
     assert sizes.count() < 10 and smali.parameters(parts).count() == 980
     assert {(r["id"], r["issue"]) for r in smali.issues(parts).collect()} == {(i, smali.NO_CLASS) for i in range(49, 500, 50)}
+
+
+def test_requests_of_a_method_come_together(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tracequarry.operators import flow, slices
+
+    n, keep = 300, lambda df: df
+    rows = [(1, m, i, op, regs, f"{op} {regs}") for m in range(n) for i, (op, regs) in enumerate([("const/4", "v0, 0x1"), ("move-object", "v1, v0"), ("invoke-static", "{v1}, La;->s(I)V")])]
+    instr = spark.createDataFrame(rows, "apk int, method int, idx int, opcode string, operands string, raw_text string")
+    decl = spark.createDataFrame([(1, m, f"Lp/C;->m{m}(I)I", "public") for m in range(n)], "apk int, method int, full_signature string, flags string")
+    edges = spark.createDataFrame([(1, m, i, i + 1) for m in range(n) for i in (0, 1)], "apk int, method int, src int, dst int")
+    methods = slices.bodies(instr, decl, edges, flow.use_def(instr), flow.boundaries(instr, decl), keep).coalesce(1)
+    ask = '{"mode":"start","idx":2,"syms":["v1"],"depth":0,"ctx":[],"path":["0"],"reason":"data_dependency"}'
+    asked = spark.range(n).select(F.lit(1).alias("apk"), F.col("id").cast("string").alias("s_method"), F.explode(F.array(F.lit(2), F.lit(7))).alias("s_idx"), F.col("id").cast("string").alias("method"), F.lit(ask).alias("request"), F.lit(1).alias("place"), F.lit(4096).alias("left"))
+    first = lambda out: out.mapInArrow(lambda batches: (b.slice(0, 1) for b in batches if b.num_rows), out.schema).count()
+    out = slices._round(asked, methods, slices.Limits())
+    assert first(out) < 30 and out.where("kind = 'retain' AND idx = 0").count() == 2 * n
+    monkeypatch.setattr(slices, "TOGETHER", 1)  # dealt into parts: the same rows
+    assert sorted(map(str, slices._round(asked, methods, slices.Limits()).collect())) == sorted(map(str, out.collect()))

@@ -114,11 +114,10 @@ flow AS (SELECT w.apk, w.method, w.src, l.idx AS dst, w.kind FROM want w JOIN la
 _VIEWS = ("v_code", "v_label", "v_payload", "v_handler")
 
 
-def _placed(spark, sf):
+def _placed(spark, sf, instr=None):
     """(places of the code, its control flow); the places are written once."""
-    instr, *others = (view(spark, sf, v) for v in _VIEWS)
-    places = cut(flow.places(instr))
-    return places, flow.placed_flow(places, *others)
+    places = cut(flow.places(view(spark, sf, "v_code") if instr is None else instr))
+    return places, flow.placed_flow(places, *(view(spark, sf, v) for v in _VIEWS[1:]))
 
 
 def _graph(spark, sf):
@@ -260,9 +259,9 @@ def _(spark, sf):
 
 # ---- slices of whole packages; rounds over calls are no SQL, tests hold them against known slices ----
 def _sliced(spark, sf):
-    instr, decl = view(spark, sf, "v_code"), view(spark, sf, "v_decl")
+    instr, decl = cut(view(spark, sf, "v_code")), cut(view(spark, sf, "v_decl"))
     sinks = flow.calls(instr).join(rules.sinks(spark).select(F.concat("class_name", F.lit("->"), "method_name").alias("name")).distinct(), F.substring_index("target", "(", 1) == F.col("name"), "left_semi")
-    return slices.program_slices(instr, decl, _graph(spark, sf), sinks, cut)
+    return slices.program_slices(instr, decl, _placed(spark, sf, instr)[1], sinks, cut)
 
 
 @_query("slc2_program_slices", None)

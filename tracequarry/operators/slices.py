@@ -29,14 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tracequarry.functions.scalars import param_types
 from tracequarry.operators import flow
 
 _SLICE = ["apk", "s_method", "s_idx"]
 _OUT = ["s_method", "s_idx", "kind", "method", "idx", "detail", "target", "step", "request"]
-#: Parts that the requests of one method are dealt into, by slice, so that a much called one isn't one task's work.
-SALTS = 64
+#: Parts that the requests of one method are dealt into, by slice, so that a much called one isn't one task's work; a method of
+#: fewer requests than TOGETHER is read once for all of them.
+SALTS, TOGETHER = 64, 256
+#: Rows that go out together.
+ROWS_OUT = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -49,15 +53,17 @@ class Limits:
     states: int = 4096
 
 
-def bodies(instr: DataFrame, decl: DataFrame, edges: DataFrame, candidates: int = 4) -> DataFrame:
-    """One row for each usable method: signature, its code with uses, definitions and calls, its edges, and who calls it."""
-    able = flow.usable(decl, instr).select("apk", "method", "full_signature", flow.flagged("static").alias("is_static"))
+def bodies(instr: DataFrame, decl: DataFrame, edges: DataFrame, ud: DataFrame, bounds: DataFrame, cut, candidates: int = 4) -> DataFrame:
+    """One row for each usable method: signature, its code with uses, definitions and calls, its edges, and who calls it.
+
+    ud: use_def() of instr; bounds: boundaries() of instr and decl."""
+    able = cut(flow.usable(decl, instr).select("apk", "method", "full_signature", flow.flagged("static").alias("is_static")))
     ends = able.select("apk", F.col("full_signature").alias("target"), F.col("method").cast("string").alias("callee"))
     place = F.row_number().over(W.partitionBy("apk", "target").orderBy("callee"))
     callees = ends.withColumn("n", place).groupBy("apk", "target").agg(F.array_sort(F.collect_list(F.when(F.col("n") <= candidates, F.col("callee")))).alias("callees"), (F.max("n") > candidates).alias("more"))
     inside = F.col("boundary").isNull()
-    stops = flow.boundaries(instr, decl).join(callees, ["apk", "target"], "left").select("apk", "method", "idx", "target", F.col("boundary").alias("stop"), F.when(inside, F.col("callees")).alias("callees"), (inside & F.col("more")).alias("more"))
-    code = flow.use_def(instr).join(stops, ["apk", "method", "idx"], "left")
+    stops = bounds.join(callees, ["apk", "target"], "left").select("apk", "method", "idx", "target", F.col("boundary").alias("stop"), F.when(inside, F.col("callees")).alias("callees"), (inside & F.col("more")).alias("more"))
+    code = ud.join(stops, ["apk", "method", "idx"], "left")
     code = code.groupBy("apk", "method").agg(F.collect_list(F.struct("idx", "opcode", "uses", "defs", "regs", "target", "stop", "callees", "more")).alias("code"))
     graph = edges.groupBy("apk", "method").agg(F.collect_set(F.struct("src", "dst")).alias("edges"))
     # callers whose dispatch is certain, the first ones by method and place
@@ -214,20 +220,30 @@ def _within_budget(asked: DataFrame, used: DataFrame | None, limits: Limits) ->
 
 
 def _round(requests: DataFrame, methods: DataFrame, limits: Limits) -> DataFrame:
-    salted = requests.groupBy("apk", "method", F.pmod(F.xxhash64("s_method", "s_idx"), F.lit(SALTS)).alias("salt")).agg(F.collect_list(F.struct("s_method", "s_idx", "request", "place", "left")).alias("requests"))
+    much = requests.groupBy("apk", "method").agg(F.count("*").alias("asked")).where(F.col("asked") > TOGETHER).select("apk", "method", F.lit(SALTS).alias("salts"))
+    salt = F.pmod(F.xxhash64("s_method", "s_idx"), F.coalesce("salts", F.lit(1)))
+    salted = requests.join(much, ["apk", "method"], "left").groupBy("apk", "method", salt.alias("salt")).agg(F.collect_list(F.struct("s_method", "s_idx", "request", "place", "left")).alias("requests"))
     rows = salted.join(methods, ["apk", "method"])
     kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string()]
 
+    apk_type = to_arrow_type(requests.schema["apk"].dataType)
+
+    def batch(told: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*told, strict=True), [apk_type, *kinds], strict=True)], ["apk", *_OUT])
+
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: list[tuple] = []
         for part in parts:
-            apk_type = part.schema.field("apk").type
             for row in part.to_pylist():
-                walker, rows_out = _Walker(row, limits), set()
+                walker, apk = _Walker(row, limits), row["apk"]
                 for q in row["requests"]:
-                    rows_out.update((q["s_method"], q["s_idx"], kind, method, idx, detail, target, step, request) for kind, idx, detail, target, step, method, request in _named(walker.walk(json.loads(q["request"]), q["left"]), q["place"]))
-                if rows_out:
-                    columns = [*zip(*sorted(rows_out, key=repr), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([row["apk"]] * len(rows_out), apk_type), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["apk", *_OUT])
+                    rows = _named(walker.walk(json.loads(q["request"]), q["left"]), q["place"])
+                    told += dict.fromkeys((apk, q["s_method"], q["s_idx"], kind, method, idx, detail, target, step, request) for kind, idx, detail, target, step, method, request in rows)
+                    if len(told) >= ROWS_OUT:
+                        yield batch(told)
+                        told = []
+        if told:
+            yield batch(told)
 
     named = T.StructType([requests.schema["apk"], *[T.StructField(n, T.IntegerType() if n in ("s_idx", "idx", "step") else T.StringType()) for n in _OUT]])
     return rows.mapInArrow(batches, named)
@@ -237,9 +253,10 @@ def program_slices(instr: DataFrame, decl: DataFrame, edges: DataFrame, sinks: D
     """(retained, boundaries, issues) of each sink (apk, method, idx); cut writes a table in between and reads it back.
 
     retained: apk, s_method, s_idx, method, idx, reason, round, step; boundaries: ..., boundary, method, idx, target."""
-    methods = cut(bodies(instr, decl, edges, limits.candidates))
+    written, bounds = cut(flow.use_def(instr)), cut(flow.boundaries(instr, decl))
+    methods = cut(bodies(instr, decl, edges, written, bounds, cut, limits.candidates))
     seed = sinks.select("apk", F.col("method").cast("string").alias("s_method"), F.col("idx").alias("s_idx")).distinct()
-    ud = flow.use_def(instr).select("apk", F.col("method").cast("string").alias("s_method"), F.col("idx").alias("s_idx"), "uses")
+    ud = written.select("apk", F.col("method").cast("string").alias("s_method"), F.col("idx").alias("s_idx"), "uses")
     start = F.struct(F.array().cast("array<string>").alias("ctx"), F.lit(0).alias("depth"), F.col("s_idx").alias("idx"), F.lit("start").alias("mode"), F.array("s_method").alias("path"), F.lit("data_dependency").alias("reason"), F.array_sort("uses").alias("syms"))
     first = seed.join(ud, _SLICE).select(*_SLICE, F.col("s_method").alias("method"), F.to_json(start).alias("request"))
     open_ = cut(_within_budget(first, None, limits))
@@ -263,7 +280,7 @@ def program_slices(instr: DataFrame, decl: DataFrame, edges: DataFrame, sinks: D
     over = refused.groupBy(*_SLICE, "method").agg(F.lit("traversal_state_limit").alias("boundary")).select(*_SLICE, "boundary", "method", F.lit(-1).alias("idx"), F.lit(None).cast("string").alias("target"))
     kept = every.where("kind = 'retain'").groupBy(*at, F.col("detail").alias("reason")).agg(F.min(F.struct("round", "step")).alias("first")).select(*at, "reason", "first.*")
     sink = seed.select(*_SLICE, F.col("s_method").alias("method"), F.col("s_idx").alias("idx"), F.lit("sink").alias("reason"), F.lit(0).alias("round"), F.lit(0).alias("step"))
-    stops = flow.boundaries(instr, decl).where("boundary IS NOT NULL").select("apk", F.col("method").cast("string").alias("method"), "idx", "target", "boundary")
+    stops = bounds.where("boundary IS NOT NULL").select("apk", F.col("method").cast("string").alias("method"), "idx", "target", "boundary")
     own = seed.join(stops.select("apk", F.col("method").alias("s_method"), F.col("idx").alias("s_idx"), "target", "boundary"), _SLICE).select(*_SLICE, "boundary", F.col("s_method").alias("method"), F.col("s_idx").alias("idx"), "target")
     named = decl.select("apk", F.col("method").cast("string").alias("called"), F.col("full_signature").alias("target"))
     unsure = stops.where("boundary IN ('virtual_dispatch', 'unresolved_local_call')").join(named, ["apk", "target"])
