@@ -103,3 +103,9 @@ def test_requests_of_a_method_come_together(spark, monkeypatch):
     assert first(out) < 30 and out.where("kind = 'retain' AND idx = 0").count() == 2 * n
     monkeypatch.setattr(slices, "TOGETHER", 1)  # dealt into parts: the same rows
     assert sorted(map(str, slices._round(asked, methods, slices.Limits()).collect())) == sorted(map(str, out.collect()))
+
+
+@given
+def test_sinks_of_a_summary_are_found_once(spark):
+    plan = catalog.QUERIES["agg12_package_summary"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in plan  # they were written; the lines aren't gone through again

@@ -159,10 +159,10 @@ cand AS (SELECT *, idx + 1 AS n, sum(idx + 1) OVER (PARTITION BY apk ORDER BY pl
 pub AS (SELECT * FROM cand WHERE total <= 12)"""))
 def _(spark, sf):
     """All measures of a package's slices; a sink's slice stands for the instructions up to it."""
-    sinks = c._sinks(spark, sf)
+    sinks = cut(c._sinks(spark, sf))
     late = lambda n, reason: F.when(F.col("idx") >= n, F.lit(reason))
     records = sinks.select("apk", "method", "idx", "rule_id", (F.col("idx") + 1).alias("n"), (F.col("idx") >= 3).alias("truncated"), F.array_compact(F.array(late(3, "instruction_limit"), late(4, "recursion"))).alias("reasons"))
-    made = slice_stats.package_summary(bytecode.usable_methods(view(spark, sf, "v_method")), sinks, dataset.select_by_category(sinks, 5), records, 12)
+    made = slice_stats.package_summary(bytecode.usable_methods(view(spark, sf, "v_method")), sinks, cut(dataset.select_by_category(sinks, 5)), records, 12)
     told = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
     rejected = F.when(F.col("rejected_sink").isNotNull(), F.concat_ws("/", "rejected_sink.method", "rejected_sink.idx", "rejected_sink.rule_id"))
     return made.select(
