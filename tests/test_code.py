@@ -212,3 +212,32 @@ def test_no_shared_folder_is_an_error():
         shared_dir(bare)
     bare.sparkContext.getCheckpointDir = lambda: "/somewhere"
     assert shared_dir(bare) == "/somewhere"
+
+
+def test_lines_under_names_in_one_pass(spark):
+    import random
+    import re
+
+    quoted, token = r'"(?:\\.|[^"\\])*"?|[^"]+', r"[A-Za-z0-9_$]+:?|:[A-Za-z0-9_$.-]+|[^A-Za-z0-9_$:]|:"
+    rnd = random.Random(7)
+    signs = ["v1", "v12", "v3", "x", ":a", ":b.c-d", ":", ",", " ", " ", "  ", "\t", '"', "\\", "$", ".", "-", "{", "}", ";->", "p0", "v2:", "(", ")"]
+    lines = ["".join(rnd.choices(signs, k=rnd.randint(0, 14))) for _ in range(3000)]
+    of = lambda t: [x for p in re.findall(quoted, t) if p[0] != '"' for x in re.findall(token, p) if re.fullmatch(r"v[0-9]+|:[A-Za-z0-9_$.-]+", x)]
+
+    def line(t: str, names: dict) -> str:
+        plain = lambda p: re.sub(r",\s*", ", ", re.sub(r"\s+", " ", "".join(names.get(x, x) for x in re.findall(token, p))))
+        return "".join(p if p[0] == '"' else plain(p) for p in re.findall(quoted, t.strip(" "))).strip(" ")
+
+    instr = spark.createDataFrame([(1, i // 5, i % 5, t) for i, t in enumerate(lines)], "apk int, method int, idx int, raw_text string")
+    names = {}
+    for m in range(600):
+        kinds = {True: {}, False: {}}
+        for x in [x for t in lines[5 * m : 5 * m + 5] for x in of(t)]:
+            mine = kinds[x[0] == ":"]
+            mine.setdefault(x, f":label_{len(mine)}" if x[0] == ":" else f"v{len(mine)}")
+        names[m] = kinds[True] | kinds[False]
+    made = slice_text.normalized(instr)
+    got = {(r["method"], r["idx"]): r["line"] for r in made.collect()}
+    assert got == {(i // 5, i % 5): line(t, names[i // 5]) for i, t in enumerate(lines)}
+    # first places are found by hashing, not by sorting
+    assert "SortAggregate" not in made._jdf.queryExecution().executedPlan().toString()

@@ -202,7 +202,8 @@ normal AS (SELECT apk, method, idx, opcode, raw_text, trim(array_to_string(list_
 
 @_query("nrm1_instructions", oracle("SELECT apk, method, idx, line FROM normal", *_NAMED, also=f"{_TOKENS}, {_NORMAL}"))
 def _(spark, sf):
-    return slice_text.normalized(*(view(spark, sf, v) for v in _NAMED)).select("apk", "method", "idx", "line")
+    instr, *others = (view(spark, sf, v) for v in _NAMED)
+    return slice_text.normalized(cut(instr), *others).select("apk", "method", "idx", "line")
 
 
 @_query("win5_method_markers", oracle("SELECT apk, method, idx FROM (SELECT apk, method, idx, lag(method) OVER (PARTITION BY apk ORDER BY method, idx) AS before FROM v_code WHERE idx % 3 <> 1) WHERE before IS NULL OR before <> method", "v_code"))
@@ -216,6 +217,7 @@ def _(spark, sf):
    UNION ALL SELECT apk, CASE WHEN idx % 3 = 1 THEN 1 ELSE 0 END, method, idx, 2, kind, target, '[BOUNDARY] kind=' || kind || ' target=' || target FROM called) x GROUP BY 1""", *_NAMED, "v_decl", also=f"{_TOKENS}, {_NORMAL}, {_CALLED}"))
 def _(spark, sf):
     instr, labels, payloads, decl = (view(spark, sf, v) for v in (*_NAMED, "v_decl"))
+    instr = cut(instr)  # read for names, lines and calls
     items = slice_text.normalized(instr, labels, payloads).where("idx % 3 <> 1").join(decl.select("apk", "method", "full_signature"), ["apk", "method"])
     bounds = flow.calls(instr).select("apk", "method", "idx", "kind", "target")
     return slice_text.slice_text(items, bounds, "apk")

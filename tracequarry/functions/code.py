@@ -11,11 +11,13 @@ DESCRIPTOR = rf"^\((?:{TYPE})*\)(?:V|{TYPE})$"
 METHOD_NAME = r"^(?:<init>|<clinit>|[^\s.;\[/<>(]+)$"
 CLASS_NAME = r"^L[^;\s]+;$"
 OPERAND = r'(?:\{[^}]*\}|"(?:\\.|[^"\\])*"|[^,{"])+'
-QUOTED_OR_NOT = r'"(?:\\.|[^"\\])*"?|[^"]+'
 REGISTER = r"\b[vp][0-9]+\b"
 RANGE = r"\b([vp])([0-9]+)\s*\.\.\s*([vp])([0-9]+)\b"
-#: A register or label where it isn't part of a longer name, a longer name, or one other character.
-TOKEN = r"[A-Za-z0-9_$]+:?|:[A-Za-z0-9_$.-]+|[^A-Za-z0-9_$:]|:"
+_QUOTED = r'"(?:\\.|[^"\\])*"?'
+#: In one pass over a line: a register or label that isn't part of a longer name is the first group, names and quoted text are passed over.
+_NAMED = rf"(v[0-9]++(?![A-Za-z0-9_$:])|:[A-Za-z0-9_$.-]+)|[A-Za-z0-9_$]+:?|{_QUOTED}"
+#: What a line is made of; signs, single blanks and names that are no register together.
+_PIECE = rf"{_QUOTED}|,\s*|(?:[^\s\",:A-Za-z0-9_$]| (?!\s)|(?!v[0-9])[A-Za-z0-9_$]++:?)+|\s+|[A-Za-z0-9_$]+:?|:[A-Za-z0-9_$.-]+|:"
 
 
 def clean_text(text: Column) -> Column:
@@ -89,18 +91,14 @@ def code_file_order(name: Column) -> Column:
 
 
 def normalize_instruction(text: Column, names: Column) -> Column:
-    """Outside quotes: tokens renamed by a map, blanks squeezed, one blank after a comma."""
-    renamed = lambda piece: F.array_join(F.transform(F.regexp_extract_all(piece, F.lit(TOKEN), 0), lambda t: F.coalesce(F.try_element_at(names, t), t)), "")
-    plain = lambda piece: F.regexp_replace(F.regexp_replace(renamed(piece), r"\s+", " "), r",\s*", ", ")
-    pieces = F.regexp_extract_all(F.trim(text), F.lit(QUOTED_OR_NOT), 0)
-    return F.trim(F.array_join(F.transform(pieces, lambda p: F.when(p.startswith('"'), p).otherwise(plain(p))), ""))
+    """Outside quotes: registers and labels renamed by a map, blanks squeezed, one blank after a comma."""
+    squeezed = lambda p: F.when(p.startswith('"'), p).when(p.startswith(","), ", ").when(p.rlike(r"^\s+$"), " ").otherwise(F.coalesce(F.try_element_at(names, p), p))
+    return F.trim(F.array_join(F.transform(F.regexp_extract_all(F.trim(text), F.lit(_PIECE), 0), squeezed), ""))
 
 
 def tokens_outside_quotes(text: Column) -> Column:
     """Registers vN and labels of an instruction, in order."""
-    pieces = F.filter(F.regexp_extract_all(text, F.lit(QUOTED_OR_NOT), 0), lambda p: ~p.startswith('"'))
-    every = F.flatten(F.transform(pieces, lambda p: F.regexp_extract_all(p, F.lit(TOKEN), 0)))
-    return F.filter(every, lambda t: t.rlike(r"^(?:v[0-9]+|:[A-Za-z0-9_$.-]+)$"))
+    return F.array_remove(F.regexp_extract_all(text, F.lit(_NAMED), 1), "")
 
 
 def example_id(apk_hash: Column, identity: Column) -> Column:

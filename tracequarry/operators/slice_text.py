@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -14,21 +14,37 @@ _METHOD = ["apk", "method"]
 def names(instr: DataFrame, labels: DataFrame, payloads: DataFrame) -> DataFrame:
     """(apk, method, token, name): registers v0, v1, ... and labels :label_0, ... of each whole method in the order in which
     they first appear: in instructions, then among labels, then in payloads."""
-    at = lambda source, place, step: F.struct(F.lit(source).alias("source"), place.cast("long").alias("place"), step.cast("long").alias("step"))
-    zero = F.lit(0)
-    spoken = instr.select(*_METHOD, "idx", F.posexplode(code.tokens_outside_quotes(F.col("raw_text"))).alias("step", "token")).select(*_METHOD, "token", at(0, F.col("idx"), F.col("step")).alias("at"))
+    at, zero = _at, F.lit(0)
     listed = labels.select(*_METHOD, F.col("label").alias("token"), at(1, F.col("idx"), zero).alias("at"))
     tables = payloads.select(*_METHOD, F.col("label").alias("token"), at(2, zero, zero).alias("at"))
     cases = payloads.where("target IS NOT NULL").select(*_METHOD, F.col("target").alias("token"), at(2, F.col("pos"), zero).alias("at"))
-    first = spoken.union(listed).union(tables).union(cases).groupBy(*_METHOD, "token").agg(F.min("at").alias("at"))
+    return _numbered(_spoken(instr).union(listed).union(tables).union(cases))
+
+
+def _at(source: int, place: Column, step: Column) -> Column:
+    """Order of source, place (32 bits, null first) and step (24 bits) in one number, whose least one is found by hashing."""
+    return F.lit(source << 60) + F.coalesce(place.cast("long"), F.lit(-(1 << 32))) * (1 << 24) + step
+
+
+def _spoken(instr: DataFrame) -> DataFrame:
+    # the outer form, as the plain one would look for tokens twice, first to leave out lines without any
+    tokens = instr.select(*_METHOD, "idx", F.posexplode_outer(code.tokens_outside_quotes(F.col("raw_text"))).alias("step", "token")).where("token IS NOT NULL")
+    return tokens.select(*_METHOD, "token", _at(0, F.col("idx"), F.col("step")).alias("at"))
+
+
+def _numbered(tokens: DataFrame) -> DataFrame:
+    first = tokens.groupBy(*_METHOD, "token").agg(F.min("at").alias("at"))
     is_label = F.col("token").startswith(":")
     rank = F.row_number().over(W.partitionBy(*_METHOD, is_label).orderBy("at")) - 1
     return first.select(*_METHOD, "token", F.concat(F.when(is_label, ":label_").otherwise("v"), rank.cast("string")).alias("name"))
 
 
-def normalized(instr: DataFrame, labels: DataFrame, payloads: DataFrame) -> DataFrame:
-    """instr with the column line: its raw text under the method's names."""
-    maps = names(instr, labels, payloads).groupBy(*_METHOD).agg(F.map_from_entries(F.collect_list(F.struct("token", "name"))).alias("names"))
+def normalized(instr: DataFrame, labels: DataFrame | None = None, payloads: DataFrame | None = None) -> DataFrame:
+    """instr with the column line: its raw text under the method's names.
+
+    instr is read twice: write it in between. Labels and payloads aren't read: they are numbered after all that instructions speak
+    of, so no line shows such a name."""
+    maps = _numbered(_spoken(instr)).groupBy(*_METHOD).agg(F.map_from_entries(F.collect_list(F.struct("token", "name"))).alias("names"))
     made = instr.join(maps, _METHOD, "left").withColumn("names", F.coalesce("names", F.create_map().cast("map<string,string>")))
     return made.withColumn("line", code.normalize_instruction(F.col("raw_text"), F.col("names"))).drop("names")
 
