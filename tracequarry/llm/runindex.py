@@ -6,7 +6,8 @@ windows are cut out, here and in the historical texts, and compared by their wor
 compacted to one when there are too many.
 
 A run holds one fingerprint for each anchor of a document (see arrays.anchors): windows that are equal have equal anchors,
-so the sparse run finds each of them.
+so the sparse run finds each of them. Distinct texts are numbered as they come in; runs and segments have the number, not the
+32-byte key, and a text is moved twice only: to its anchors that others have too, and to its windows that go.
 
 Cases: null texts have no words; documents under 50 words are kept; equal texts are one document with the least id, and its
 further copies go whole; rows without an id neither remove nor lose anything; rows of one id don't affect one another;
@@ -16,9 +17,11 @@ empty tables give no rows; other columns are left alone.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracequarry.llm.arrays import anchors, covered, window_hashes, word_values, words
@@ -35,12 +38,18 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return word_values(data, starts, ends), first.astype(np.int64)
 
 
+def _together(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _sorted(run: DataFrame) -> DataFrame:
-    """Rows in parts sorted by fingerprint; the rows of one go to up to 16 parts by document."""
-    return run.repartition("h", F.pmod(F.xxhash64("key"), F.lit(16))).sortWithinPartitions("h")
+    """Rows in parts sorted by fingerprint; the rows of one go to up to 16 parts by text."""
+    return run.repartition("h", F.pmod(F.xxhash64("t"), F.lit(16))).sortWithinPartitions("h")
 
 
 _LEAST = fields("h long, c binary, least array<long>")
+#: Bits of a text's number below its batch's.
+NUMBER_BITS = 56
 
 
 class FingerprintIndex:
@@ -48,7 +57,8 @@ class FingerprintIndex:
 
     def __init__(self, window: int = WINDOW, anchor: int = ANCHOR, together: int = TOGETHER, most_runs: int = RUNS):
         self.window, self.anchor, self.together, self.most_runs = window, anchor, together, most_runs
-        self.runs: list[DataFrame] = []  # h, key, doc, run; sorted by h
+        self.runs: list[DataFrame] = []  # h, t, run; sorted by h
+        self.numbers: list[DataFrame] = []  # key, doc, t: each batch's texts that were new, numbered
         self.texts: list[DataFrame] = []  # key, doc, text
 
     def ingest(self, batch: DataFrame) -> DataFrame:
@@ -57,40 +67,38 @@ class FingerprintIndex:
         window, anchor = self.window, self.anchor  # tasks get these, not the index
         find = lambda values, first: anchors(values, first, window, anchor)
         own = batch.select("key", "doc", anchor_column(_tokens, find).alias("anchors")).groupBy("key").agg(F.min("doc").alias("doc"), F.first("anchors").alias("anchors"))
-        for earlier in self.runs:
-            own = own.join(earlier.select("key").distinct(), "key", "left_anti")
-        run = cut(_sorted(runs(own, "key", "doc")))
-        # merge join: fingerprints of this run that other documents have
-        here = run.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"))
+        for earlier in self.numbers:
+            own = own.join(earlier.select("key"), "key", "left_anti")
+        least = len(self.numbers) << NUMBER_BITS
+        new = F.col("t") >= least
+        own = cut(own.withColumn("t", F.monotonically_increasing_id() + F.lit(least)))
+        self.numbers.append(own.select("key", "doc", "t"))
+        run = cut(_sorted(runs(own, "t")))
+        # merge join: fingerprints of this run that other texts have
+        here = run.groupBy("h").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count("*").alias("n"))
         for i, earlier in enumerate(self.runs):
             before = earlier.groupBy("h").agg(F.count("*").alias(f"run_{i}"))
             here = here.join(before, "h", "left")
         old = sum((F.coalesce(f"run_{i}", F.lit(0)) for i in range(len(self.runs))), F.lit(0))
         shared = cut(here.where((F.col("low") < F.col("high")) | (old > 0)).select("h", (F.col("n") + old).alias("n")))
-        places = run
-        for earlier in self.runs:
-            places = places.union(earlier)
-        found = cut(with_keys(places, shared).groupBy("key").agg(F.min("doc").alias("doc"), F.collect_list(F.struct("h", "run")).alias("found")))
+        places = _together([run, *self.runs])
+        found = with_keys(places, shared).groupBy("t").agg(F.collect_list(F.struct("h", "run")).alias("found"))
+        found = cut(found.join(_together(self.numbers), "t"))
         self.texts.append(batch)
-        known = self.texts[0]
-        for more in self.texts[1:]:
-            known = known.union(more)
-        texts = cut(keep_keys(known.select("key", "text"), found.select("key"), "key").groupBy("key").agg(F.first("text").alias("text")))
-        ranges = self._verified(texts.join(found, "key"))
+        known = keep_keys(_together(self.texts).select("key", "text"), found.select("key"), "key")
+        texts = cut(known.groupBy("key").agg(F.first("text").alias("text")).join(found, "key"))
+        ranges = self._verified(texts.select("t", "doc", "text", "found"), new)
         self.runs.append(run)
         if len(self.runs) > self.most_runs:
             self.compact()
-        return texts.join(ranges, "key").join(run.select("key").distinct(), "key", "left_semi")
+        return texts.where(new).select("t", "key", "text").join(ranges, "t").drop("t")
 
     def compact(self) -> None:
         """All runs to one."""
-        merged = self.runs[0]
-        for run in self.runs[1:]:
-            merged = merged.union(run)
-        self.runs = [cut(_sorted(merged))]
+        self.runs = [cut(_sorted(_together(self.runs)))]
 
-    def _verified(self, texts: DataFrame) -> DataFrame:
-        """texts (key, doc, text, found): key and ranges of windows that a lesser document has too."""
+    def _verified(self, texts: DataFrame, asked: Column) -> DataFrame:
+        """texts (t, doc, text, found): t and ranges of the asked texts' windows that a lesser document has too."""
         window = self.window
 
         def contents(text: str, lo: np.ndarray, n: np.ndarray) -> list[bytes]:
@@ -104,12 +112,12 @@ class FingerprintIndex:
         def part(content: bytes, at: int, n: int) -> bytes:
             return b" ".join(content.split(b" ")[at : at + n + window - 1])
 
-        cuts = cut(segments(texts.select("key", "doc", "text", "found"), fields("key binary, doc long"), contents))
+        cuts = cut(segments(texts, fields("t long, doc long"), contents))
         unique = cut(cuts.groupBy("h", "c").agg(F.first("content").alias("content"), F.first("n").alias("n"), F.count("*").alias("m"), F.min("doc").alias("doc")))
         out = compared(unique, lambda content: _hashed(content, window), part, self.anchor, {"doc": "min"}, lambda block: least_documents(block, window), _LEAST, self.together)
-        flagged = cuts.select("key", "doc", "h", "c", "lo").join(out, ["h", "c"])
+        flagged = cuts.where(asked).select("t", "doc", "h", "c", "lo").join(out, ["h", "c"])
         ranges = F.filter(F.transform("least", lambda d, i: F.when(d < F.col("doc"), F.col("lo") + F.col("off") + i)), lambda x: x.isNotNull())
-        return flagged.select("key", ranges.alias("starts")).where("size(starts) > 0").groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+        return flagged.select("t", ranges.alias("starts")).where("size(starts) > 0").groupBy("t").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def least_documents(block: pd.DataFrame, window: int) -> pd.DataFrame:
