@@ -94,3 +94,41 @@ def test_recursion_is_a_boundary(spark):
     methods = {MAIN: ("", [("invoke-static", f"{{}}, {loop}"), ("move-result-object", "v1"), CALL, END]), loop: ("static", [("invoke-static", f"{{}}, {loop}"), ("move-result-object", "v0"), ("return-object", "v0")])}
     _, ends, _ = sliced(spark, methods)
     assert ("recursion", loop, 0) in ends
+
+
+def packages(n):
+    """Random packages: calls of all kinds, some to one of several bodies of a signature, branches, and declarations without bodies."""
+    import random
+
+    rng = random.Random(7)
+    code, decl, marks = [], [], []
+    for apk in range(n):
+        names = [f"La/C{m};->f{m % 3}(I)I" if apk % 3 else f"La/C;->f{m % 2}(I)I" for m in range(rng.randint(1, 13))]
+        for m, name in enumerate(names):
+            decl.append((apk, m, name, rng.choice(["", "static", "static", "public", "native", "abstract"])))
+            for i in range(0 if rng.random() < 0.1 else rng.randint(1, 9)):
+                r = lambda: f"v{rng.randint(0, 3)}" if rng.random() < 0.8 else f"p{rng.randint(0, 1)}"
+                call = lambda: f"{{{', '.join(r() for _ in range(rng.randint(0, 3)))}}}, {rng.choice([*names, *[SINK] * 8, 'La/X;->g()I', 'Ljava/lang/Class;->forName(I)I'])}"
+                kind = rng.choice(["const/4", "move", "if-eqz", "goto", "return", "move-result", "move-result", "invoke-static", "invoke-direct", "invoke-super", "invoke-virtual", "invoke-virtual", "custom"])
+                code.append((apk, m, i, kind, call() if kind.startswith("invoke") else f"{r()}, :l{rng.randint(0, 3)}" if kind in ("if-eqz", "goto") else f"{r()}, {r()}"))
+            marks += [(apk, m, f":l{k}", k) for k in range(3)]
+    return code, [*decl, decl[3]], marks
+
+
+@pytest.mark.parametrize("limits", [slices.Limits(), slices.Limits(depth=2, candidates=2, states=9)])
+def test_packages_in_one_pass_give_what_rounds_over_tables_give(spark, monkeypatch, limits):
+    code, decl, marks = packages(150)
+    instr = spark.createDataFrame([(*c, f"{c[3]} {c[4]}") for c in code] + [(None, 1, 0, "invoke-static", f"{{v1}}, {SINK}", "")], "apk int, method int, idx int, opcode string, operands string, raw_text string")
+    decl = spark.createDataFrame(decl, "apk int, method int, full_signature string, flags string")
+    none, handlers = spark.createDataFrame([], "apk int, method int, label string, pos int, target string"), spark.createDataFrame([], "apk int, method int, try_start string, try_end string, handler string")
+    instr, sinks = cut(instr), cut(instr.where(f"operands LIKE '%{SINK}'").select("apk", "method", "idx"))
+    edges = cut(flow.control_flow(instr, spark.createDataFrame(marks, "apk int, method int, label string, idx int"), none, handlers))
+    tables = []
+    counted = lambda df: tables.append(1) or cut(df)
+    rows = lambda dfs: [sorted(map(str, df.select(*sorted(df.columns)).collect())) for df in dfs]
+    one = rows(slices.program_slices(instr, decl, edges, sinks, counted, limits))
+    assert len(tables) <= 3 and len(one[0]) > 1500 and all(one)  # no table for a round
+    each = slices.tabled(instr, decl, edges, sinks, cut, limits)
+    assert one == rows(each)
+    monkeypatch.setattr(slices, "WHOLE", 30)  # some packages by rounds
+    assert one == rows(slices.program_slices(instr, decl, edges, sinks, cut, limits))

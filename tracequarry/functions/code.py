@@ -34,7 +34,7 @@ def registers(operands: Column) -> Column:
     """Distinct registers of an operand text; {v1 .. v4} stands for all four, before the others."""
     part = lambda i: F.regexp_extract(operands, RANGE, i)
     low, high = part(2).try_cast("int"), part(4).try_cast("int")
-    whole = (part(1) != "") & (part(1) == part(3))
+    whole = operands.contains("..") & (part(1) != "") & (part(1) == part(3))  # most operands have no range to look for
     spread = F.when(whole & (low <= high), F.transform(F.sequence(F.least(low, high), F.greatest(low, high)), lambda i: F.concat(part(1), i.cast("string")))).otherwise(F.array().cast("array<string>"))
     rest = F.when(whole, F.regexp_replace(operands, RANGE, " ")).otherwise(operands)
     return F.array_distinct(F.concat(spread, F.regexp_extract_all(rest, F.lit(REGISTER), 0)))

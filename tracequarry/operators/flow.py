@@ -4,6 +4,9 @@ Instruction tables have apk, method, idx, opcode, operands, raw_text; declaratio
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -24,7 +27,7 @@ REFLECTIVE = r"^(Ljava/lang/Class;|Ljava/lang/reflect/Method;)->(forName|getMeth
 
 
 def _starts(col: Column, *words: str) -> Column:
-    return col.rlike(f"^(?:{'|'.join(words)})")
+    return reduce(or_, [col.startswith(w) for w in words])
 
 
 def flag_list(flags: str = "flags") -> Column:
@@ -36,23 +39,27 @@ def flagged(flag: str) -> Column:
     return F.array_contains(flag_list(), flag)
 
 
-def usable(decl: DataFrame, instr: DataFrame) -> DataFrame:
-    """Declarations with a body: neither native nor abstract, a valid signature, an instruction at least."""
-    flags = flag_list()
+def sound() -> Column:
+    """A declaration that may have a body: neither native nor abstract, with a valid signature."""
     part = lambda i: F.regexp_extract("full_signature", r"^(L[^;\s]+;)->([^(]+)(\(.*)$", i)
     valid = code.valid_identity(part(1), part(2), part(3), F.col("full_signature"))
+    return ~F.arrays_overlap(flag_list(), F.array(F.lit("native"), F.lit("abstract"))) & valid
+
+
+def usable(decl: DataFrame, instr: DataFrame) -> DataFrame:
+    """Declarations with a body: sound ones with an instruction at least."""
     body = instr.where(F.col("opcode").isNotNull()).select(*_METHOD).distinct()
-    return decl.where(~F.arrays_overlap(flags, F.array(F.lit("native"), F.lit("abstract"))) & valid).join(body, _METHOD, "left_semi")
+    return decl.where(sound()).join(body, _METHOD, "left_semi")
 
 
 # ---- control flow ----
 
 
-def places(instr: DataFrame) -> DataFrame:
-    """Each instruction with its last label, the one that follows it, and how many its method has."""
+def places(instr: DataFrame, *also: str) -> DataFrame:
+    """Each instruction with its last label, the one that follows it, how many its method has, and the columns named."""
     w = W.partitionBy(*_METHOD)
     label = F.regexp_extract("operands", f"^.*({LABEL})", 1)
-    return instr.select(*_PLACE, "opcode", label.alias("label"), F.lead("idx").over(w.orderBy("idx")).alias("following"), F.count("*").over(w).alias("n"))
+    return instr.select(*_PLACE, "opcode", label.alias("label"), F.lead("idx").over(w.orderBy("idx")).alias("following"), F.count("*").over(w).alias("n"), *also)
 
 
 def _labels(labels: DataFrame, instr: DataFrame) -> DataFrame:
@@ -84,14 +91,22 @@ def control_flow(instr: DataFrame, labels: DataFrame, payloads: DataFrame, handl
 
 def placed_flow(places: DataFrame, labels: DataFrame, payloads: DataFrame, handlers: DataFrame) -> DataFrame:
     """control_flow() of places(), which are read several times: write them in between, or each time makes them anew."""
-    at = _labels(labels, places)
+    return _led(places, _labels(labels, places), payloads, handlers).distinct()
+
+
+def flow_rows(places: DataFrame, labels: DataFrame, payloads: DataFrame, handlers: DataFrame, cut) -> DataFrame:
+    """placed_flow() with an edge as often as it is led by; cut writes the labels that stand at an instruction."""
+    return _led(places, cut(_labels(labels, places)), payloads, handlers)
+
+
+def _led(places: DataFrame, at: DataFrame, payloads: DataFrame, handlers: DataFrame) -> DataFrame:
     jumps = _wanted(places, payloads).join(at, [*_METHOD, "label"]).select(*_METHOD, "src", "dst", "kind")
     falls = places.where(F.col("following").isNotNull() & ~_starts(F.col("opcode"), "goto", "return", "throw"))
     falls = falls.select(*_METHOD, F.col("idx").alias("src"), F.col("following").alias("dst"), F.lit("fallthrough").alias("kind"))
     p, s = places.alias("p"), _spans(handlers, at).alias("s")
     within = (F.col("p.apk") == F.col("s.apk")) & (F.col("p.method") == F.col("s.method")) & (F.col("p.idx") >= F.col("s.low")) & (F.col("p.idx") < F.coalesce("s.high", "p.n"))
     raised = p.join(s, within).select("p.apk", "p.method", F.col("p.idx").alias("src"), "s.dst", F.lit("exception").alias("kind"))
-    return jumps.unionByName(falls).unionByName(raised).distinct()
+    return jumps.unionByName(falls).unionByName(raised)
 
 
 def flow_issues(instr: DataFrame, labels: DataFrame, payloads: DataFrame, handlers: DataFrame) -> DataFrame:
@@ -114,16 +129,11 @@ def no_graph(decl: DataFrame, instr: DataFrame) -> DataFrame:
 # ---- uses and definitions ----
 
 
-def use_def(instr: DataFrame) -> DataFrame:
-    """Each instruction's symbols read (uses) and written (defs): registers, field:, array: and result: symbols.
+def use_def(instr: DataFrame, *also: str) -> DataFrame:
+    """Each instruction's symbols read (uses) and written (defs): registers, field:, array: and result: symbols; and the columns named.
 
     A move-result reads the result of the call just before it. Opcodes of no known family read all their registers."""
-    op, regs = F.lower("opcode"), F.col("regs")
-    ref = F.nullif(F.regexp_extract("operands", METHOD_REF, 1), F.lit(""))
-    fields = F.transform(F.array_distinct(F.regexp_extract_all("operands", F.lit(FIELD_REF), 1)), lambda f: F.concat(F.lit("field:"), f))
-    seen = instr.select(*_PLACE, "opcode", code.registers(F.col("operands")).alias("regs"), ref.alias("ref"), fields.alias("fields"))
-    w = W.partitionBy(*_METHOD).orderBy("idx")
-    seen = seen.withColumn("last_ref", F.lag("ref").over(w)).withColumn("last_op", F.lag("opcode").over(w))
+    op, regs, operands = F.lower("opcode"), F.col("regs"), F.col("operands")
     none = F.array().cast("array<string>")
     first, rest = F.slice(regs, 1, 1), F.when(F.size(regs) > 1, F.slice(regs, F.lit(2), F.size(regs))).otherwise(none)
     gives = lambda r: r.isNotNull() & ~r.endswith(")V")
@@ -140,12 +150,17 @@ def use_def(instr: DataFrame) -> DataFrame:
         (_starts(op, *_ARITHMETIC), F.when(op.contains("/2addr"), F.concat(rest, first)).otherwise(rest), first), (_starts(op, "check-cast"), first, first),
         (_starts(op, "fill-array-data"), regs, array_of(1)), (_starts(op, *_READERS), regs, none), (_starts(op, "goto", "nop"), none, none),
     ]
-    uses, defs, known = None, None, F.lit(False)
-    for applies, reads, writes in reversed(rules):
-        uses = F.when(applies, reads).otherwise(regs if uses is None else uses)
-        defs = F.when(applies, writes).otherwise(none if defs is None else defs)
-        known = known | applies
-    return seen.select(*_PLACE, "opcode", F.array_distinct(uses).alias("uses"), F.array_distinct(defs).alias("defs"), (~known).alias("is_unknown"), "ref", "regs")
+    chosen = lambda values, of: reduce(lambda made, x: made.when(x[0], x[1]), values[1:], F.when(*values[0])).otherwise(of)
+    rule, refers = F.col("rule"), operands.contains(";->")  # as both kinds of references do
+    ref = F.nullif(F.when(refers, F.regexp_extract(operands, METHOD_REF, 1)), F.lit(""))
+    fields = F.transform(F.array_distinct(F.regexp_extract_all(operands, F.lit(FIELD_REF), 1)), lambda f: F.concat(F.lit("field:"), f))
+    fields = F.when(refers & _starts(op, "iget", "sget", "iput", "sput"), fields).when(operands.isNotNull(), none)
+    seen = instr.select(*_PLACE, "opcode", *also, code.registers(operands).alias("regs"), ref.alias("ref"), fields.alias("fields"), chosen([(applies, F.lit(i)) for i, (applies, _, _) in enumerate(rules)], F.lit(len(rules))).alias("rule"))
+    w = W.partitionBy(*_METHOD).orderBy("idx")
+    seen = seen.withColumn("last_ref", F.lag("ref").over(w)).withColumn("last_op", F.lag("opcode").over(w))
+    uses, defs = (chosen([(rule == i, r[k]) for i, r in enumerate(rules)], of) for k, of in ((1, regs), (2, none)))
+    unknown = F.when(F.col("opcode").isNotNull(), rule == len(rules))
+    return seen.select(*_PLACE, "opcode", F.array_distinct(uses).alias("uses"), F.array_distinct(defs).alias("defs"), unknown.alias("is_unknown"), "ref", "regs", *also)
 
 
 # ---- calls ----
@@ -163,6 +178,11 @@ def call_edges(instr: DataFrame, decl: DataFrame) -> DataFrame:
     return calls(instr).drop("operands").join(targets, ["apk", "target"], "left").select(*_PLACE, "kind", "target", "callee", "callee_native")
 
 
+def undeclared(kind: Column, target: Column) -> Column:
+    """The boundaries that no declaration changes: reflection, and dispatch that only the run decides."""
+    return F.when(target.rlike(REFLECTIVE), "reflection").when(kind.isin("virtual", "interface"), "virtual_dispatch")
+
+
 def boundaries(instr: DataFrame, decl: DataFrame) -> DataFrame:
     """(apk, method, idx, target, boundary): why a slice doesn't go on into each call; null where it may.
 
@@ -173,8 +193,8 @@ def boundaries(instr: DataFrame, decl: DataFrame) -> DataFrame:
     known = decl.join(bodies, _METHOD, "left").groupBy("apk", F.col("full_signature").alias("target")).agg(F.count("*").alias("n"), F.count_if("body").alias("bodies"), F.count_if(native).alias("natives"))
     kind, n = F.col("kind"), F.coalesce("n", F.lit(0))
     why = (
-        F.when(F.col("target").rlike(REFLECTIVE), "reflection").when(kind.isin("virtual", "interface"), "virtual_dispatch").when((kind == "super") & (n > 1), "unresolved_local_call")
-        .when(n == 0, "external_call").when(F.col("bodies") > 0, None).when(F.col("natives") > 0, "native_method").otherwise("unresolved_local_call")
+        F.coalesce(undeclared(kind, F.col("target")), F.when((kind == "super") & (n > 1), "unresolved_local_call")
+        .when(n == 0, "external_call").when(F.col("bodies") > 0, None).when(F.col("natives") > 0, "native_method").otherwise("unresolved_local_call"))
     )
     return calls(instr).join(known, ["apk", "target"], "left").select(*_PLACE, "target", why.alias("boundary"))
 

@@ -5,6 +5,9 @@ context that led there; each round walks all open requests in tasks, one method'
 is retained, boundaries, and requests to other methods, which are written and dealt out by method for the next round. A
 request that was made before isn't made again, so the rounds end; call depth bounds their number.
 
+A package of few instructions comes whole to a task, where its slices go through the same rounds, with the same walker and the
+same budgets (`packaged`); only packages of over WHOLE rows are walked in rounds over tables.
+
 Symbols live apart from one another, which gives what sets of them would: a symbol that an instruction defines is replaced by
 those that it reads, others pass. Where a result of a local callee is live, the callee's returns are walked in place of the
 call's arguments; parameters that are live at a method's entry go back to the caller of the context, or, without one, to the
@@ -24,23 +27,32 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tracequarry.functions.scalars import param_types
+from tracequarry.functions.scalars import call_kind, param_types
 from tracequarry.operators import flow
 
 _SLICE = ["apk", "s_method", "s_idx"]
 _OUT = ["s_method", "s_idx", "kind", "method", "idx", "detail", "target", "step", "request"]
+_FOUND = ["s_method", "s_idx", "kind", "method", "idx", "detail", "target", "round", "step"]
+#: Kinds of a package's rows, what is told of a declaration, and the boundaries of calls that a method may be reached by.
+_CODE, _EDGE, _DECLARED, _SINK = range(4)
+_SOUND, _STATIC, _NATIVE = 1, 2, 4
+_UNSURE = ("virtual_dispatch", "unresolved_local_call")
 #: Parts that the requests of one method are dealt into, by slice, so that a much called one isn't one task's work; a method of
 #: fewer requests than TOGETHER is read once for all of them.
 SALTS, TOGETHER = 64, 256
 #: Rows that go out together.
 ROWS_OUT = 1 << 15
+#: Instructions and declarations of a package that comes whole to a task, at most; and of all packages of a task, about.
+WHOLE, PART_ROWS = 1 << 15, 250_000
 
 
 @dataclass(frozen=True)
@@ -94,9 +106,10 @@ class _Walker:
     def __init__(self, row: dict, limits: Limits):
         self.row, self.limits, self.method = row, limits, row["method"]
         self.code = {c["idx"]: c for c in row["code"]}
+        self.defs = {i: frozenset(c["defs"] or ()) for i, c in self.code.items()}
         self.before = defaultdict(list)
-        for e in row["edges"] or ():
-            self.before[e["dst"]].append(e["src"])
+        for src, dst in sorted({(e["src"], e["dst"]) for e in row["edges"] or ()}):
+            self.before[dst].append(src)
         self.branches = {c["idx"] for c in row["code"] if c["opcode"].startswith("if-") or "switch" in c["opcode"]}
 
     def walk(self, r: dict, states: int) -> Iterator[tuple]:
@@ -115,7 +128,7 @@ class _Walker:
                 say("boundary", c["idx"], c["stop"], c["target"])
             if c["more"]:
                 say("boundary", c["idx"], "candidate_limit", c["target"])
-            if not c["callees"] or not live & set(c["defs"]):
+            if not c["callees"] or not live & self.defs[c["idx"]]:
                 return set(c["uses"])
             if r["depth"] >= self.limits.depth:
                 say("boundary", c["idx"], "call_depth_limit", c["target"])
@@ -148,9 +161,9 @@ class _Walker:
             if visited > states:
                 say("boundary", idx, "traversal_state_limit")
                 return
-            if forced or live & set(c["defs"]):
+            if forced or live & self.defs[idx]:
                 retain(idx, reason, step)
-                live = (live - set(c["defs"])) | read(c, live)
+                live = (live - self.defs[idx]) | read(c, live)
             if not self.before[idx]:
                 entry.update(s for s in live if s[0] == "p")
             for p in self.before[idx]:
@@ -249,10 +262,192 @@ def _round(requests: DataFrame, methods: DataFrame, limits: Limits) -> DataFrame
     return rows.mapInArrow(batches, named)
 
 
-def program_slices(instr: DataFrame, decl: DataFrame, edges: DataFrame, sinks: DataFrame, cut, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame, DataFrame]:
+class _Package:
+    """All rows of one package, and the slices of its sinks.
+
+    Declarations, callers and callees are looked up as bodies() joins them; rows of a method come together, in order of methods."""
+
+    def __init__(self, limits: Limits):
+        self.limits = limits
+        self.code: dict[str, list[dict]] = defaultdict(list)
+        self.edges: dict[str, list[dict]] = defaultdict(list)
+        self.declared: list[tuple[str, str, int, list[str]]] = []
+        self.sinks: set[tuple[str, int]] = set()
+
+    def add(self, kind: int, method: str, at: int, to: int | None, op: str | None, target: str | None, call: str | None, why: str | None, lists: list) -> None:
+        if kind == _CODE:
+            uses, defs, regs = lists
+            self.code[method].append({"idx": at, "opcode": op, "uses": uses, "defs": defs, "regs": regs, "target": target, "call": call, "stop": why, "callees": None, "more": None})
+        elif kind == _EDGE:
+            self.edges[method].append({"src": at, "dst": to})
+        elif kind == _DECLARED:
+            self.declared.append((method, op, at, lists[0]))
+        else:
+            self.sinks.add((method, at))
+
+    def _linked(self) -> None:
+        """Boundaries and callees of calls, callers of methods."""
+        able = [d for d in self.declared if d[2] & _SOUND and any(c["opcode"] is not None for c in self.code.get(d[0], ()))]
+        known: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        for _, target, bits, _ in self.declared:
+            known[target][0] += 1
+            known[target][1] += bool(bits & _NATIVE)
+        bodies: dict[str, list[str]] = defaultdict(list)
+        for method, target, _, _ in able:
+            bodies[target].append(method)
+        named = {method for method, *_ in able}
+        first = {target: sorted(found)[: self.limits.candidates] for target, found in bodies.items()}
+        self.called, sites = defaultdict(list), defaultdict(list)
+        for method, lines in self.code.items():
+            for c in lines:
+                target = c["target"]
+                if target is None:
+                    continue
+                n, natives = known.get(target, (0, 0))
+                found = bodies.get(target, ())
+                if not c["stop"]:
+                    lost = "native_method" if natives and not (c["call"] == "super" and n > 1) else "unresolved_local_call"
+                    c["stop"] = "external_call" if not n else None if found and not (c["call"] == "super" and n > 1) else lost
+                if not c["stop"]:
+                    c["callees"], c["more"] = first.get(target), len(found) > self.limits.candidates
+                elif c["stop"] in _UNSURE and n:
+                    self.called[target].append((c["stop"], method, c["idx"], target))
+                if c["call"] in ("static", "direct", "super") and method in named:
+                    for callee in found:
+                        sites[callee].append((method, c["idx"]))
+        self.rows: dict[str, list[dict]] = defaultdict(list)
+        for method, _, bits, types in able:
+            calls = sites.get(method)
+            at = calls and [{"method": m, "idx": i} for m, i in sorted(calls[: self.limits.candidates])]
+            self.rows[method].append({"method": method, "types": types, "is_static": bool(bits & _STATIC), "code": self.code[method], "edges": self.edges.get(method), "sites": at, "n_sites": calls and len(calls)})
+        self.signed = defaultdict(set)
+        for method, target, _, _ in self.declared:
+            self.signed[method].add(target)
+
+    def slices(self) -> Iterator[tuple]:
+        """(s_method, s_idx, kind, method, idx, detail, target, round, step) rows, each once."""
+        if not self.sinks:
+            return
+        self._linked()
+        walkers: dict[str, list[_Walker]] = {}
+        for method, idx in sorted(self.sinks):
+            kept: dict[tuple, tuple[int, int]] = {(method, idx, "sink"): (0, 0)}
+            stops, issues, unsafe = set(), set(), set()
+            lines = [c for c in self.code.get(method, ()) if c["idx"] == idx]
+            stops |= {(c["stop"], method, idx, c["target"]) for c in lines if c["stop"]}
+            open_ = sorted({(method, json.dumps({"mode": "start", "idx": idx, "syms": sorted(c["uses"] or ()), "depth": 0, "ctx": [], "path": [method], "reason": "data_dependency"})) for c in lines})
+            done, used, number = set(open_), 0, 0
+            while open_:
+                number, left, asked = number + 1, self.limits.states - used, set()
+                for name, request in open_:
+                    if name not in walkers:
+                        walkers[name] = [_Walker(row, self.limits) for row in self.rows.get(name, ())]
+                    for walker in walkers[name]:
+                        for kind, at, detail, target, step, where, more in walker.walk(json.loads(request), left):
+                            if kind == "retain":
+                                place, now = (where, at, detail), (number, step)
+                                kept[place] = min(kept.get(place, now), now)
+                            elif kind == "request":
+                                asked.add((where, more))
+                            elif kind == "states":
+                                used += step
+                            elif kind == "boundary":
+                                stops.add((detail, where, at, target))
+                            elif kind == "unsafe":
+                                unsafe.add(where)
+                            else:
+                                issues.add((where, at, detail))
+                asked = sorted(asked - done)
+                done.update(asked)
+                room = max(0, self.limits.states - used)  # each walk visits a state at least
+                stops |= {("traversal_state_limit", name, -1, None) for name, _ in asked[room:]}
+                open_ = asked[:room]
+            stops.update(stop for name in unsafe for target in self.signed[name] for stop in self.called.get(target, ()))
+            for (where, at, reason), (number, step) in kept.items():
+                yield method, idx, "retain", where, at, reason, None, number, step
+            for boundary, where, at, target in stops:
+                yield method, idx, "boundary", where, at, boundary, target, None, None
+            for where, at, issue in issues:
+                yield method, idx, "issue", where, at, issue, None, None, None
+
+
+def packaged(ud: DataFrame, decl: DataFrame, edges: DataFrame, sinks: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(apk, s_method, s_idx, kind, method, idx, detail, target, round, step): what program_slices() gives, by packages that come whole
+    to a task each; kind is retain, boundary or issue."""
+    text, none, no = F.lit(None).cast("string"), F.lit(None).cast("array<string>"), F.lit(None).cast("int")
+    row = lambda df, kind, at, to=no, op=text, target=text, call=text, why=text, a=none, b=none, c=none: df.select("apk", "method", F.lit(kind).alias("kind"), at.cast("int").alias("at"), to.cast("int").alias("to"), op.alias("op"), target.alias("target"), call.alias("call"), why.alias("why"), a.alias("a"), b.alias("b"), c.alias("c"))
+    target = F.when(F.col("opcode").startswith("invoke-"), F.col("ref"))
+    call = F.when(target.isNotNull(), call_kind(F.col("opcode")))
+    bits = F.coalesce(flow.sound().cast("int"), F.lit(0)) * _SOUND + flow.flagged("static").cast("int") * _STATIC + flow.flagged("native").cast("int") * _NATIVE
+    rows = (
+        row(ud, _CODE, F.col("idx"), op=F.col("opcode"), target=target, call=call, why=F.when(target.isNotNull(), flow.undeclared(call, target)), a=F.col("uses"), b=F.col("defs"), c=F.col("regs"))
+        .unionByName(row(edges, _EDGE, F.col("src"), F.col("dst")))
+        .unionByName(row(decl, _DECLARED, bits, op=F.col("full_signature"), a=param_types(F.regexp_extract("full_signature", r"(\(.*)$", 1))))
+        .unionByName(row(sinks, _SINK, F.col("idx")))
+    ).where("apk IS NOT NULL AND method IS NOT NULL AND at IS NOT NULL")
+    spark = ud.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ud.count() // PART_ROWS))
+    rows = rows.repartition(parts, "apk").sortWithinPartitions("apk", "method", "at").withColumn("method", F.col("method").cast("string"))
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+    apk_type = to_arrow_type(ud.schema["apk"].dataType)
+    flat = ["kind", "method", "at", "to", "op", "target", "call", "why"]
+
+    def lists(column: pa.ListArray) -> list:
+        """A list of each row: their values are taken out together."""
+        values, ends = column.flatten().to_pylist(), [0, *np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()]
+        return [values[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+
+    def batch(told: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*told, strict=True), [apk_type, *kinds], strict=True)], ["apk", *_FOUND])
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: list[tuple] = []
+        package, of = _Package(limits), None
+        for part in parts:
+            columns = [part.column(c).to_pylist() for c in flat]
+            for apk, *cells, a, b, c in zip(part.column("apk").to_pylist(), *columns, *(lists(part.column(x)) for x in "abc"), strict=True):
+                if apk != of:
+                    told += [(of, *x) for x in package.slices()]
+                    package, of = _Package(limits), apk
+                    if len(told) >= ROWS_OUT:
+                        yield batch(told)
+                        told = []
+                package.add(*cells, [a, b, c])
+        told += [(of, *x) for x in package.slices()]
+        if told:
+            yield batch(told)
+
+    named = T.StructType([ud.schema["apk"], *[T.StructField(n, T.IntegerType() if n in ("s_idx", "idx", "round", "step") else T.StringType()) for n in _FOUND]])
+    return rows.mapInArrow(batches, named)
+
+
+def program_slices(instr: DataFrame, decl: DataFrame, edges: DataFrame, sinks: DataFrame, cut, limits: Limits = Limits(), ud: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(retained, boundaries, issues) of each sink (apk, method, idx); cut writes a table in between and reads it back.
 
-    retained: apk, s_method, s_idx, method, idx, reason, round, step; boundaries: ..., boundary, method, idx, target."""
+    retained: apk, s_method, s_idx, method, idx, reason, round, step; boundaries: ..., boundary, method, idx, target. ud: use_def() of
+    instr, if it has been written; instr is read for packages of over WHOLE rows only."""
+    ud = cut(flow.use_def(instr)) if ud is None else ud
+    sizes = ud.select("apk").unionByName(decl.select("apk")).groupBy("apk").agg(F.count("*").alias("n"))
+    large = cut(sizes.where((F.col("n") > WHOLE) & F.col("apk").isNotNull()).select("apk"))
+    of = lambda how: [df.join(large, "apk", how) for df in (instr, decl, edges, sinks)]
+    some = not large.isEmpty()
+    _, decl_, edges_, sinks_ = of("left_anti") if some else (instr, decl, edges, sinks)
+    found = cut(packaged(ud.join(large, "apk", "left_anti") if some else ud, decl_, edges_, sinks_, limits))
+    at = [*_SLICE, "method", "idx"]
+    # sinks without a package or a method have no slice; they stay what they are
+    bare = sinks.where("apk IS NULL OR method IS NULL OR idx IS NULL").distinct()
+    bare = bare.select("apk", F.col("method").cast("string").alias("s_method"), F.col("idx").alias("s_idx"), F.col("method").cast("string").alias("method"), "idx", F.lit("sink").alias("reason"), F.lit(0).alias("round"), F.lit(0).alias("step"))
+    kept = found.where("kind = 'retain'").select(*at, F.col("detail").alias("reason"), "round", "step").unionByName(bare)
+    ends = found.where("kind = 'boundary'").select(*_SLICE, F.col("detail").alias("boundary"), "method", "idx", "target")
+    issues = found.where("kind = 'issue'").select(*at, F.col("detail").alias("issue"))
+    if not some:
+        return kept, ends, issues
+    instr_, decl_, edges_, sinks_ = of("left_semi")
+    return tuple(a.unionByName(b) for a, b in zip((kept, ends, issues), tabled(cut(instr_), decl_, edges_, sinks_, cut, limits), strict=True))
+
+
+def tabled(instr: DataFrame, decl: DataFrame, edges: DataFrame, sinks: DataFrame, cut, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What program_slices() gives, in rounds over tables: for packages of any size."""
     written, bounds = cut(flow.use_def(instr)), cut(flow.boundaries(instr, decl))
     methods = cut(bodies(instr, decl, edges, written, bounds, cut, limits.candidates))
     seed = sinks.select("apk", F.col("method").cast("string").alias("s_method"), F.col("idx").alias("s_idx")).distinct()
