@@ -109,3 +109,22 @@ def test_requests_of_a_method_come_together(spark, monkeypatch):
 def test_sinks_of_a_summary_are_found_once(spark):
     plan = catalog.QUERIES["agg12_package_summary"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_partkey" not in plan  # they were written; the lines aren't gone through again
+
+
+@given
+def test_lines_are_dealt_out_once_and_their_code_is_compiled(spark, capsys):
+    import re
+
+    from tracequarry.operators import flow
+
+    lines = lambda: flow.use_def(flow.places(views.view(spark, DATA, "v_code"), "operands").withColumn("falls", flow.falls()), "label", "falls", "n")
+    plan = lines()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(apk" not in plan and plan.count("REPARTITION_BY_NUM") == 1
+    capsys.readouterr()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # whose plans have no code before they run
+    try:
+        lines().explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000  # the JVM leaves longer methods to its interpreter

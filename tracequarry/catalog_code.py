@@ -262,8 +262,8 @@ def _(spark, sf):
 # ---- slices of whole packages; rounds over calls are no SQL, tests hold them against known slices ----
 def _sliced(spark, sf):
     instr, decl = view(spark, sf, "v_code"), view(spark, sf, "v_decl")
-    lines = cut(flow.use_def(flow.places(instr, "operands"), "label", "following", "n"))  # all that is read of lines, in one pass
-    edges = flow.flow_rows(lines, *(view(spark, sf, v) for v in _VIEWS[1:]), cut)
+    lines = cut(flow.use_def(flow.places(instr, "operands").withColumn("falls", flow.falls()), "label", "falls", "n"))  # all that is read of lines, in one pass
+    edges = flow.jumps_and_raised(lines, *(view(spark, sf, v) for v in _VIEWS[1:]), cut)
     called = lines.where(F.col("opcode").startswith("invoke-") & F.col("ref").isNotNull())
     sinks = called.join(rules.sinks(spark).select(F.concat("class_name", F.lit("->"), "method_name").alias("name")).distinct(), F.substring_index("ref", "(", 1) == F.col("name"), "left_semi")
     return slices.program_slices(instr, decl, edges, sinks.select("apk", "method", "idx"), cut, ud=lines)

@@ -58,7 +58,7 @@ def usable(decl: DataFrame, instr: DataFrame) -> DataFrame:
 def places(instr: DataFrame, *also: str) -> DataFrame:
     """Each instruction with its last label, the one that follows it, how many its method has, and the columns named."""
     w = W.partitionBy(*_METHOD)
-    label = F.regexp_extract("operands", f"^.*({LABEL})", 1)
+    label = F.when(F.col("operands").contains(":"), F.regexp_extract("operands", f"^.*({LABEL})", 1)).when(F.col("operands").isNotNull(), "")
     return instr.select(*_PLACE, "opcode", label.alias("label"), F.lead("idx").over(w.orderBy("idx")).alias("following"), F.count("*").over(w).alias("n"), *also)
 
 
@@ -91,22 +91,26 @@ def control_flow(instr: DataFrame, labels: DataFrame, payloads: DataFrame, handl
 
 def placed_flow(places: DataFrame, labels: DataFrame, payloads: DataFrame, handlers: DataFrame) -> DataFrame:
     """control_flow() of places(), which are read several times: write them in between, or each time makes them anew."""
-    return _led(places, _labels(labels, places), payloads, handlers).distinct()
+    next_ = places.select(*_METHOD, F.col("idx").alias("src"), falls().alias("dst"), F.lit("fallthrough").alias("kind")).where("dst IS NOT NULL")
+    return next_.unionByName(_led(places, _labels(labels, places), payloads, handlers)).distinct()
 
 
-def flow_rows(places: DataFrame, labels: DataFrame, payloads: DataFrame, handlers: DataFrame, cut) -> DataFrame:
-    """placed_flow() with an edge as often as it is led by; cut writes the labels that stand at an instruction."""
+def falls() -> Column:
+    """The instruction that one of places() falls through to; nothing follows a goto, return or throw."""
+    return F.when(~_starts(F.col("opcode"), "goto", "return", "throw"), F.col("following"))
+
+
+def jumps_and_raised(places: DataFrame, labels: DataFrame, payloads: DataFrame, handlers: DataFrame, cut) -> DataFrame:
+    """placed_flow() without falls(), with an edge as often as it is led by; cut writes the labels that stand at an instruction."""
     return _led(places, cut(_labels(labels, places)), payloads, handlers)
 
 
 def _led(places: DataFrame, at: DataFrame, payloads: DataFrame, handlers: DataFrame) -> DataFrame:
     jumps = _wanted(places, payloads).join(at, [*_METHOD, "label"]).select(*_METHOD, "src", "dst", "kind")
-    falls = places.where(F.col("following").isNotNull() & ~_starts(F.col("opcode"), "goto", "return", "throw"))
-    falls = falls.select(*_METHOD, F.col("idx").alias("src"), F.col("following").alias("dst"), F.lit("fallthrough").alias("kind"))
     p, s = places.alias("p"), _spans(handlers, at).alias("s")
     within = (F.col("p.apk") == F.col("s.apk")) & (F.col("p.method") == F.col("s.method")) & (F.col("p.idx") >= F.col("s.low")) & (F.col("p.idx") < F.coalesce("s.high", "p.n"))
     raised = p.join(s, within).select("p.apk", "p.method", F.col("p.idx").alias("src"), "s.dst", F.lit("exception").alias("kind"))
-    return jumps.unionByName(falls).unionByName(raised)
+    return jumps.unionByName(raised)
 
 
 def flow_issues(instr: DataFrame, labels: DataFrame, payloads: DataFrame, handlers: DataFrame) -> DataFrame:
@@ -142,15 +146,18 @@ def use_def(instr: DataFrame, *also: str) -> DataFrame:
     filled = F.array(F.lit("result:filled-new-array"))
     taken = F.when(gives(F.col("last_ref")), result(F.col("last_ref"))).when(F.col("last_op").startswith("filled-new-array"), filled).otherwise(none)
     widened = op.rlike(f"^(?:{_KINDS})-to-(?:{_KINDS})$")
+    doubled = op.contains("/2addr")
+    lists = {"none": none, "all": regs, "first": first, "rest": rest, "rest, first": F.concat(rest, first), "rest, fields": F.concat(rest, "fields"), "rest, array": F.concat(rest, array_of(2)), "taken": taken, "fields": F.col("fields"), "array": array_of(2), "own array": array_of(1), "filled": filled, "result": F.when(gives(F.col("ref")), result(F.col("ref"))).otherwise(none)}
     rules = [  # (applies, uses, defs), the first that applies counts
-        (_starts(op, "move-result"), taken, first), (_starts(op, "move-exception"), none, first), (_starts(op, "move"), rest, first), (_starts(op, "const"), none, first),
-        (_starts(op, "filled-new-array"), regs, filled), (_starts(op, "new-array", "array-length"), rest, first), (_starts(op, "new-instance"), none, first),
-        (_starts(op, "invoke-"), regs, F.when(gives(F.col("ref")), result(F.col("ref"))).otherwise(none)), (_starts(op, "iget", "sget"), F.concat(rest, "fields"), first), (_starts(op, "iput", "sput"), regs, F.col("fields")),
-        (_starts(op, "aget"), F.concat(rest, array_of(2)), first), (_starts(op, "aput"), regs, array_of(2)), (widened, rest, first),
-        (_starts(op, *_ARITHMETIC), F.when(op.contains("/2addr"), F.concat(rest, first)).otherwise(rest), first), (_starts(op, "check-cast"), first, first),
-        (_starts(op, "fill-array-data"), regs, array_of(1)), (_starts(op, *_READERS), regs, none), (_starts(op, "goto", "nop"), none, none),
+        (_starts(op, "move-result"), "taken", "first"), (_starts(op, "move-exception"), "none", "first"), (_starts(op, "move"), "rest", "first"), (_starts(op, "const"), "none", "first"),
+        (_starts(op, "filled-new-array"), "all", "filled"), (_starts(op, "new-array", "array-length"), "rest", "first"), (_starts(op, "new-instance"), "none", "first"),
+        (_starts(op, "invoke-"), "all", "result"), (_starts(op, "iget", "sget"), "rest, fields", "first"), (_starts(op, "iput", "sput"), "all", "fields"),
+        (_starts(op, "aget"), "rest, array", "first"), (_starts(op, "aput"), "all", "array"), (widened, "rest", "first"),
+        (_starts(op, *_ARITHMETIC) & doubled, "rest, first", "first"), (_starts(op, *_ARITHMETIC), "rest", "first"), (_starts(op, "check-cast"), "first", "first"),
+        (_starts(op, "fill-array-data"), "all", "own array"), (_starts(op, *_READERS), "all", "none"), (_starts(op, "goto", "nop"), "none", "none"),
     ]
     chosen = lambda values, of: reduce(lambda made, x: made.when(x[0], x[1]), values[1:], F.when(*values[0])).otherwise(of)
+    listed = lambda k: [(F.col("rule").isin(*[i for i, r in enumerate(rules) if r[k] == name]), made) for name, made in lists.items() if any(r[k] == name for r in rules)]
     rule, refers = F.col("rule"), operands.contains(";->")  # as both kinds of references do
     ref = F.nullif(F.when(refers, F.regexp_extract(operands, METHOD_REF, 1)), F.lit(""))
     fields = F.transform(F.array_distinct(F.regexp_extract_all(operands, F.lit(FIELD_REF), 1)), lambda f: F.concat(F.lit("field:"), f))
@@ -158,7 +165,7 @@ def use_def(instr: DataFrame, *also: str) -> DataFrame:
     seen = instr.select(*_PLACE, "opcode", *also, code.registers(operands).alias("regs"), ref.alias("ref"), fields.alias("fields"), chosen([(applies, F.lit(i)) for i, (applies, _, _) in enumerate(rules)], F.lit(len(rules))).alias("rule"))
     w = W.partitionBy(*_METHOD).orderBy("idx")
     seen = seen.withColumn("last_ref", F.lag("ref").over(w)).withColumn("last_op", F.lag("opcode").over(w))
-    uses, defs = (chosen([(rule == i, r[k]) for i, r in enumerate(rules)], of) for k, of in ((1, regs), (2, none)))
+    uses, defs = chosen(listed(1), regs), chosen(listed(2), none)  # by list, not by rule: a method of over 8,000 bytes of code isn't compiled
     unknown = F.when(F.col("opcode").isNotNull(), rule == len(rules))
     return seen.select(*_PLACE, "opcode", F.array_distinct(uses).alias("uses"), F.array_distinct(defs).alias("defs"), unknown.alias("is_unknown"), "ref", "regs", *also)
 

@@ -108,7 +108,7 @@ class _Walker:
         self.code = {c["idx"]: c for c in row["code"]}
         self.defs = {i: frozenset(c["defs"] or ()) for i, c in self.code.items()}
         self.before = defaultdict(list)
-        for src, dst in sorted({(e["src"], e["dst"]) for e in row["edges"] or ()}):
+        for src, dst in sorted({(e["src"], e["dst"]) if isinstance(e, dict) else e for e in row["edges"] or ()}):
             self.before[dst].append(src)
         self.branches = {c["idx"] for c in row["code"] if c["opcode"].startswith("if-") or "switch" in c["opcode"]}
 
@@ -262,88 +262,109 @@ def _round(requests: DataFrame, methods: DataFrame, limits: Limits) -> DataFrame
     return rows.mapInArrow(batches, named)
 
 
+def _plain(column: pa.Array) -> list:
+    """A column's values, taken out together; of lists too. A null number is -1, a null list empty."""
+    if not pa.types.is_list(column.type):
+        column = column.fill_null(-1) if pa.types.is_integer(column.type) else column
+        return column.to_numpy(zero_copy_only=False).tolist()
+    values, ends = tuple(_plain(column.flatten())), np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+    return [values[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+
 class _Package:
     """All rows of one package, and the slices of its sinks.
 
-    Declarations, callers and callees are looked up as bodies() joins them; rows of a method come together, in order of methods."""
-
-    def __init__(self, limits: Limits):
-        self.limits = limits
-        self.code: dict[str, list[dict]] = defaultdict(list)
-        self.edges: dict[str, list[dict]] = defaultdict(list)
-        self.declared: list[tuple[str, str, int, list[str]]] = []
-        self.sinks: set[tuple[str, int]] = set()
-
-    def add(self, kind: int, method: str, at: int, to: int | None, op: str | None, target: str | None, call: str | None, why: str | None, lists: list) -> None:
-        if kind == _CODE:
-            uses, defs, regs = lists
-            self.code[method].append({"idx": at, "opcode": op, "uses": uses, "defs": defs, "regs": regs, "target": target, "call": call, "stop": why, "callees": None, "more": None})
-        elif kind == _EDGE:
-            self.edges[method].append({"src": at, "dst": to})
-        elif kind == _DECLARED:
-            self.declared.append((method, op, at, lists[0]))
-        else:
-            self.sinks.add((method, at))
+    Declarations, callers and callees are looked up as bodies() joins them; rows of a method come together, in order of methods.
+    What only a walk reads is made of a method's rows when the first walk comes to it."""
+
+    def __init__(self, apk, rows: list[tuple], limits: Limits):
+        self.apk, self.limits = apk, limits
+        by_kind: tuple[list[tuple], ...] = ([], [], [], [])
+        for row in rows:
+            by_kind[row[0]].append(row)
+        lines, edges, self.declared, sinks = by_kind
+        self.sinks = {(row[1], row[2]) for row in sinks}
+        self.code: dict[str, list[tuple]] = defaultdict(list)
+        self.edges: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for row in lines if sinks else ():
+            self.code[row[1]].append(row)
+        for _, method, src, dst, *_ in edges if sinks else ():
+            self.edges[method].append((src, dst))
+        self.walkers: dict[str, list[_Walker]] = {}
 
     def _linked(self) -> None:
         """Boundaries and callees of calls, callers of methods."""
-        able = [d for d in self.declared if d[2] & _SOUND and any(c["opcode"] is not None for c in self.code.get(d[0], ()))]
+        able = [d for d in self.declared if d[2] & _SOUND and any(row[4] is not None for row in self.code.get(d[1], ()))]
         known: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        for _, target, bits, _ in self.declared:
+        self.signed: dict[str, set[str]] = defaultdict(set)
+        for _, method, bits, _, target, *_ in self.declared:
             known[target][0] += 1
             known[target][1] += bool(bits & _NATIVE)
+            self.signed[method].add(target)
         bodies: dict[str, list[str]] = defaultdict(list)
-        for method, target, _, _ in able:
-            bodies[target].append(method)
-        named = {method for method, *_ in able}
+        self.able: dict[str, list[tuple]] = defaultdict(list)
+        for row in able:
+            bodies[row[4]].append(row[1])
+            self.able[row[1]].append(row)
         first = {target: sorted(found)[: self.limits.candidates] for target, found in bodies.items()}
-        self.called, sites = defaultdict(list), defaultdict(list)
+        self.called, self.sites, self.calls = defaultdict(list), defaultdict(list), {}
         for method, lines in self.code.items():
-            for c in lines:
-                target = c["target"]
+            for _, _, idx, _, _, target, kind, stop, *_ in lines:
                 if target is None:
                     continue
                 n, natives = known.get(target, (0, 0))
-                found = bodies.get(target, ())
-                if not c["stop"]:
-                    lost = "native_method" if natives and not (c["call"] == "super" and n > 1) else "unresolved_local_call"
-                    c["stop"] = "external_call" if not n else None if found and not (c["call"] == "super" and n > 1) else lost
-                if not c["stop"]:
-                    c["callees"], c["more"] = first.get(target), len(found) > self.limits.candidates
-                elif c["stop"] in _UNSURE and n:
-                    self.called[target].append((c["stop"], method, c["idx"], target))
-                if c["call"] in ("static", "direct", "super") and method in named:
+                found, callees, more = bodies.get(target, ()), None, None
+                if stop is None:
+                    if not n:
+                        stop = "external_call"
+                    elif kind == "super" and n > 1:
+                        stop = "unresolved_local_call"
+                    elif not found:
+                        stop = "native_method" if natives else "unresolved_local_call"
+                    else:
+                        callees, more = first[target], len(found) > self.limits.candidates
+                if stop in _UNSURE and n:
+                    self.called[target].append((stop, method, idx, target))
+                if kind in ("static", "direct", "super") and found and method in self.able:
                     for callee in found:
-                        sites[callee].append((method, c["idx"]))
-        self.rows: dict[str, list[dict]] = defaultdict(list)
-        for method, _, bits, types in able:
-            calls = sites.get(method)
-            at = calls and [{"method": m, "idx": i} for m, i in sorted(calls[: self.limits.candidates])]
-            self.rows[method].append({"method": method, "types": types, "is_static": bool(bits & _STATIC), "code": self.code[method], "edges": self.edges.get(method), "sites": at, "n_sites": calls and len(calls)})
-        self.signed = defaultdict(set)
-        for method, target, _, _ in self.declared:
-            self.signed[method].add(target)
+                        self.sites[callee].append((method, idx))
+                self.calls[method, idx] = (target, stop, callees, more)
+
+    def _walkers(self, method: str) -> list[_Walker]:
+        if method not in self.walkers:
+            code = []
+            for _, _, idx, falls, op, _, _, _, uses, defs, regs in self.code.get(method, ()):
+                target, stop, callees, more = self.calls.get((method, idx), (None, None, None, None))
+                code.append({"idx": idx, "opcode": op or "", "uses": uses, "defs": defs, "regs": regs, "target": target, "stop": stop, "callees": callees, "more": more})
+                if falls >= 0:
+                    self.edges[method].append((idx, falls))
+            calls = self.sites.get(method)
+            sites = calls and [{"method": m, "idx": i} for m, i in sorted(calls[: self.limits.candidates])]
+            self.walkers[method] = [
+                _Walker({"method": method, "types": row[8], "is_static": bool(row[2] & _STATIC), "code": code, "edges": self.edges.get(method), "sites": sites, "n_sites": calls and len(calls)}, self.limits)
+                for row in self.able.get(method, ())
+            ]
+        return self.walkers[method]
 
     def slices(self) -> Iterator[tuple]:
-        """(s_method, s_idx, kind, method, idx, detail, target, round, step) rows, each once."""
+        """(apk, s_method, s_idx, kind, method, idx, detail, target, round, step) rows, each once."""
         if not self.sinks:
             return
         self._linked()
-        walkers: dict[str, list[_Walker]] = {}
+        apk = self.apk
         for method, idx in sorted(self.sinks):
             kept: dict[tuple, tuple[int, int]] = {(method, idx, "sink"): (0, 0)}
             stops, issues, unsafe = set(), set(), set()
-            lines = [c for c in self.code.get(method, ()) if c["idx"] == idx]
-            stops |= {(c["stop"], method, idx, c["target"]) for c in lines if c["stop"]}
-            open_ = sorted({(method, json.dumps({"mode": "start", "idx": idx, "syms": sorted(c["uses"] or ()), "depth": 0, "ctx": [], "path": [method], "reason": "data_dependency"})) for c in lines})
-            done, used, number = set(open_), 0, 0
+            target, stop, *_ = self.calls.get((method, idx), (None, None))
+            if stop is not None:
+                stops.add((stop, method, idx, target))
+            open_: list[tuple] = [(method, {"mode": "start", "idx": idx, "syms": list(syms), "depth": 0, "ctx": [], "path": [method], "reason": "data_dependency"}) for syms in sorted({tuple(sorted(row[8])) for row in self.code.get(method, ()) if row[2] == idx})]
+            done, used, number = set(), 0, 0
             while open_:
                 number, left, asked = number + 1, self.limits.states - used, set()
                 for name, request in open_:
-                    if name not in walkers:
-                        walkers[name] = [_Walker(row, self.limits) for row in self.rows.get(name, ())]
-                    for walker in walkers[name]:
-                        for kind, at, detail, target, step, where, more in walker.walk(json.loads(request), left):
+                    for walker in self._walkers(name):
+                        for kind, at, detail, target, step, where, more in walker.walk(json.loads(request) if number > 1 else request, left):
                             if kind == "retain":
                                 place, now = (where, at, detail), (number, step)
                                 kept[place] = min(kept.get(place, now), now)
@@ -364,56 +385,56 @@ class _Package:
                 open_ = asked[:room]
             stops.update(stop for name in unsafe for target in self.signed[name] for stop in self.called.get(target, ()))
             for (where, at, reason), (number, step) in kept.items():
-                yield method, idx, "retain", where, at, reason, None, number, step
+                yield apk, method, idx, "retain", where, at, reason, None, number, step
             for boundary, where, at, target in stops:
-                yield method, idx, "boundary", where, at, boundary, target, None, None
+                yield apk, method, idx, "boundary", where, at, boundary, target, None, None
             for where, at, issue in issues:
-                yield method, idx, "issue", where, at, issue, None, None, None
+                yield apk, method, idx, "issue", where, at, issue, None, None, None
 
 
 def packaged(ud: DataFrame, decl: DataFrame, edges: DataFrame, sinks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(apk, s_method, s_idx, kind, method, idx, detail, target, round, step): what program_slices() gives, by packages that come whole
     to a task each; kind is retain, boundary or issue."""
+    # op is a line's opcode or a declaration's signature, a its uses or the signature's types
     text, none, no = F.lit(None).cast("string"), F.lit(None).cast("array<string>"), F.lit(None).cast("int")
     row = lambda df, kind, at, to=no, op=text, target=text, call=text, why=text, a=none, b=none, c=none: df.select("apk", "method", F.lit(kind).alias("kind"), at.cast("int").alias("at"), to.cast("int").alias("to"), op.alias("op"), target.alias("target"), call.alias("call"), why.alias("why"), a.alias("a"), b.alias("b"), c.alias("c"))
     target = F.when(F.col("opcode").startswith("invoke-"), F.col("ref"))
     call = F.when(target.isNotNull(), call_kind(F.col("opcode")))
     bits = F.coalesce(flow.sound().cast("int"), F.lit(0)) * _SOUND + flow.flagged("static").cast("int") * _STATIC + flow.flagged("native").cast("int") * _NATIVE
     rows = (
-        row(ud, _CODE, F.col("idx"), op=F.col("opcode"), target=target, call=call, why=F.when(target.isNotNull(), flow.undeclared(call, target)), a=F.col("uses"), b=F.col("defs"), c=F.col("regs"))
+        row(ud, _CODE, F.col("idx"), F.col("falls") if "falls" in ud.columns else no, op=F.col("opcode"), target=target, call=call, why=F.when(target.isNotNull(), flow.undeclared(call, target)), a=F.col("uses"), b=F.col("defs"), c=F.col("regs"))
         .unionByName(row(edges, _EDGE, F.col("src"), F.col("dst")))
         .unionByName(row(decl, _DECLARED, bits, op=F.col("full_signature"), a=param_types(F.regexp_extract("full_signature", r"(\(.*)$", 1))))
         .unionByName(row(sinks, _SINK, F.col("idx")))
     ).where("apk IS NOT NULL AND method IS NOT NULL AND at IS NOT NULL")
     spark = ud.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ud.count() // PART_ROWS))
-    rows = rows.repartition(parts, "apk").sortWithinPartitions("apk", "method", "at").withColumn("method", F.col("method").cast("string"))
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()]
-    apk_type = to_arrow_type(ud.schema["apk"].dataType)
-    flat = ["kind", "method", "at", "to", "op", "target", "call", "why"]
-
-    def lists(column: pa.ListArray) -> list:
-        """A list of each row: their values are taken out together."""
-        values, ends = column.flatten().to_pylist(), [0, *np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()]
-        return [values[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+    rows = rows.repartition(parts, "apk").sortWithinPartitions("apk", "method", "at")
+    rows = rows.select("apk", "kind", F.col("method").cast("string").alias("method"), "at", "to", "op", "target", "call", "why", "a", "b", "c")
+    kinds = [to_arrow_type(ud.schema["apk"].dataType), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()]
 
     def batch(told: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*told, strict=True), [apk_type, *kinds], strict=True)], ["apk", *_FOUND])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*told, strict=True), kinds, strict=True)], ["apk", *_FOUND])
+
+    def packages(parts: Iterator[pa.RecordBatch]) -> Iterator[_Package]:
+        held, of = [], None
+        for part in parts:
+            apks, rows = part.column("apk"), [*zip(*map(_plain, part.columns[1:]), strict=True)]
+            starts = [0, *(np.flatnonzero(pc.not_equal(apks[1:], apks[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist()] if rows else []
+            for i, j in zip(starts, [*starts[1:], len(rows)], strict=False):
+                if (apk := apks[i].as_py()) != of:
+                    yield _Package(of, held, limits)
+                    held, of = [], apk
+                held += rows[i:j]
+        yield _Package(of, held, limits)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: list[tuple] = []
-        package, of = _Package(limits), None
-        for part in parts:
-            columns = [part.column(c).to_pylist() for c in flat]
-            for apk, *cells, a, b, c in zip(part.column("apk").to_pylist(), *columns, *(lists(part.column(x)) for x in "abc"), strict=True):
-                if apk != of:
-                    told += [(of, *x) for x in package.slices()]
-                    package, of = _Package(limits), apk
-                    if len(told) >= ROWS_OUT:
-                        yield batch(told)
-                        told = []
-                package.add(*cells, [a, b, c])
-        told += [(of, *x) for x in package.slices()]
+        for package in packages(parts):
+            told += package.slices()
+            if len(told) >= ROWS_OUT:
+                yield batch(told)
+                told = []
         if told:
             yield batch(told)
 
@@ -425,7 +446,8 @@ def program_slices(instr: DataFrame, decl: DataFrame, edges: DataFrame, sinks: D
     """(retained, boundaries, issues) of each sink (apk, method, idx); cut writes a table in between and reads it back.
 
     retained: apk, s_method, s_idx, method, idx, reason, round, step; boundaries: ..., boundary, method, idx, target. ud: use_def() of
-    instr, if it has been written; instr is read for packages of over WHOLE rows only."""
+    instr, if it has been written; edges may then lack those to the next line, which its column falls names. instr is read for
+    packages of over WHOLE rows only."""
     ud = cut(flow.use_def(instr)) if ud is None else ud
     sizes = ud.select("apk").unionByName(decl.select("apk")).groupBy("apk").agg(F.count("*").alias("n"))
     large = cut(sizes.where((F.col("n") > WHOLE) & F.col("apk").isNotNull()).select("apk"))
@@ -443,6 +465,9 @@ def program_slices(instr: DataFrame, decl: DataFrame, edges: DataFrame, sinks: D
     if not some:
         return kept, ends, issues
     instr_, decl_, edges_, sinks_ = of("left_semi")
+    if "falls" in ud.columns:
+        falls = ud.join(large, "apk", "left_semi").where("falls IS NOT NULL").select("apk", "method", F.col("idx").alias("src"), F.col("falls").alias("dst"))
+        edges_ = edges_.select("apk", "method", "src", "dst").unionByName(falls)
     return tuple(a.unionByName(b) for a, b in zip((kept, ends, issues), tabled(cut(instr_), decl_, edges_, sinks_, cut, limits), strict=True))
 
 
