@@ -111,3 +111,37 @@ def test_states_are_counted_over_rounds(spark, states, cut_off):
     kept, ends, summary, _ = several(spark, 3, slices.Limits(states=states))
     assert ("0", 3) in kept and summary["truncated"] == cut_off == any(b == "traversal_state_limit" for b, _, _ in ends)
     assert len({m for m, _ in kept}) == (1 if cut_off else 4)
+
+
+def test_each_pair_of_a_method_is_asked(spark):
+    """No asked place lies beyond its method's end, and none within is left out."""
+    from pathlib import Path
+
+    from tracequarry import catalog
+    from tracequarry.plans.views import view
+
+    sf = "/root/testdata/sf0.001"
+    if not Path(sf).exists():
+        pytest.skip("needs the given tables")
+    got = catalog.QUERIES["cfg3_asked"](spark, sf).groupBy("apk", "method").agg({"*": "count", "start": "max", "node": "max"}).collect()
+    lines = {(r["apk"], r["method"]): r["count"] for r in view(spark, sf, "v_code").groupBy("apk", "method").count().collect()}
+    assert {(r["apk"], r["method"]): r["count(1)"] for r in got} == {k: n * n for k, n in lines.items()}
+    assert all(r["max(start)"] == r["max(node)"] == lines[r["apk"], r["method"]] - 1 for r in got)
+
+
+def test_a_method_of_many_pairs_passes_in_batches(spark):
+    n = 150  # 22,500 pairs in batches of 1,000, between two small methods
+    edges = [(m, i, i + 1) for m, k in ((1, 3), (2, n), (3, 3)) for i in range(k - 1) if i % 50 != 49]
+    asked = [(m, i, j) for m, k in ((1, 3), (2, n), (3, 3)) for i in range(k) for j in range(k)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        df = lambda rows, names: spark.createDataFrame([(1, *r) for r in rows], f"apk int, method int, {names}").coalesce(1)
+        told = reach.answers(df(edges, "src int, dst int"), df(asked + asked[:50], "start int, node int"), 1)
+        sizes = told.mapInArrow(lambda batches: (b.slice(0, 1) for b in batches if b.num_rows), told.schema)
+        assert sizes.count() > 10
+        got = told.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r["method"], r["start"], r["node"]) for r in got) == sorted(asked)
+    assert all(r["reached"] == (r["start"] < r["node"] and r["start"] // 50 == r["node"] // 50) for r in got)

@@ -10,6 +10,8 @@ from tracequarry.operators import flow, reach
 from tracequarry.plans.views import oracle, view
 
 _query = c._query
+#: Pairs that a part answers, about.
+PART_PAIRS = 1_000_000
 #: Every pair that control flow connects; the engine itself never lists them.
 _FAR = f"""{_FLOW}, hop AS (SELECT DISTINCT apk, method, src, dst FROM flow),
 far AS (SELECT apk, method, src, dst FROM hop UNION SELECT f.apk, f.method, f.src, e.dst FROM far f JOIN hop e ON e.apk = f.apk AND e.method = f.method AND e.src = f.dst)"""
@@ -25,13 +27,14 @@ def _(spark, sf):
     return reach.components(*_placed(spark, sf)).select("apk", "method", "idx", "component", "cyclic")
 
 
-@_query("cfg3_asked", _recursive("""SELECT a.apk, a.method, a.start, a.node, f.src IS NOT NULL AS reached FROM (SELECT apk, method, idx AS start, 2 * (n - 1) - following AS node FROM pl WHERE following IS NOT NULL) a
-  LEFT JOIN far f ON f.apk = a.apk AND f.method = a.method AND f.src = a.start AND f.dst = a.node""", *_VIEWS, also=_FAR))
+@_query("cfg3_asked", _recursive("""SELECT a.apk, a.method, a.idx AS start, b.idx AS node, f.src IS NOT NULL AS reached FROM pl a JOIN pl b ON b.apk = a.apk AND b.method = a.method
+  LEFT JOIN (SELECT DISTINCT apk, method, src, dst FROM far) f ON f.apk = a.apk AND f.method = a.method AND f.src = a.idx AND f.dst = b.idx""", *_VIEWS, also=_FAR))
 def _(spark, sf):
-    """Does control get from each instruction to the one as far before the end as the next one is behind the start."""
+    """Does control get from each instruction to each of its method; they are numbered from 0."""
     places, edges = _placed(spark, sf)
-    asked = places.where("following IS NOT NULL").select("apk", "method", F.col("idx").alias("start"), (2 * (F.col("n") - 1) - F.col("following")).cast("int").alias("node"))
-    return reach.answers(edges, asked)
+    asked = places.select("apk", "method", F.col("idx").alias("start"), F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("node"))
+    pairs = places.agg(F.sum("n")).first()[0] or 0
+    return reach.answers(edges, asked, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PART_PAIRS)))
 
 
 @_query("slc4_deciders", _recursive("""SELECT DISTINCT c.apk, c.method, c.idx FROM v_code c JOIN far f ON f.apk = c.apk AND f.method = c.method AND f.src = c.idx JOIN v_code s ON s.apk = f.apk AND s.method = f.method AND s.idx = f.dst

@@ -168,19 +168,23 @@ def leading(back: dict[int, list[int]], targets) -> set[int]:
     return found
 
 
+def _differs(rows: pa.RecordBatch) -> np.ndarray:
+    """Whether each row but the first is of another method than the one before it."""
+    return np.any([pc.not_equal(rows.column(k)[1:], rows.column(k)[:-1]).to_numpy(zero_copy_only=False) for k in _METHOD], axis=0)
+
+
 def _whole(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables that end where a method ends, and which of their methods each row is of; rows come sorted by method."""
-    differs = lambda t: np.any([pc.not_equal(t.column(k)[1:], t.column(k)[:-1]).to_numpy(zero_copy_only=False) for k in _METHOD], axis=0)
     held: list[pa.RecordBatch] = []
     for part in parts:
         if not part.num_rows:
             continue
         joint = pa.concat_batches([held[-1].slice(held[-1].num_rows - 1), part]) if held else part
-        if not differs(joint).any():
+        if not _differs(joint).any():
             held.append(part)
             continue
         rows = pa.concat_batches([*held, part])
-        changes = np.concatenate([[False], differs(rows)])
+        changes = np.concatenate([[False], _differs(rows)])
         last = int(np.flatnonzero(changes)[-1])
         yield pa.table(rows.slice(0, last)), np.cumsum(changes[:last])
         held = [rows.slice(last)]
@@ -281,23 +285,42 @@ def reached(index: DataFrame, edges: DataFrame, asked: DataFrame) -> DataFrame:
     return seen.where("reached IS NOT NULL").unionByName(walked)
 
 
-def _answered(rows: DataFrame) -> DataFrame:
-    """(apk, method, start, node, reached) of the rows (src, dst, ask) with ask = 1, over the edges that the others are."""
-
-    def made(at: np.ndarray, columns: dict[str, np.ndarray]) -> tuple[np.ndarray, list]:
-        src, dst, ask = columns["src"], columns["dst"], columns["ask"] == 1
-        places = _Places(src, dst)
-        a, b = places.join(at, src), places.join(at, dst)
-        return at[ask], [src[ask], dst[ask], Condensed(a[:0], a[~ask], b[~ask]).reached(a[ask], b[ask])]
-
-    return _mapped(rows, ["src", "dst", "ask"], "start int, node int, reached boolean", made)
-
-
-def answers(edges: DataFrame, asked: DataFrame) -> DataFrame:
+def _answered(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """(apk, method, start, node, reached) of the distinct rows (src, dst, ask) with ask = 1, over the edges that the others are.
+
+    A method's edges come before its pairs, which pass by in batches: a task holds a method's edges and a batch, however many pairs are asked."""
+    wanted = T.StructType([rows.schema["apk"], rows.schema["method"], *T.StructType.fromDDL("start int, node int, reached boolean").fields])
+
+    def batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the edges of the last row's method
+        known: Condensed | None = None  # and these condensed, while only its pairs come
+        for part in batches:
+            if not part.num_rows:
+                continue
+            joint = part if held is None else pa.concat_batches([held, part])
+            at = np.cumsum(np.concatenate([[False], _differs(joint)]))
+            src, dst, ask = (joint.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("src", "dst", "ask"))
+            ask, one = ask == 1, at[-1] == 0
+            fresh = held is None or not one or not ask[held.num_rows :].all()
+            places = _Places(src, dst)
+            a, b = (src, dst) if one else (places.join(at, src), places.join(at, dst))
+            if fresh or known is None:
+                known = Condensed(a[:0], a[~ask], b[~ask])
+            if ask.any():
+                keys = [joint.column(k).filter(pa.array(ask)) for k in _METHOD]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(src[ask], pa.int32()), pa.array(dst[ask], pa.int32()), pa.array(known.reached(a[ask], b[ask]))], wanted.names)
+            held, known = joint.filter(pa.array(~ask & (at == at[-1]))), known if one else None
+
+    # null places are no places, but a pair with one gets an answer
+    rows = rows.where("apk IS NOT NULL AND method IS NOT NULL").select(*_METHOD, F.coalesce("src", F.lit(-1)).alias("src"), F.coalesce("dst", F.lit(-1)).alias("dst"), "ask")
+    dealt = rows.repartition(parts, *_METHOD) if parts else rows.repartition(*_METHOD)
+    return dealt.distinct().sortWithinPartitions(*_METHOD, "ask").mapInArrow(batches, wanted)
+
+
+def answers(edges: DataFrame, asked: DataFrame, parts: int | None = None) -> DataFrame:
     """What reached() gives, without an index: methods are condensed where their pairs are answered, in one pass. Pairs with a null lead nowhere."""
-    asked = asked.select(*_METHOD, "start", "node").distinct()
     rows = asked.select(*_METHOD, F.col("start").alias("src"), F.col("node").alias("dst"), F.lit(1).alias("ask"))
-    return _answered(rows.unionByName(edges.select(*_METHOD, "src", "dst", F.lit(0).alias("ask"))))
+    return _answered(rows.unionByName(edges.select(*_METHOD, "src", "dst", F.lit(0).alias("ask"))), parts)
 
 
 def reaching(edges: DataFrame, targets: DataFrame) -> DataFrame:
