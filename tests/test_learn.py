@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.ml.feature import RegexTokenizer
+
+from tracequarry import catalog
 from tracequarry.operators import learn
 
 
@@ -24,3 +27,27 @@ def test_held_out_rows_are_ranked(spark):
     assert len(told) == 300 and {r["rank"] for r in told} == {1, 2, 3}
     strong = [r["token"] for r in told if r["rank"] == 1]
     assert sum(t in bad + good for t in strong) > 60
+
+
+def test_words_are_those_of_the_pipeline(spark):
+    odd = ["\u0130stanbul \u212a a\u0130b K1 <X>;/y_ \n\tzZ", "", "  ", "a", "-a-", None, "\u017fS \ufb01 \uff41B \u03a3A\u03a3"]
+    df = spark.createDataFrame([(i, "Malicious" if i % 2 else "Benign", t) for i, t in enumerate(odd * 2)], "example_id long, label string, text string")
+    made = {r["example_id"]: r["words"] for r in learn.words(df).collect()}
+    split = RegexTokenizer(inputCol="text", outputCol="words", pattern="[^A-Za-z0-9_/;<>]+")
+    assert made[5] is None and {i: w for i, w in made.items() if w is not None} == {r["example_id"]: r["words"] for r in split.transform(df.where("text IS NOT NULL")).collect()}
+    tables = []
+    model = learn.fit(learn.words(df), cut=lambda t: tables.append(t.columns) or t)
+    assert tables == [["features", "y", "w"]]
+    p = [{r["example_id"]: r["probability"] for r in learn.score(m, rows).collect()} for m in (model, learn.fit(df)) for rows in (df, learn.words(df))]
+    assert len(p[0]) == 14 and all(x == p[0] for x in p)
+
+
+def test_labelled_texts_are_cut_into_words_once(spark):
+    from pathlib import Path
+
+    import pytest
+
+    if not Path("/root/testdata/sf0.001").exists():
+        pytest.skip("needs the given tables")
+    plan = catalog.QUERIES["ml1_slice_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in plan and "words#" in plan  # texts aren't gone through again

@@ -367,22 +367,22 @@ def _(spark, sf):
 
 # ---- learned ----
 def _labelled(spark, sf):
-    """(example_id, label, text), written once, as learning and scoring read it several times."""
+    """(example_id, label, words), written once, as learning and scoring read it several times."""
     texts = _read(spark, sf, "documents").select(F.col("doc_id").alias("example_id"), "text")
-    return cut(view(spark, sf, "v_token").join(texts, "example_id").select("example_id", "label", "text"))
+    return cut(learn.words(view(spark, sf, "v_token").join(texts, "example_id").select("example_id", "label", "text")))
 
 
 @_query("ml1_slice_scores", None)
 def _(spark, sf):
     slices = _labelled(spark, sf)
-    model = learn.fit(slices.where("example_id % 5 <> 0"))
+    model = learn.fit(slices.where("example_id % 5 <> 0"), cut=cut)
     return learn.score(model, slices).select("example_id", F.round("probability", 9).alias("probability"))
 
 
 @_query("ml2_attributions", None)
 def _(spark, sf):
     slices = _labelled(spark, sf)
-    return learn.attribute(learn.fit(slices.where("example_id % 5 <> 0")), slices, 5)
+    return learn.attribute(learn.fit(slices.where("example_id % 5 <> 0"), cut=cut), slices, 5)
 
 
 @_query("sim1_similar_slices", None)
